@@ -21,66 +21,15 @@ from __future__ import annotations
 
 import bisect
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.ordered import running, with_offsets
 from lectern.llm.staging import materialize
 
 BLOCKS = 4096
 
 
-def _running(df: DataFrame, order: list[str], sums: dict[str, str], label: str) -> tuple[DataFrame, list[tuple]]:
-    """``df`` in range partitions by ``order``, written down, with the partition's number and, for each item of ``sums``,
-    the sum over the rows before in that partition; and per partition (number, totals before it...)."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    names = list(sums.items())
-    base = list(df.columns)
-
-    def run(batches):
-        pid, totals = TaskContext.get().partitionId(), [0] * len(names)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(c) for c in base]
-            for k, (src, _) in enumerate(names):
-                v = b.column(src).to_numpy(zero_copy_only=False).astype(np.int64)
-                c = np.cumsum(v)
-                cols.append(pa.array(c - v + totals[k]))
-                totals[k] += int(c[-1])
-            cols.append(pa.array(np.full(b.num_rows, pid, np.int32)))
-            yield pa.RecordBatch.from_arrays(cols, names=[*base, *[x for _, x in names], "pid"])
-
-    from pyspark.sql.types import IntegerType, LongType, StructType
-
-    schema = StructType(list(df.schema.fields))
-    for _, x in names:
-        schema.add(x, LongType())
-    schema.add("pid", IntegerType())
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
-    kept = materialize(dealt, label)
-    rows = kept.groupBy("pid").agg(*[F.max(F.struct(x, (F.col(x) + F.col(src)).alias("t")))["t"].alias(x) for src, x in names]).orderBy("pid").collect()
-    before, sofar = [], [0] * len(names)
-    for r in rows:
-        before.append((r[0], *sofar))
-        sofar = [a + b for a, b in zip(sofar, r[1:], strict=True)]
-    return kept, [*before, (None, *sofar)]
-
-
-def _with_offsets(kept: DataFrame, before: list[tuple], columns: list[str]) -> DataFrame:
-    """Make the sums over the partition sums over the whole. One small row for each partition is broadcast."""
-    rows = [b for b in before if b[0] is not None]
-    spark = kept.sparkSession
-    if not rows:
-        return kept.drop("pid")
-    names = ["pid", *[f"__{c}" for c in columns]]
-    small = spark.createDataFrame([tuple(map(int, r)) for r in rows], ", ".join(f"`{x}` {'int' if x == 'pid' else 'long'}" for x in names))
-    out = kept.join(F.broadcast(small), "pid")
-    return out.withColumns({c: F.col(c) + F.col(f"__{c}") for c in columns}).drop(*names)
-
-
 class _Known:
     """Some of the ends of groups (prefix sums), in order, and whether the next known one is the very next there is."""
 
@@ -168,9 +117,9 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
     # a null id sorts before any other
     first = F.min(F.struct(F.col("id").isNotNull().alias("has"), "id"))
     groups = narrow.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), first.alias("first"))
-    kept, before = _running(groups, ["first", "digest"], {"bytes": "start", "n": "rows_before"}, "shard-groups")
+    kept, before = running(groups, ["first", "digest"], {"bytes": "start", "n": "rows_before"}, "shard-groups")
     total = before[-1][1]
-    placed = _with_offsets(kept, before, ["start", "rows_before"])
+    placed = with_offsets(kept, before, ["start", "rows_before"])
     if total:
         largest = placed.agg(F.max("bytes")).first()[0]
         cuts = minimax_cuts(placed, total, n_shards, largest)
@@ -183,9 +132,9 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
     rows_before = [sum(by.get(j, 0) for j in range(k)) for k in range(n_shards)]
     rows = narrow.join(placed.select("digest", "first", "start"), "digest")
     rows = rows.select("id", "size", "crc", "digest", "first", _shard_of("start", starts).alias("shard"), F.lit(1).cast("long").alias("one"))
-    dealt, offsets = _running(rows, ["first", "digest", "id", "size"], {"one": "place"}, "shard-places")
+    dealt, offsets = running(rows, ["first", "digest", "id", "size"], {"one": "place"}, "shard-places")
     base = F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in rows_before]), F.col("shard") + 1)
-    return _with_offsets(dealt, offsets, ["place"]).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("place") - base).alias("slot"))
+    return with_offsets(dealt, offsets, ["place"]).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("place") - base).alias("slot"))
 
 
 def _shard_of(start: str, starts: list[int]):
