@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from lectern.llm.staging import materialize, table
 from lectern.llm.tokens import default_path, encoder, small_batches, with_end
 
-CAPACITY, GROUPS = 1024, 64
+CAPACITY, GROUPS = 1024, 128
 #: Lengths up to capacity // SMALL are small.
-SMALL = 8
+SMALL = 3
 
 
 # the plan: from a histogram of lengths to runs of places --------------------------------------------------------------
@@ -183,7 +183,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     """A place for every piece of a histogram of lengths."""
     out = Plan(capacity)
     out.fill([[(capacity, 0, histogram.get(capacity, 0))]], histogram.get(capacity, 0))
-    small = capacity // SMALL
+    small = int(capacity / SMALL)
     large = {n: c for n, c in histogram.items() if small < n < capacity}
     left = [(n, 0, c) for n, c in histogram.items() if n <= small]
     if large:
