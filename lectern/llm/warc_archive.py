@@ -76,9 +76,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def _one_each(keyed: DataFrame, best: DataFrame) -> DataFrame:
-    a, b = keyed.select("digest", "id", "payload").alias("a"), best.alias("b")
-    met = a.join(b, (F.col("a.digest") == F.col("b.digest")) & F.col("a.id").eqNullSafe(F.col("b.best")), "left_semi")
-    return met.dropDuplicates(["digest", "id"]).select("digest", "payload")
+    """The payload of one row for each digest. Both steps need rows by (digest, name), so the payloads move once."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    met = keyed.select("digest", name("id").alias("name"), "payload").join(best.select("digest", name("best").alias("name")), ["digest", "name"], "left_semi")
+    return met.dropDuplicates(["digest", "name"]).select("digest", "payload")
 
 
 def read(spark: SparkSession, path: str, columns: dict[str, Column] | None = None) -> DataFrame:
