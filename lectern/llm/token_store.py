@@ -109,7 +109,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
     schema = "chunk boolean, doc_id long, n long, digests array<binary>, ends array<long>, digest binary, wide boolean, payload binary"
-    cut = materialize(rows.mapInArrow(_cutter(tokenizer or default_path(), end_id), schema), "cut")
+    cut = materialize(rows.mapInArrow(_cutter(tokenizer or default_path(), end_id), schema), "cut", "zstd")
     unique = cut.filter("chunk").select("digest", F.col("n").cast("int").alias("n"), "wide", "payload").dropDuplicates(["digest"])
     unique.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = cut.filter("not chunk").select("doc_id", F.col("n").alias("n_tokens"), "digests", "ends", F.lit(1).cast("long").alias("one"))

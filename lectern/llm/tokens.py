@@ -21,7 +21,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Runs of blanks, white space other than a blank and a line end, and the two marks used below.
 _ODD = r"[ \n]{2}|[\x{00}\x{01}\x{09}\x{0b}-\x{0d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 #: Units that an encoder remembers at most; beyond that it starts anew. This bounds memory, not what is encoded.
-_REMEMBERED = 600_000
+_REMEMBERED = 400_000
 
 
 def default_path() -> str:
@@ -52,6 +52,10 @@ class Encoder:
         pre = told.get("pre_tokenizer") or {}
         self.by_units = told["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not told.get("normalizer")
         self.special = [x["content"] for x in told.get("added_tokens", [])]
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes_of[i] = len(token)  # a character for each byte
         self.clear()
 
     def clear(self) -> None:
@@ -70,9 +74,13 @@ class Encoder:
             known.update(zip(fresh, range(base, base + len(fresh)), strict=True))
             lens, flats = [], []
             for k in range(0, len(fresh), 50_000):
-                e = self.tok.encode(fresh[k : k + 50_000], is_pretokenized=True, add_special_tokens=False)
-                flats.append(np.array(e.ids, np.uint32))
-                lens.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(fresh[k : k + 50_000])))
+                part = fresh[k : k + 50_000]
+                ids = np.array(self.tok.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+                # the ids of a unit stand for exactly its bytes, so the bytes tell where a unit's ids end
+                ends = np.cumsum(pc.binary_length(pa.array(part, pa.large_string())).to_numpy())
+                upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right")
+                flats.append(ids)
+                lens.append(np.diff(upto, prepend=0))
             self.lens = np.concatenate([self.lens, *lens])
             self.flat = np.concatenate([self.flat, *flats])
             self.starts = np.cumsum(self.lens) - self.lens
@@ -98,9 +106,10 @@ class Encoder:
         units = [u[1:] if u[:1] == "\x00" else u for u in words.dictionary.to_pylist()]
         number = self._learn(units)[words.indices.to_numpy()]
         lens = self.lens[number]
-        begin = np.cumsum(lens) - lens
-        ids = self.flat[np.repeat(self.starts[number] - begin, lens) + np.arange(int(lens.sum()))]
         ends = np.concatenate([[0], np.cumsum(lens)])
+        at = np.repeat((self.starts[number] - ends[:-1]).astype(np.int32), lens)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = self.flat[at]
         counts = np.diff(ends[cut.offsets.to_numpy()])
         if odd.any():
             where = np.flatnonzero(odd)
@@ -119,7 +128,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray,
     return ids, counts, np.concatenate([[0], np.cumsum(counts)])
 
 
-def small_batches(batches, size: int = 24 << 20):
+def small_batches(batches, size: int = 10 << 20):
     """Cut record batches so that none holds much more than ``size`` bytes of text, but for a text that is longer alone."""
     for b in batches:
         n = max(1, -(-b.nbytes // size))
