@@ -1,8 +1,8 @@
 """All queries of this package and, where SQL can express them, the same in DuckDB SQL."""
 
-from lectern.llm import packing, quality_rules, sharding, simhash_dedup, token_store, warc_archive
+from lectern.llm import decontaminate, packing, quality_rules, sharding, simhash_dedup, token_store, warc_archive
 
-MODULES = (packing, quality_rules, sharding, simhash_dedup, token_store, warc_archive)
+MODULES = (decontaminate, packing, quality_rules, sharding, simhash_dedup, token_store, warc_archive)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
