@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.staging import filter_here, table
+
 #: Frequent function words of English, German, French and Spanish, as written in the middle or at the start of a sentence.
 STOP_WORDS = (
     "a and are as at be by for from had have he in is it not of on or that the this to was were which with you "
@@ -133,15 +135,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with the input's columns."""
     df = _measured(docs, text_col)
-    return df.filter(~base_failed("m") & compile_rules(rules, "m")).select("row.*")
+    return filter_here(df, ~base_failed("m") & compile_rules(rules, "m")).select("row.*")
 
 
 # the query ------------------------------------------------------------------------------------------------------------
 
 
 def op8_quality_rules(spark, sf_dir):
-    from lectern.llm.staging import table
-
     return measure(table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -41,6 +42,12 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filter_here(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter that the optimizer leaves above the projections which compute its columns: moved below them, it would have
+    every expression that they share written out again for each use. A column that is not deterministic holds it there."""
+    return df.withColumn("__part", F.spark_partition_id()).filter(condition & (F.col("__part") >= 0)).drop("__part")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
