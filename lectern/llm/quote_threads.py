@@ -45,8 +45,10 @@ def parsed(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, tex
 
 
 def parents(messages: DataFrame) -> DataFrame:
-    """conv, turn, parent_conv, parent_turn, n_linked of the messages of which a passage was linked."""
-    rows = messages.select("conv", "turn", F.explode("passages").alias("p")).select("conv", "turn", "p.*").filter("conv is not null and turn is not null")
+    """conv, turn, parent_conv, parent_turn, n_linked of the messages of which a passage was linked. Lines are taken apart
+    once; what follows reads hashes."""
+    rows = messages.select("conv", "turn", F.explode_outer("passages").alias("p")).select("conv", "turn", "p.*")
+    rows = materialize(rows, "passages").filter("conv is not null and turn is not null and hash is not null")
     quoted = rows.filter("level > 0")
     here = rows.filter("level = 0").groupBy("hash", "conv").agg(F.min("turn").alias("turn0"))
     anywhere = here.groupBy("hash").agg(F.min(F.struct("conv", "turn0")).alias("first"))
