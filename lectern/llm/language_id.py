@@ -198,8 +198,12 @@ def keep_known(df: DataFrame, model: Model, text_col: str = "text", address_col:
 
 
 def op2_evidence_fusion(spark, sf_dir):
-    model = fit(table(spark, sf_dir, "documents"))
-    return identify(table(spark, sf_dir, "pages"), model, "page_id", "html", "url", markup=True)
+    """Documents, whose host is their source, and pages, with the language of their markup and address: one row each, with
+    doc_id or page_id."""
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents)
+    found = identify(documents, model, "doc_id", "text", "source", "lang")
+    return found.unionByName(identify(table(spark, sf_dir, "pages"), model, "page_id", "html", "url", markup=True), allowMissingColumns=True)
 
 
 QUERIES = {"op2_evidence_fusion": op2_evidence_fusion}
