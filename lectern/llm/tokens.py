@@ -21,7 +21,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Runs of blanks, white space other than a blank and a line end, and the two marks used below.
 _ODD = r"[ \n]{2}|[\x{00}\x{01}\x{09}\x{0b}-\x{0d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 #: Units that an encoder remembers at most; beyond that it starts anew. This bounds memory, not what is encoded.
-_REMEMBERED = 400_000
+_REMEMBERED = 900_000
 
 
 def default_path() -> str:
