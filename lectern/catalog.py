@@ -356,6 +356,13 @@ def bm25_top_k(spark, d) -> DataFrame:
     return retrieval.top_k(_bm25(spark, d).withColumn("score", F.round("score", 4)), 5)
 
 
+@_query(f"""WITH {_BM25.replace("raw AS (SELECT term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, c GROUP BY term), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)", "idf AS (SELECT term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf, c GROUP BY term)")} SELECT query_id, doc_id, round(score, 4) AS score, rank::INT AS rank FROM (SELECT query_id, doc_id, score, {_RANKED.format(s="round(score, 4)")} AS rank FROM bm) WHERE rank <= 5""")
+def sparse_top_k(spark, d) -> DataFrame:
+    """The same with the sparse vectors' weights, which are never negative."""
+    hits = retrieval.bm25(_items(spark, d), table(spark, d, "documents"), tx.ngram_tokens, idf=retrieval.sparse_idf)
+    return retrieval.top_k(hits.withColumn("score", F.round("score", 4)), 5)
+
+
 _HYBRID = f"""{_BM25}, mm AS (SELECT query_id, CASE WHEN count(*) < any_value(n) THEN least(min(score), 0) ELSE min(score) END AS lo, max(score) AS hi FROM bm, c GROUP BY query_id), nb AS (SELECT query_id, doc_id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE score / greatest(hi, 1) END, 9) AS b FROM bm JOIN mm USING (query_id)),
 sp AS (SELECT * FROM (SELECT *, {_RANKED.format(s="b")} AS rank FROM nb) WHERE rank <= 25), ds AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark)), de AS (SELECT * FROM (SELECT *, {_RANKED.format(s="s")} AS rank FROM ds) WHERE rank <= 25)"""
 

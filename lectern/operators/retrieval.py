@@ -60,28 +60,40 @@ def dense(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return top_k(out, k)
 
 
-def postings(docs: DataFrame, terms) -> DataFrame:
-    """(doc_id, term, tf, dl) from ``doc_id`` and an array column expression of terms."""
+def postings(docs: DataFrame, terms, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf, dl) from ``doc_id`` and an array column of terms; of ``wanted`` terms only, if given. A document's
+    terms are counted where it was read, before anything is shuffled."""
     t = docs.select("doc_id", terms.alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if wanted is not None:
+        t = t.join(wanted, "term", "left_semi")
     return t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def okapi_idf(post: DataFrame, n_docs: int, epsilon: float = 0.25) -> DataFrame:
-    """(term, idf): ln(N - df + .5) - ln(df + .5); a negative one becomes epsilon times the mean over all terms."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+def okapi_idf(df: DataFrame, n_docs: int, epsilon: float = 0.25) -> DataFrame:
+    """(term, idf) from (term, df): ln(N - df + .5) - ln(df + .5); a negative one becomes epsilon times the mean over all terms."""
     raw = df.select("term", (F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     return raw.select("term", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, terms, k1: float = 1.5, b: float = 0.75, text: str = "text") -> DataFrame:
+def sparse_idf(df: DataFrame, n_docs: int) -> DataFrame:
+    """(term, idf) that is never negative: ln((N - df + .5) / (df + .5) + 1), the weight of sparse query vectors."""
+    return df.select("term", F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+
+
+def document_frequencies(docs: DataFrame, terms) -> DataFrame:
+    """(term, df): each document's distinct terms, counted over all documents."""
+    return docs.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, terms, k1: float = 1.5, b: float = 0.75, text: str = "text", idf=okapi_idf) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a term with a query. ``terms``: text column -> array of terms.
     Terms of a query count as often as they occur in it."""
     shape = docs.select(F.size(terms(text)).alias("n")).agg(F.count("*"), F.avg("n")).first()
     n, avgdl = shape[0], shape[1] or 1.0
-    post = postings(docs.select("doc_id", text), terms(text))
     asked = queries.select("query_id", F.explode(terms(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weights = asked.join(okapi_idf(post, n), "term")
+    post = postings(docs.select("doc_id", text), terms(text), asked.select("term").distinct())
+    weights = asked.join(idf(document_frequencies(docs, terms(text)), n), "term")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)) * F.col("qtf")
     return post.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
