@@ -297,7 +297,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = materialize(rows.groupBy("node", "fp").agg(F.min("id").alias("least"), *extra), "nodes")
     found = components(links(nodes, tau, sketched))
     rooted = nodes.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")  # apart from the join, so that Spark can split the join
     named = rooted.join(ids, "root").select("node", "component_id")
     return rows.join(named, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
