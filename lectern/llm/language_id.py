@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.staging import filter_here, materialize, table
+from lectern.llm.staging import filter_here, materialize, table, without
 
 TRAIN_ROWS, BINS, ALPHA = 4000, 1 << 16, 0.05
 EFFECTIVE, DECLARED_ERROR, SUFFIX_ERROR, SMOOTHING, MIN_POSTERIOR = 60, 0.1, 0.2, 5.0, 0.6
@@ -190,8 +190,7 @@ def keep_known(df: DataFrame, model: Model, text_col: str = "text", address_col:
     parts = [F.coalesce(_column(df, c), F.lit("\x00")) for c in (text_col, address_col, declared_col)]
     key = F.md5(F.concat_ws("\x01", *parts))
     rows = df.select(F.lit(0).alias("id"), key.alias("key"), _column(df, declared_col).alias("declared"), _column(df, address_col).alias("address"), _column(df, text_col).alias("text"))
-    gone = filter_here(_judge(rows, model, False), ~F.col("kept")).select(F.col("key").alias("__gone")).distinct()
-    return df.join(gone, key == F.col("__gone"), "left_anti")
+    return without(df, key, filter_here(_judge(rows, model, False), ~F.col("kept")).select("key"))
 
 
 # the query ------------------------------------------------------------------------------------------------------------

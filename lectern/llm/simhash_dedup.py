@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import components
-from lectern.llm.staging import materialize, table
+from lectern.llm.staging import materialize, table, without
 
 SEED, BITS, BLOCK = 42, 64, 512
 #: Relative costs of a probe that is shuffled and of a pair that is compared.
@@ -306,8 +306,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     """Of each group of near-duplicates the rows with its smallest id, with the input's columns. A row goes if its id is the
     id of a row that is not its group's smallest; rows without an id stay."""
     found = components_of(docs, id_col, text_col, tau, feat)
-    gone = found.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return without(docs, F.col(f"`{id_col}`"), found.filter(F.col(id_col) > F.col("component_id")).select(id_col))
 
 
 # the query ------------------------------------------------------------------------------------------------------------

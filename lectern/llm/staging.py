@@ -48,6 +48,17 @@ def filter_here(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("__part", F.spark_partition_id()).filter(condition & (F.col("__part") >= 0)).drop("__part")
 
 
+#: Keys that are broadcast at most; their number is counted first.
+BROADCAST_KEYS = 200_000
+
+
+def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in the one column of ``gone``. Few keys are broadcast, and ``df`` stays where
+    it is; beyond ``BROADCAST_KEYS`` both are shuffled."""
+    gone = materialize(gone.toDF("__gone").distinct(), "gone")
+    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, key == F.col("__gone"), "left_anti")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
