@@ -10,6 +10,7 @@ from lectern.functions import urls
 from lectern.functions.vectors import l2_normalize
 from lectern.operators import chunking, evaluation, intents, pages, retrieval, tables
 from lectern.sources.readers import table
+from lectern.sources.shared import shared_dir
 from lectern.sources.writers import log_rows
 from lectern.streaming import incremental
 
@@ -94,14 +95,9 @@ def crawl_index(spark, d) -> DataFrame:
 s AS (SELECT DISTINCT src AS node, 0 AS depth FROM l) SELECT * FROM s UNION ALL SELECT DISTINCT dst, 1 FROM l WHERE dst NOT IN (SELECT node FROM s)""")
 def crawl_frontier(spark, d) -> DataFrame:
     """Breadth-first from the hosts over their links, each node at its smallest depth."""
-    from lectern.functions.urls import host
-
     p = table(spark, d, "pages")
-    edges = pages.links(p.select("url", "html"), "url").select(host("url").alias("src"), F.col("href").alias("dst"))
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    edges = pages.links(p.select("url", "html"), "url").select(urls.host("url").alias("src"), F.col("href").alias("dst"))
+    shared_dir(spark)
     return pages.frontier(edges, edges.select(F.col("src").alias("node")), 2)
 
 

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.shared import shared_dir
+
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of files; the checkpoint of a query remembers which were read."""
@@ -29,11 +31,15 @@ def first_seen(events: DataFrame, key: str) -> DataFrame:
 
 
 def run_to_end(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a streaming query over all that is there and give its result as a table."""
-    name = f"s{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """Run a streaming query over all that is there and give its result as a table in the shared folder. In complete mode a
+    batch replaces what stands there, in append mode it adds to it."""
+    at = f"{shared_dir(df.sparkSession)}/lectern-stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
+
+    df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/out")
 
 
 def upsert_batches(df: DataFrame, merge, checkpoint: str) -> None:
