@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the known languages, or in none for sure, go. The model is trained on what the stage gets."""
+    """Documents in none of the known languages go. The model is trained on what the stage gets."""
     model = language_id.fit(docs)
     return language_id.keep_known(docs, model, "text", "source", "lang")
 

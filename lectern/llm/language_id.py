@@ -9,7 +9,7 @@ For each row the evidence for a language l is
 and the posterior is normalised over all languages of the sample and ``und`` (none of them: trigrams as likely as any).
 
 Trigrams depend on each other, so a text counts as at most ``EFFECTIVE`` of them; its mean over the whole text is used. A
-row is kept if its best language is not ``und`` and its posterior is ``MIN_POSTERIOR`` or more.
+row is kept if the known languages together have a posterior of ``MIN_KNOWN`` or more: one that mixes two of them stays.
 
 Null or empty texts bring no evidence of their own; null or unknown declarations and suffixes bring none either. Rows with
 a null address share the empty host. Votes are integers, so results do not depend on the order of rows. Host counts are
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lectern.llm.staging import filter_here, materialize, table, without
 
 TRAIN_ROWS, BINS, ALPHA = 4000, 1 << 16, 0.05
-EFFECTIVE, DECLARED_ERROR, SUFFIX_ERROR, SMOOTHING, MIN_POSTERIOR = 60, 0.1, 0.2, 5.0, 0.6
+EFFECTIVE, DECLARED_ERROR, SUFFIX_ERROR, SMOOTHING, MIN_KNOWN = 60, 0.1, 0.2, 5.0, 0.6
 BROADCAST_HOSTS = 20_000
 
 #: Languages that top-level domains suggest.
@@ -171,7 +171,8 @@ def _judge(rows: DataFrame, model: Model, markup: bool) -> DataFrame:
     met = met.withColumn("scale", F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     names = F.array(*[F.lit(x) for x in model.names])
     met = met.withColumn("language", F.element_at(names, F.array_position("logs", F.col("top")).cast("int"))).withColumn("posterior", F.round(1 / F.col("scale"), 6))
-    return met.withColumn("kept", (F.col("language") != "und") & (F.col("posterior") >= MIN_POSTERIOR)).select("id", "key", "host", "declared", "suffix", "text_lang", "language", "posterior", "kept")
+    unknown = F.exp(F.element_at("logs", -1) - F.col("top")) / F.col("scale")
+    return met.withColumn("kept", 1 - unknown >= MIN_KNOWN).select("id", "key", "host", "declared", "suffix", "text_lang", "language", "posterior", "kept")
 
 
 def _column(df: DataFrame, name: str | None) -> Column:
