@@ -91,3 +91,15 @@ def guess_lang(x) -> Column:
 def parse_fenced_json(x, schema: str) -> Column:
     """A JSON object out of an answer that may wrap it in a code fence; null fields where it is none."""
     return F.from_json(F.btrim(F.regexp_replace(_c(x), r"```(json)?", "")), schema)
+
+
+def base_document_name(x) -> Column:
+    """A chunk's name without its chunk suffix and file extension."""
+    name = F.regexp_replace(_c(x), r"_chunk\d*$", "")
+    return F.btrim(F.regexp_replace(name, r"\.(pdf|xlsx|docx)", ""))
+
+
+def same_document(a, b) -> Column:
+    """Whether two names are of one document, whatever their chunk suffixes."""
+    plain = lambda x: F.regexp_replace(_c(x), r"_chunk\d+$", "")
+    return (_c(a) == _c(b)) | (plain(a) == plain(b))

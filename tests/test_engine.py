@@ -88,6 +88,11 @@ def test_post_cleaner(spark):
     assert _one(spark, tx.parse_fenced_json("t", "a string"), t='```json\n{"a": "b"}\n```').a == "b"
 
 
+def test_document_names(spark):
+    assert _one(spark, tx.base_document_name("t"), t="Guide.pdf_chunk12") == "Guide"
+    assert _one(spark, tx.same_document("a", "b"), a="x_chunk1", b="x_chunk12") and not _one(spark, tx.same_document("a", "b"), a="x_chunk1", b="y_chunk1")
+
+
 def test_urls(spark):
     u = "https://www.site.ac.kr/board/notice.do?mode=view&articleNo=77&article.offset=10#top"
     assert _one(spark, urls.doc_id("u"), u=u) == "www_notice_77"
