@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. The three-word grams of the test items are counted over all documents (in how many each occurs).
-2. Of every ``WINDOW`` grams of an item that follow each other the rarest is a seed. So a run of ``WINDOW`` + 2 words that
-   is copied unchanged always holds a seed, whatever the run, and however often the item was copied.
-3. A document's seeds say which stretch of it to align with which item. A stretch that holds too few of the item's words
-   to reach the threshold is passed over; all others are aligned (match 2, mismatch and gap -1). The score is that of the
-   best local alignment over that of a full copy, so edited, shortened and paraphrased copies have scores below 1.
+1. Every three-word gram of a test item is a seed. So a copy is looked at wherever three words of it in a row are
+   unchanged, whatever else was edited and however often the item or the gram occurs.
+2. A document's seeds say which stretches of it to align with which item. Seeds around which too few of the item's words
+   stand to reach the threshold are passed over (a bound, so nothing is lost by it); all others are aligned (match 2,
+   mismatch and gap -1). The score is that of the best local alignment over that of a full copy, so edited, shortened and
+   paraphrased copies have scores below 1.
 
 Test items are the stated query set: they are read in blocks of ``BLOCK_CHARS`` characters, and each block is sent to
 every task; documents are never shuffled, and a document's alignments are made where it was read.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.staging import table
 
-GRAM, WINDOW = 3, 4
+GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, 1
 THRESHOLD = 0.5
 BLOCK_CHARS = 4 << 20
@@ -50,8 +50,11 @@ class Items:
                 self.ids.append(i)
                 self.items.append(np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64))
         self.size = len(self.vocab) + 1
-        grams = [self.codes(x) for x in self.items]
-        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
+        self.distinct, self.counts = zip(*[np.unique(x, return_counts=True) for x in self.items], strict=True) if self.items else ((), ())
+        rows = np.array(sorted((int(c), k, i) for k, x in enumerate(self.items) for i, c in enumerate(self.codes(x))), np.int64).reshape(-1, 3)
+        self.seeds, self.first = np.unique(rows[:, 0], return_index=True)
+        self.first = np.append(self.first, len(rows))
+        self.postings = rows[:, 1:]
 
     def number(self, ws: list[str]) -> np.ndarray:
         get = self.vocab.get
@@ -64,19 +67,6 @@ class Items:
         a, b, c = x[:-2], x[1:-1], x[2:]
         return np.where((a < 0) | (b < 0) | (c < 0), -1, (a * self.size + b) * self.size + c)
 
-    def seed(self, df: np.ndarray) -> None:
-        """Choose each item's seeds by the document frequencies of ``grams``."""
-        found = []
-        for k, x in enumerate(self.items):
-            n = df[np.searchsorted(self.grams, g := self.codes(x))]
-            at = {i + int(np.argmin(n[i : i + WINDOW])) for i in range(max(1, len(n) - WINDOW + 1))}
-            found += [(int(g[i]), k, i) for i in at]
-        rows = np.array(sorted(found), np.int64).reshape(-1, 3)
-        self.seeds, self.first = np.unique(rows[:, 0], return_index=True)
-        self.first = np.append(self.first, len(rows))
-        self.postings = rows[:, 1:]
-        self.distinct = [np.unique(x) for x in self.items]
-
 
 def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     """(score, end in item, end in part) of the best local alignment; ends are one behind."""
@@ -93,6 +83,13 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def common(items: Items, item: int, part: np.ndarray) -> int:
+    """How many words the item and ``part`` can have in common at most, each as often as both have it."""
+    known = items.distinct[item]
+    k = np.minimum(np.searchsorted(known, part), len(known) - 1)
+    return int(np.minimum(np.bincount(k[known[k] == part], minlength=len(known)), items.counts[item]).sum())
+
+
 def hits(items: Items, text: str | None, threshold: float) -> list[tuple[int, float, int, int]]:
     """(item's number, score, first word, word behind the last) of each item that ``text`` copies, its best stretch."""
     x = items.number(words(text))
@@ -107,18 +104,28 @@ def hits(items: Items, text: str | None, threshold: float) -> list[tuple[int, fl
         return []
     n = items.first[k + 1] - items.first[k]
     rows = items.postings[np.repeat(items.first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    found = np.unique(np.column_stack([rows[:, 0], np.repeat(at, n) - rows[:, 1]]), axis=0)  # item, where its first word would stand
+    at = np.repeat(at, n)
+    order = np.lexsort((at - rows[:, 1], rows[:, 0]))
+    owner, at, starts_at = rows[order, 0], at[order], (at - rows[:, 1])[order]  # item, where the gram stands and where the item's first word would
     out: dict[int, tuple[int, float, int, int]] = {}
-    groups = np.flatnonzero(np.diff(found[:, 0], prepend=-1))
-    for b, e in zip(groups, [*groups[1:], len(found)], strict=True):
-        item = int(found[b, 0])
-        words_of, starts = items.items[item], found[b:e, 1]
+    groups = np.flatnonzero(np.diff(owner, prepend=-1))
+    for b, e in zip(groups, [*groups[1:], len(owner)], strict=True):
+        item = int(owner[b])
+        words_of = items.items[item]
         size = len(words_of)
+        held = np.append(0, np.cumsum(np.isin(x, items.distinct[item])))
+        if held[-1] < threshold * size:
+            continue
+        reach = 3 * size + GRAM  # a local alignment has at most a match for each word and two gaps for each match
+        near = held[np.minimum(at[b:e] + reach, len(x))] - held[np.maximum(at[b:e] - reach, 0)]
+        starts = starts_at[b:e][near >= threshold * size]
+        if not len(starts):
+            continue
         cuts = np.flatnonzero(np.diff(starts) > size) + 1
         for s in np.split(starts, cuts):
-            low, high = max(0, int(s[0]) - size // 4 - 1), min(len(x), int(s[-1]) + size + size // 4 + 1)
+            low, high = max(0, int(s[0]) - size), min(len(x), int(s[-1]) + 2 * size)
             part = x[low:high]
-            if int(np.isin(part, items.distinct[item]).sum()) < threshold * size:
+            if common(items, item, part) < threshold * size:
                 continue
             score, i, j = align(words_of, part)
             share = score / (MATCH * size)
@@ -142,38 +149,11 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, chars: int = BLOCK_
         yield Items(ids, texts)
 
 
-def _counter(items: Items):
-    def run(batches):
-        n = np.zeros(len(items.grams), np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                c = items.codes(items.number(words(t)))
-                c = np.unique(c[c >= 0])
-                if len(c) and len(n):
-                    k = np.minimum(np.searchsorted(items.grams, c), len(n) - 1)
-                    n[k[items.grams[k] == c]] += 1
-        k = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n[k])], names=["k", "n"])
-
-    return run
-
-
-def seeded(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> list[Items]:
-    out = []
-    for items in blocks(benchmark, item_col, item_text_col):
-        df = np.zeros(len(items.grams), np.int64)
-        for k, n in docs.select(F.col(f"`{text_col}`")).mapInArrow(_counter(items), "k long, n long").groupBy("k").agg(F.sum("n")).collect():
-            df[k] = n
-        items.seed(df)
-        out.append(items)
-    return out
-
-
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document and item that it copies: ids, score, first_word and end_word of the copy in the document."""
     spark = docs.sparkSession
     out = spark.createDataFrame([], f"{id_col} long, {item_col} long, score double, first_word long, end_word long")
-    for items in seeded(docs, benchmark, text_col, item_col, item_text_col):
+    for items in blocks(benchmark, item_col, item_text_col):
 
         def run(batches, items=items):
             for b in batches:
@@ -189,7 +169,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that copy no item, with the input's columns. Each is judged where it was read."""
     out = docs
-    for items in seeded(docs, benchmark, text_col, item_col, item_text_col):
+    for items in blocks(benchmark, item_col, item_text_col):
 
         def run(batches, items=items):
             for b in batches:

@@ -138,6 +138,24 @@ def test_edited_copies_are_found(spark):
     assert got == {(1000 + i, i) for i in range(20)} | {(2000 + i, 0) for i in range(60)}
 
 
+def test_copies_with_an_edit_every_few_words(spark):
+    """Neither an exact copy nor six unchanged words in a row are anywhere."""
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choices(vocab, k=k))) for i, k in enumerate([15, 38, 59] * 3)]
+    rows, want = [], set()
+    for i, t in items:
+        w = t.split()
+        for k in (3, 4, 5):
+            inserted = " ".join(x + " new" * (n % k == k - 1) for n, x in enumerate(w))
+            replaced = " ".join("new" if n % (k + 1) == k else x for n, x in enumerate(w))
+            for edited in (inserted, replaced):
+                want.add((len(rows), i))
+                rows.append((len(rows), " ".join(r.choices(vocab, k=50)) + f" {edited} " + " ".join(r.choices(vocab, k=50))))
+    got = decontaminate.scan(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and all(x.score < 1 for x in got)
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------------
 
 
