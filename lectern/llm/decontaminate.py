@@ -6,6 +6,9 @@
    stand to reach the threshold are passed over (a bound, so nothing is lost by it); all others are aligned (match 2,
    mismatch and gap -1). The score is that of the best local alignment over that of a full copy, so edited, shortened and
    paraphrased copies have scores below 1.
+4. A part of an item is a copy too, however long the item is: a stretch below the threshold is a hit if it holds a passage
+   worth ``PASSAGE`` words in a row, found by a second alignment in which an edit costs ``EDIT``, as much as two matches
+   bring. An alignment of that worth has ``PASSAGE`` - 2 unchanged grams at least, so other stretches are not aligned.
 
 Test items are the stated query set: they are read in blocks of ``BLOCK_CHARS`` characters, and each block is sent to
 every task; documents are never shuffled, and a document's alignments are made where it was read.
@@ -29,6 +32,7 @@ from lectern.llm.staging import table
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, 1
 THRESHOLD = 0.5
+PASSAGE, EDIT = 13, 4
 BLOCK_CHARS = 4 << 20
 
 _WORD = re.compile(r"\w+")
@@ -68,13 +72,13 @@ class Items:
         return np.where((a < 0) | (b < 0) | (c < 0), -1, (a * self.size + b) * self.size + c)
 
 
-def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
+def align(item: np.ndarray, part: np.ndarray, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int, int]:
     """(score, end in item, end in part) of the best local alignment; ends are one behind."""
-    h, ramp = np.zeros(len(part) + 1, np.int64), np.arange(len(part) + 1) * GAP
+    h, ramp = np.zeros(len(part) + 1, np.int64), np.arange(len(part) + 1) * gap
     best = (0, 0, 0)
     for i, w in enumerate(item.tolist()):
         t = np.zeros(len(part) + 1, np.int64)
-        np.maximum(h[:-1] + np.where(part == w, MATCH, MISMATCH), h[1:] - GAP, out=t[1:])
+        np.maximum(h[:-1] + np.where(part == w, MATCH, mismatch), h[1:] - gap, out=t[1:])
         t[t < 0] = 0
         h = np.maximum.accumulate(t + ramp) - ramp
         j = int(np.argmax(h))
@@ -114,22 +118,26 @@ def hits(items: Items, text: str | None, threshold: float) -> list[tuple[int, fl
         words_of = items.items[item]
         size = len(words_of)
         held = np.append(0, np.cumsum(np.isin(x, items.distinct[item])))
-        if held[-1] < threshold * size:
+        need = threshold * size
+        least = min(need, PASSAGE) if e - b > PASSAGE - GRAM else need
+        if held[-1] < least:
             continue
         reach = 3 * size + GRAM  # a local alignment has at most a match for each word and two gaps for each match
         near = held[np.minimum(at[b:e] + reach, len(x))] - held[np.maximum(at[b:e] - reach, 0)]
-        starts = starts_at[b:e][near >= threshold * size]
+        starts = starts_at[b:e][near >= least]
         if not len(starts):
             continue
         cuts = np.flatnonzero(np.diff(starts) > size) + 1
         for s in np.split(starts, cuts):
             low, high = max(0, int(s[0]) - size), min(len(x), int(s[-1]) + 2 * size)
             part = x[low:high]
-            if common(items, item, part) < threshold * size:
+            if common(items, item, part) < (least if len(s) > PASSAGE - GRAM else need):
                 continue
             score, i, j = align(words_of, part)
             share = score / (MATCH * size)
-            if share >= threshold and (item not in out or share > out[item][1]):
+            if share < threshold and (score < MATCH * PASSAGE or align(words_of, part, -EDIT, EDIT)[0] < MATCH * PASSAGE):
+                continue
+            if item not in out or share > out[item][1]:
                 back = align(words_of[:i][::-1], part[:j][::-1])
                 out[item] = (item, share, low + j - back[2], low + j)
     return [out[k] for k in sorted(out)]

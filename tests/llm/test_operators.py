@@ -156,6 +156,21 @@ def test_copies_with_an_edit_every_few_words(spark):
     assert {(x.doc_id, x.item_id) for x in got} == want and all(x.score < 1 for x in got)
 
 
+def test_passages_of_long_items_are_found(spark):
+    r = random.Random(13)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = {k: r.choices(vocab, k=k) for k in (59, 400)}
+    other = lambda: " ".join(r.choices(vocab, k=80))
+    edited = [*items[400][100:130], "new", *items[400][131:180]]
+    parts = [items[59][20:45], items[59][46:], items[400][200:213], items[400][:190], edited, items[59][:12], items[400][5:17], [x if k % 3 else "new" for k, x in enumerate(items[400][:40])]]
+    docs = spark.createDataFrame([(k, f"{other()} {' '.join(x)} {other()}") for k, x in enumerate(parts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    got = {x.doc_id: x for x in decontaminate.scan(docs, bench).collect()}
+    assert {k: x.item_id for k, x in got.items()} == {0: 59, 1: 59, 2: 400, 3: 400, 4: 400}
+    assert all(got[k].score == round(len(parts[k]) / got[k].item_id, 4) and got[k].end_word - got[k].first_word == len(parts[k]) for k in (0, 1, 2, 3))
+    assert {x.doc_id for x in decontaminate.clean(docs, bench).collect()} == {5, 6, 7}
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------------
 
 
