@@ -1,8 +1,10 @@
 """HTML extraction with removal of site templates.
 
 1. Each page is parsed once, where it was read, into text blocks. What its markup names as no part of the article (menus,
-   headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) is left out; where a page has an
-   ``article`` (or else a ``main``) only the longest of them counts.
+   headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) is left out, where a whole class, id or
+   role says so and not a part of one (``cookie-notice`` does, ``has-sidebar`` and ``related-work`` do not). Ids of
+   headings, paragraphs, sections and inline elements of an article say nothing, and what holds the article stays. Where a
+   page has an ``article`` (or else a ``main``) only the longest of them counts.
 2. Every element around a block that could be a template has a hash of its whole subtree (tags and text). Spark counts, for
    each host and hash, pages with different content, so that copies of one page count once.
 3. A subtree that recurs on at least ``LEAST`` pages and ``SHARE`` of the host's pages is a template: blocks inside it are
@@ -54,14 +56,18 @@ _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "off", "parts", "hash", "length", "inside", "holds")
+    __slots__ = ("tag", "parent", "drop", "off", "parts", "hash", "length", "inside", "holds", "top")
 
-    def __init__(self, tag: str, parent, off: bool):
-        self.tag, self.parent, self.off, self.parts = tag, parent, off, [tag]
-        self.hash, self.length, self.holds = 0, 0, False
+    def __init__(self, tag: str, parent, drop: bool):
+        self.tag, self.parent, self.drop, self.off, self.parts = tag, parent, drop, False, [tag]
+        self.hash, self.length, self.holds, self.top = 0, 0, False, False
         self.inside = parent is not None and (parent.inside or parent.tag == "article")
 
 
+def _words(value: str) -> list[str]:
+    return [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if x]
+
+
 def _off(tag: str, attrs: str, inside: bool) -> bool:
     """Whether an element is left out for its tag or its attributes."""
     if tag in DROPPED or (tag == "header" and not inside):
@@ -71,12 +77,13 @@ def _off(tag: str, attrs: str, inside: bool) -> bool:
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
-    named = {x for k in ("class", "id", "role") for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", found.get(k, "")).lower())}
     if tag in ("html", "body", "main"):
         return False
+    ids = "" if inside and (tag == "section" or tag not in CONTAINER) and tag != "article" else found.get("id", "")  # made from headings
+    named = [_words(x) for x in f"{found.get('class', '')} {ids} {found.get('role', '')}".split()]
     if tag == "article":
-        return bool(named & {"comment", "comments", "reply"})
-    return bool(named & BOILERPLATE) or (not inside and "header" in named)
+        return any(x in (["comment"], ["comments"], ["reply"]) for x in named) or bool(re.fullmatch(r"(div-)?comment-\d+", ids))
+    return any(x and BOILERPLATE.issuperset(x) for x in named) or (not inside and ["header"] in named)
 
 
 def parse(page: str) -> tuple[list[tuple[str, list[int]]], int]:
@@ -84,31 +91,25 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], int]:
     from xxhash import xxh64_intdigest
 
     root = _Node("#root", None, False)
-    at, mains = root, []
-    blocks: list[tuple[str, _Node]] = []
-    run: list[str] = []
+    at, nodes = root, []
+    events: list[tuple[_Node, str | None]] = []  # texts, None where a block may end, "" where an element ends
+    pending = False
 
     def flush() -> None:
-        if run:
-            text = " ".join("".join(run).split())
-            run.clear()
-            if text:
-                blocks.append((text, at))
-                at.parts.append(text)
-                n = at
-                while n is not None:
-                    n.length += len(text)
-                    n = n.parent
+        nonlocal pending
+        if pending:
+            events.append((at, None))
+            pending = False
 
     def close(upto: _Node) -> None:
         nonlocal at
         while at is not upto.parent:
             if at.tag in BLOCK:
                 flush()
-            n = at
-            n.hash = xxh64_intdigest("\x1f".join(n.parts).encode("utf-8", "surrogatepass")) >> 1
-            n.parent.parts.append(f"\x1e{n.hash:x}")
-            at = n.parent
+            events.append((at, ""))
+            if not at.drop:
+                at.parent.length += at.length
+            at = at.parent
 
     pos, size = 0, len(page)
     while pos < size:
@@ -118,8 +119,9 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], int]:
         if text is None and m.group(0) == "<":
             text = "<"
         if text is not None:
-            if not at.off:
-                run.append(_html.unescape(text) if "&" in text else text)
+            events.append((at, _html.unescape(text) if "&" in text else text))
+            at.length += not text.isspace() and len(text)
+            pending = True
             continue
         ending, tag, attrs = (m.group(1), m.group(2), m.group(3)) if m.group(2) else (m.group(4), m.group(5), m.group(6))
         if tag is None:
@@ -148,37 +150,89 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], int]:
             if n is not root and n.tag in ENDS[tag]:
                 close(n)
         if tag in VOID:
-            if tag == "br" and not at.off:
-                run.append(" ")
+            if tag == "br":
+                events.append((at, " "))
+                pending = True
             continue
-        node = _Node(tag, at, at.off or _off(tag, attrs or "", at.inside or at.tag == "article"))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
             pos = end.end() if end else size
             continue
         if not (attrs or "").rstrip().endswith("/") or tag in BLOCK:
-            at = node
-            if tag in ("article", "main") and not node.off:
-                mains.append(node)
+            at = _Node(tag, at, _off(tag, attrs or "", at.inside or at.tag == "article"))
+            nodes.append(at)
     flush()
     while at is not root:
         close(at)
-    articles = [n for n in mains if n.tag == "article" and n.length] or [n for n in mains if n.length]
-    top = max(articles, key=lambda n: n.length) if articles else root
-    n = top
+    tops = _tops(nodes)
+    for n in tops:
+        n.top = True
+        while n is not None and not n.holds:
+            n.holds = True
+            n = n.parent
+    return _blocks(events, bool(tops), xxh64_intdigest)
+
+
+def _dropped(n: _Node) -> int:
+    """How many elements around ``n`` are left out."""
+    k = 0
     while n is not None:
-        n.holds = True
+        k += n.drop
         n = n.parent
+    return k
+
+
+def _switch(nodes: list[_Node], tag: str) -> list[_Node]:
+    """The elements of this tag that are not left out. Where all of them are, for something around them, what holds the one
+    with the least such around it, the longest of these, stays."""
+    found = [n for n in nodes if n.tag == tag and n.length and not n.drop]
+    for _ in range(2):
+        for n in nodes:  # an element comes before those inside it
+            n.off = n.drop or n.parent.off
+        if not found or not all(n.off for n in found):
+            break
+        n = max(found, key=lambda x: (-_dropped(x), x.length))
+        while n is not None:
+            n.drop = False
+            n = n.parent
+    return [n for n in found if not n.off]
+
+
+def _tops(nodes: list[_Node]) -> list[_Node]:
+    """The elements that hold the page's text, none if it is the page itself."""
+    mains = _switch(nodes, "article") or _switch(nodes, "main")
+    return [max(mains, key=lambda n: n.length)] if mains else []
+
+
+def _blocks(events: list, cut: bool, digest) -> tuple[list[tuple[str, list[int]]], int]:
+    blocks: list[tuple[str, _Node]] = []
+    run: list[str] = []
+    for n, text in events:
+        if text:
+            if not n.off:
+                run.append(text)
+        elif text is None:
+            text = " ".join("".join(run).split())
+            run.clear()
+            while n.off:
+                n = n.parent
+            if text:
+                blocks.append((text, n))
+                n.parts.append(text)
+        elif not n.off:
+            n.hash = digest("\x1f".join(n.parts).encode("utf-8", "surrogatepass")) >> 1
+            n.parent.parts.append(f"\x1e{n.hash:x}")
     out = []
     for text, n in blocks:
-        around, x = [], n
-        while x is not None and x is not top:
-            if not x.holds and x.tag not in ("html", "body", "main", "article", "#root") and (top is root or x.tag in CONTAINER):
-                around.append(x.hash)
-            x = x.parent
-        if x is top:
+        around, within = [], not cut
+        while n is not None:
+            if not n.holds and n.tag not in ("html", "body", "main", "article", "#root") and (not cut or n.tag in CONTAINER):
+                around.append(n.hash)
+            within |= n.top
+            n = n.parent
+        if within:
             out.append((text, around))
-    return out, xxh64_intdigest("\n".join(t for t, _ in out).encode("utf-8", "surrogatepass")) >> 1
+    return out, digest("\n".join(t for t, _ in out).encode("utf-8", "surrogatepass")) >> 1
 
 
 def _parser(batches):

@@ -351,6 +351,13 @@ def test_main_text(spark):
     assert html_template.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("around", ["<div class='layout has-sidebar'>%s</div>", "<div id=noSidebar>%s</div>", "<div class='layout sidebar'>%s</div>", "<form id=f>%s</form>"])
+def test_markup_drops_nothing_of_the_article(around):
+    article = "<article><h1 class=related-title>T</h1><section id='related-work'><p>r<p id=notice-period>n<h2 id=search>s</h2><h2><span id=social>x</span></h2></section><div class='cookie-notice'>c</div><div id=comments><p>no</div></article>"
+    blocks, _ = html_template.parse(f"<nav>menu</nav>{around % (article + '<aside><article>teaser</article></aside>')}<p>foot")
+    assert [t for t, _ in blocks] == ["T", "r", "n", "s", "x"]
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------------
 
 
