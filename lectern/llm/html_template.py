@@ -7,13 +7,15 @@
    page has an ``article`` (or else a ``main``) only the longest of them counts.
 2. Every element around a block that could be a template has a hash of its whole subtree (tags and text). Spark counts, for
    each host and hash, pages with different content, so that copies of one page count once.
-3. A subtree that recurs on at least ``LEAST`` pages and ``SHARE`` of the host's pages is a template: blocks inside it are
-   deleted. Within an article only containers can be templates, never a paragraph or a heading of its own; the article,
-   the body and what holds them never are.
+3. A subtree that recurs on enough pages of the host is a template: blocks inside it are deleted. ``LEAST`` pages are enough
+   on a host of up to ``SMALL`` pages, and ``LEAST`` more for each tenfold of that (15 on a host of a million), so a
+   template of one section of a large host goes too. Within an article only containers can be templates, never a paragraph
+   or a heading of its own; the article, the body and what holds them never are.
 
-A host has at most (its elements for each page) / ``SHARE`` templates, whatever its number of pages. All templates together
-are broadcast while they are at most ``BROADCAST_TEMPLATES``; beyond that pages are joined by host, an uneven join that Spark
-splits. Counts are aggregated before they are shuffled, so a host with a third of all pages is no task's burden.
+Templates are broadcast, an array for each host, while there are at most ``BROADCAST_TEMPLATES`` of them and at most
+``HOST_TEMPLATES`` on each host. Beyond that they are joined with the subtrees of the pages by (host, hash), and what a page
+has of them with the page by (host, content): uneven joins that Spark splits, and no row holds a host's templates. Counts
+are aggregated before they are shuffled, so a host with a third of all pages is no task's burden.
 
 White space within a block becomes one blank; blocks are joined by an empty line. A null or empty page has the empty text.
 Pages with null or malformed addresses share the empty host. Repeated rows give a row each. Extra columns are ignored. An
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.staging import materialize, table
 
-LEAST, SHARE = 3, 0.1
-BROADCAST_TEMPLATES = 50_000
+LEAST, SMALL = 3, 100
+BROADCAST_TEMPLATES, HOST_TEMPLATES = 50_000, 2000
 
 #: Elements of HTML by their part in the layout of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -250,23 +252,30 @@ def _parser(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(rows, kind)], names=["id", "url", "host", "digest", "blocks"])
 
 
-def templates(parsed: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """(host, hashes) of the subtrees that recur on many pages of the host."""
+def templates(parsed: DataFrame, least: int = LEAST) -> DataFrame:
+    """(host, h): the subtrees that recur on many pages of the host."""
     pages = parsed.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    seen = parsed.select("host", "digest", F.explode(F.array_distinct(F.flatten("blocks.a"))).alias("h")).distinct()
-    counts = seen.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    many = counts.join(pages, "host").filter(F.col("n") >= F.col("pages") * share)
-    return many.groupBy("host").agg(F.collect_set("h").alias("hashes"))
+    counts = _seen(parsed).groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return counts.join(pages, "host").filter(F.col("n") >= least * F.greatest(F.lit(1.0), 1 + F.log10(F.col("pages") / SMALL))).select("host", "h")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, share: float = SHARE) -> DataFrame:
+def _seen(parsed: DataFrame) -> DataFrame:
+    """(host, digest, h): the subtrees of each content."""
+    return parsed.select("host", "digest", F.explode(F.array_distinct(F.flatten("blocks.a"))).alias("h")).distinct()
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
     """Per row: id, url, text, n_chars."""
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`"))
     parsed = rows.mapInArrow(_parser, "id long, url string, host string, digest long, blocks array<struct<t string, a array<long>>>")
     parsed = materialize(parsed, "parsed", "zstd")
-    found = materialize(templates(parsed, least, share), "templates")
-    size = found.agg(F.sum(F.size("hashes") + 1)).first()[0] or 0
-    met = parsed.join(F.broadcast(found) if size <= BROADCAST_TEMPLATES else found, "host", "left")
+    found = materialize(templates(parsed, least), "templates")
+    size = found.groupBy("host").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") + 1).alias("all"), F.max("n").alias("most")).first()
+    if (size["all"] or 0) <= BROADCAST_TEMPLATES and (size["most"] or 0) <= HOST_TEMPLATES:
+        met = parsed.join(F.broadcast(found.groupBy("host").agg(F.collect_set("h").alias("hashes"))), "host", "left")
+    else:
+        own = _seen(parsed).join(found, ["host", "h"]).groupBy("host", "digest").agg(F.collect_set("h").alias("hashes"))
+        met = parsed.join(materialize(own, "own"), ["host", "digest"], "left")
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["a"], F.col("hashes")), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["t"]), "\n\n")
     out = met.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"))

@@ -358,6 +358,17 @@ def test_markup_drops_nothing_of_the_article(around):
     assert [t for t, _ in blocks] == ["T", "r", "n", "s", "x"]
 
 
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_templates_of_a_section_of_a_large_host(spark, broadcast, monkeypatch):
+    """5 % of the pages of the host, and none of what a few pages share."""
+    monkeypatch.setattr(html_template, "BROADCAST_TEMPLATES", broadcast)
+    page = "<article><h1>T %d</h1><p>text %d</p>%s</article>"
+    box = lambda i: "<div><p>read more</p></div>" if i % 20 == 0 else "<ul><li>quoted</ul>" if i < 5 else ""
+    rows = [(i, "http://h.example/p", page % (i, i, box(i))) for i in range(1000)] + [(1000 + i, "http://s.example/p", page % (i, i, box(i % 2))) for i in range(6)]
+    got = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T {i % 1000}\n\ntext {i % 1000}" + ("\n\nquoted" if 0 < i < 5 else "") for i, *_ in rows}
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------------
 
 
