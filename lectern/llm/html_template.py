@@ -4,7 +4,8 @@
    headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) is left out, where a whole class, id or
    role says so and not a part of one (``cookie-notice`` does, ``has-sidebar`` and ``related-work`` do not). Ids of
    headings, paragraphs, sections and inline elements of an article say nothing, and what holds the article stays. Where a
-   page has an ``article`` (or else a ``main``) only the longest of them counts.
+   page has an ``article``, the blocks of all that are not marked as comments or teasers and of the ``main`` around them
+   count, in page order; or else those of its ``main``.
 2. Every element around a block that could be a template has a hash of its whole subtree (tags and text). Spark counts, for
    each host and hash, pages with different content, so that copies of one page count once.
 3. A subtree that recurs on enough pages of the host is a template: blocks inside it are deleted. ``LEAST`` pages are enough
@@ -48,6 +49,7 @@ BOILERPLATE = frozenset(
     "hidden masthead menu modal nav navbar navigation newsletter notice notices paywall pager pagination popup promo promoted promotion recommended related replies respond search share sharebar sharing sidebar "
     "signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+ASIDE = frozenset("comment comments reply teaser teasers promo promoted sponsored related recommended".split())
 #: Which open elements a start tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("html body table ul ol dl select article section div td th".split())
@@ -63,7 +65,7 @@ class _Node:
     def __init__(self, tag: str, parent, drop: bool):
         self.tag, self.parent, self.drop, self.off, self.parts = tag, parent, drop, False, [tag]
         self.hash, self.length, self.holds, self.top = 0, 0, False, False
-        self.inside = parent is not None and (parent.inside or parent.tag == "article")
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
 
 
 def _words(value: str) -> list[str]:
@@ -84,7 +86,7 @@ def _off(tag: str, attrs: str, inside: bool) -> bool:
     ids = "" if inside and (tag == "section" or tag not in CONTAINER) and tag != "article" else found.get("id", "")  # made from headings
     named = [_words(x) for x in f"{found.get('class', '')} {ids} {found.get('role', '')}".split()]
     if tag == "article":
-        return any(x in (["comment"], ["comments"], ["reply"]) for x in named) or bool(re.fullmatch(r"(div-)?comment-\d+", ids))
+        return any(len(x) == 1 and x[0] in ASIDE for x in named) or bool(re.fullmatch(r"(div-)?comment-\d+", ids))
     return any(x and BOILERPLATE.issuperset(x) for x in named) or (not inside and ["header"] in named)
 
 
@@ -161,7 +163,7 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], int]:
             pos = end.end() if end else size
             continue
         if not (attrs or "").rstrip().endswith("/") or tag in BLOCK:
-            at = _Node(tag, at, _off(tag, attrs or "", at.inside or at.tag == "article"))
+            at = _Node(tag, at, _off(tag, attrs or "", at.inside or at.tag in ("article", "main")))
             nodes.append(at)
     flush()
     while at is not root:
@@ -201,9 +203,16 @@ def _switch(nodes: list[_Node], tag: str) -> list[_Node]:
 
 
 def _tops(nodes: list[_Node]) -> list[_Node]:
-    """The elements that hold the page's text, none if it is the page itself."""
-    mains = _switch(nodes, "article") or _switch(nodes, "main")
-    return [max(mains, key=lambda n: n.length)] if mains else []
+    """The elements that hold the page's text, none if it is the page itself: articles and any main around them, or else mains."""
+    articles = _switch(nodes, "article")
+    if not articles:
+        return _switch(nodes, "main")
+    around = []
+    for n in articles:
+        while (n := n.parent) is not None:
+            if n.tag == "main" and n not in around:
+                around.append(n)
+    return articles + around
 
 
 def _blocks(events: list, cut: bool, digest) -> tuple[list[tuple[str, list[int]]], int]:

@@ -369,6 +369,14 @@ def test_templates_of_a_section_of_a_large_host(spark, broadcast, monkeypatch):
     assert got == {i: f"T {i % 1000}\n\ntext {i % 1000}" + ("\n\nquoted" if 0 < i < 5 else "") for i, *_ in rows}
 
 
+def test_all_articles_of_a_page_count():
+    parts = "<article><h2>One</h2><p>first entry</article><article><h2>Two</h2><p>second entry, the longest</article><p>between</p><article class=teaser><p>t</article><article id=comment-7><p>c</article><aside><article><p>a</article></aside>"
+    page = f"<header>site</header><p>above<main><header><h1>Title</h1><p>lead</header>{parts}<article><p>third</article></main><footer>f</footer>"
+    assert [t for t, _ in html_template.parse(page)[0]] == ["Title", "lead", "One", "first entry", "Two", "second entry, the longest", "between", "third"]
+    assert [t for t, _ in html_template.parse(f"<p>above<div>{parts}</div>")[0]] == ["One", "first entry", "Two", "second entry, the longest"]
+    assert [t for t, _ in html_template.parse("<p>above<main><p>a</main><main><p>b</main>")[0]] == ["a", "b"]
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------------
 
 
