@@ -1,12 +1,12 @@
 """Language identification by Bayesian fusion of evidence.
 
 For each row the evidence for a language l is
-    log P(text | l)       character trigrams, multinomial, trained on a bounded sample of labelled rows
+    log P(text | l)       character trigrams, multinomial, trained on up to ``TRAIN_ROWS`` rows of each label
   + log P(declared | l)   the language that the markup (or a column) declares, right in ``1 - DECLARED_ERROR`` of cases
   + log P(suffix | l)     what the address's top-level domain suggests, right in ``1 - SUFFIX_ERROR`` of cases
   + log prior(l | host)   shares of the languages on the host, smoothed by those of its domain, which are smoothed by those
                           of all rows; grouped aggregations over all rows, the row's own vote taken out
-and the posterior is normalised over all languages of the sample and ``und`` (none of them: trigrams as likely as any).
+and the posterior is normalised over all languages that occur as labels and ``und`` (none of them: trigrams as likely as any).
 
 Trigrams depend on each other, so a text counts as at most ``EFFECTIVE`` of them; its mean over the whole text is used. A
 row is kept if the known languages together have a posterior of ``MIN_KNOWN`` or more: one that mixes two of them stays.
@@ -87,11 +87,45 @@ class Model:
         return np.log(np.append(right, 1 / (n + 1)))
 
 
+def _sample(known: DataFrame, rows: int) -> DataFrame:
+    """(label, text): for each label the ``rows`` rows with the smallest ``h``, all if it has no more. Rows with the same h are
+    the same. Rows are counted by label and leading bits of h, further bits where those leave too many."""
+    spark = known.sparkSession
+    cuts: dict[str, int] = {}
+    left: dict[str, tuple[int, int, int]] = {}  # label: first and last h that are in question, rows that are needed of these
+    shift, asked = 54, known
+    while True:
+        counts: dict[str, list] = {}
+        for label, b, n in asked.groupBy("label", F.shiftright("h", shift).alias("b")).agg(F.count("*")).collect():
+            counts.setdefault(label, []).append((b, n))
+        for label, found in counts.items():
+            need = left.pop(label, (0, 0, rows))[2]
+            cuts[label] = (1 << 63) - 1 if label not in cuts else cuts[label]
+            for b, n in sorted(found):
+                if n >= need:
+                    cuts[label] = ((b + 1) << shift) - 1
+                    if n > need + rows and shift > 4:
+                        left[label] = (b << shift, cuts[label], need)
+                    break
+                need -= n
+        if not left:
+            break
+        shift -= 10
+        asked = known.join(F.broadcast(spark.createDataFrame([(k, *v[:2]) for k, v in left.items()], "label string, low long, high long")), "label").filter("h between low and high")
+    limits = lambda x: F.broadcast(spark.createDataFrame(list(x.items()), "label string, cut long"))
+    near = materialize(known.join(limits(cuts), "label").filter("h <= cut").groupBy("label", "h").agg(F.first("text").alias("text")), "sample")
+    held: dict[str, list] = {}
+    for label, h in near.select("label", "h").collect():
+        held.setdefault(label, []).append(h)
+    last = {k: sorted(v)[min(rows, len(v)) - 1] for k, v in held.items()}
+    return near.join(limits(last), "label").filter("h <= cut").select("label", "text")
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most about ``rows`` labelled rows, those with the smallest hashes of their ids."""
-    known = labelled.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    order = F.xxhash64(F.col(f"`{id_col}`"))
-    last = known.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    """Train on at most ``rows`` labelled rows for each label, those with the smallest hashes of id and text. So every label
+    that occurs is a class, however few rows have it."""
+    label, text = F.lower(F.col(f"`{label_col}`").cast("string")), F.col(f"`{text_col}`")
+    known = labelled.select(label.alias("label"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("h")).filter("label is not null and text is not null")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -102,9 +136,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         names = sorted(sums)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[x].tobytes() for x in names], pa.binary())], names=["label", "n"])
 
-    sample = known.filter(order <= F.lit(last)).select(F.lower(F.col(f"`{label_col}`").cast("string")), F.col(f"`{text_col}`"))
     got: dict[str, np.ndarray] = {}
-    for r in [] if last is None else sample.coalesce(8).mapInArrow(count, "label string, n binary").collect():
+    for r in _sample(known, rows).coalesce(8).mapInArrow(count, "label string, n binary").collect():
         got[r["label"]] = got.get(r["label"], 0) + np.frombuffer(r["n"], np.int64)
     names = sorted(got)
     columns = [np.log((got[x] + ALPHA) / (got[x].sum() + ALPHA * BINS)) for x in names]

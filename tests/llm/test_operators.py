@@ -102,6 +102,21 @@ def test_fusion_by_hand(spark):
     assert got[0].language == "en" and got[0].posterior == pytest.approx(post[1], abs=1e-5) and got[9].suffix == "de"
 
 
+def test_rare_labels_are_classes(spark):
+    """One label in 4000 and more, with a sample of a hundredth of the rows; the sample is the same however rows are dealt."""
+    rows = [(i, f"the house and the sea {i}", "en") for i in range(8000)] + [(9000 + i, f"ett hus och en sjö {i}", "SV") for i in range(2)] + [(None, "same", "xx")] * 500 + [(1, None, "no")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(d, rows=80)
+    assert model.names == ("en", "sv", "xx", "und")
+    assert (language_id.fit(d.repartition(7, "text"), rows=80).weights == model.weights).all()
+    judged = language_id.identify(d, model, "doc_id", "text").filter("doc_id >= 9000").collect()
+    assert [(r.text_lang, r.kept) for r in judged] == [("sv", True)] * 2
+    known = d.filter("text is not null").select(F.lower("lang").alias("label"), "text", F.xxhash64("doc_id", "text").alias("h"))
+    least = {r.text for r in known.filter("label = 'en'").orderBy("h").limit(80).collect()}
+    got = language_id._sample(known, 80).collect()
+    assert {r.text for r in got if r.label == "en"} == least and len(got) == 80 + 2 + 1
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------------
 
 
