@@ -14,9 +14,11 @@ Buckets are counted before they are dealt. One with more than ``BLOCK`` members
 is a task's work of its own: no bucket lands in one task, and no candidate is left out. A task joins what it has verified
 into trees, so a group of thousands of copies leaves it with a link for each member and not for each pair.
 
-For near-duplicates proper a sketch travels with each fingerprint (MinHash of five-word shingles), and a link also takes an
-estimated similarity of 0.8. ``fingerprints`` then takes distinct words, whose fingerprints stay near where a few words
-differ, and ``tau`` is 6.
+For near-duplicates proper a link takes a Jaccard similarity of 0.8 of the sets of five-word shingles, which is computed from
+the texts of the candidates. A sketch (MinHash) travels with each fingerprint and only says which pairs are not worth it: of
+those with 0.8 less than one in 10,000. ``fingerprints`` then takes distinct words, whose fingerprints stay near where a few
+words differ, and ``tau`` is 6. Few words make fingerprints jump, so texts of at most ``SHORT`` shingles are found by these
+instead: sets that are as similar have one in common of their first n - ceil(0.8 n) + 1 in the order of hashes.
 
 Texts without a word have fingerprint zero and are linked like any other; a null text is an empty one. Rows with equal ids
 or null ids are rows like any other; a component's id is its smallest id that is not null. Columns other than id and text
@@ -40,6 +42,11 @@ SEED, BITS, BLOCK = 42, 64, 512
 #: Relative costs of a probe that is shuffled and of a pair that is compared.
 PROBE_COST, PAIR_COST = 2e-6, 1e-8
 PERMUTATIONS, SIMILARITY = 128, 0.8
+#: Positions that agree: below the first a pair is no candidate; from the second on its members need no other link between them.
+LOOSE, CERTAIN = 84, 122
+SHORT = 80
+#: Texts of candidates are found by a broadcast of at most so many keys.
+BROADCAST_TEXTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -92,25 +99,31 @@ def minhash(h: np.ndarray) -> bytes:
 def _worker(feat: Features):
     def run(batches):
         for b in batches:
-            fps, sketches = [], []
+            fps, sketches, firsts = [], [], []
             for t in b.column(1).to_pylist():
                 words = (t or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only ASCII white space
                 s = _shingles(words, feat.words)
                 fps.append(majority(_hashes(list(set(s)) if feat.distinct else s)))
                 if feat.sketch:
-                    sketches.append(minhash(_hashes(list(set(_shingles(words, feat.sketch))))))
+                    h = _hashes(list(set(_shingles(words, feat.sketch))))
+                    sketches.append(minhash(h))
+                    firsts.append(np.sort(h)[: len(h) - int(np.ceil(SIMILARITY * len(h))) + 1].view(np.int64) if len(h) <= SHORT else [])
             cols, names = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"]
             if feat.sketch:
-                cols, names = [*cols, pa.array(sketches, pa.binary())], [*names, "sketch"]
+                cols, names = [*cols, pa.array(sketches, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), b.column(2)], [*names, "sketch", "firsts", "key"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, feat: Features) -> DataFrame:
-    """(id, fp, sketch) per row; fp as a signed long."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`"))
-    return rows.mapInArrow(_worker(feat), "id long, fp long" + (", sketch binary" if feat.sketch else ""))
+    """(id, fp, sketch, firsts, key) per row; fp as a signed long, key of the text."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`"), *([_key(text_col).alias("key")] if feat.sketch else []))
+    return rows.mapInArrow(_worker(feat), "id long, fp long" + (", sketch binary, firsts array<long>, key long" if feat.sketch else ""))
+
+
+def _key(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
 # partitions and thresholds ---------------------------------------------------------------------------------------------
@@ -212,10 +225,8 @@ def probes(fps: DataFrame, tau: int) -> list[tuple[int, ...]]:
 
 
 def _verifier(tau: int, sketched: bool):
-    need = int(np.ceil(SIMILARITY * PERMUTATIONS))
-
-    def linked(gid, node, fp, sketch):
-        """A forest over the rows that are near another one of their group."""
+    def linked(gid, node, fp, sketch, short):
+        """A forest over the rows that are near another one of their group; with sketches also all pairs that may be near."""
         n = len(gid)
         ends = np.flatnonzero(np.diff(gid)) + 1
         begins, ends = np.concatenate([[0], ends]), np.concatenate([ends, [n]])
@@ -234,10 +245,14 @@ def _verifier(tau: int, sketched: bool):
             at = at[at + lag < stop[at]]
             if not len(at):
                 break
-            a = at[(np.bitwise_count(fp[at] ^ fp[at + lag]) <= tau)]
+            near = np.bitwise_count(fp[at] ^ fp[at + lag]) <= tau
+            a = at[near | (short[at] & short[at + lag])] if sketched else at[near]
             a = a[label[a] != label[a + lag]]
             if sketched and len(a):
-                a = a[(sketch[a] == sketch[a + lag]).sum(1) >= need]
+                agree = (sketch[a] == sketch[a + lag]).sum(1)
+                a, agree = a[agree >= LOOSE], agree[agree >= LOOSE]
+                out += [(x, x + lag) for x in a[agree < CERTAIN].tolist()]
+                a = a[agree >= CERTAIN]
             if not len(a):
                 continue
             for x in a.tolist():
@@ -267,35 +282,66 @@ def _verifier(tau: int, sketched: bool):
 
     def _arrays(t):
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) if sketched else None
-        return t.column("gid").to_numpy(), t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64), sketch
+        short = t.column("short").to_numpy() if sketched else None
+        return t.column("gid").to_numpy(), t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64), sketch, short
 
     return run
 
 
 def links(nodes: DataFrame, tau: int, sketched: bool, block: int = BLOCK) -> DataFrame:
-    """(u, v): verified links that connect whatever is connected. ``nodes``: node, fp and, if ``sketched``, sketch."""
+    """(u, v): verified links that connect whatever is connected; if ``sketched``, candidates for these. ``nodes``: node, fp
+    and, if ``sketched``, sketch and firsts."""
     keys = probes(nodes, tau)
-    extra = ["sketch"] if sketched else []
-    bucket = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_mask(k)))) for i, k in enumerate(keys)])).alias("bucket")
+    extra = ["sketch", (F.size("firsts") > 0).alias("short")] if sketched else []
+    probed = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_mask(k)))) for i, k in enumerate(keys)])
+    if sketched:
+        probed = F.concat(probed, F.transform("firsts", lambda x: F.xxhash64(F.lit(-1), x)))
+    bucket = F.explode(probed).alias("bucket")
     counts = nodes.select(bucket).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     met = nodes.select("node", "fp", *extra, bucket).join(counts, "bucket")
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(1)), blocks)
     of = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.xxhash64("bucket", F.least(b, mine), F.greatest(b, mine)))
-    met = met.select("node", "fp", *extra, F.explode(F.when(F.col("n") > block, of).otherwise(F.array("bucket"))).alias("gid"))
+    met = met.select("node", "fp", *(["sketch", "short"] if sketched else []), F.explode(F.when(F.col("n") > block, of).otherwise(F.array("bucket"))).alias("gid"))
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = met.repartition(n, "gid").sortWithinPartitions("gid", "node")
     return dealt.mapInArrow(_verifier(tau, sketched), "u long, v long")
 
 
+def _similar(batches):
+    for b in batches:
+        a, c = ([np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (2, 3))
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, c, strict=True)]
+        yield b.filter(pa.array([n >= SIMILARITY * (len(x) + len(y) - n) for n, x, y in zip(both, a, c, strict=True)], pa.bool_())).select([0, 1])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, feat: Features) -> DataFrame:
+    """The pairs whose texts have a Jaccard similarity of ``SIMILARITY``. ``nodes``: node and the key of a text of it."""
+
+    def sets(batches):
+        for b in batches:
+            found = [_hashes(list(set(_shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), feat.sketch)))).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+
+    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = materialize(nodes.join(ends, "node").select("node", "key"), "asked")
+    few = asked.count() <= BROADCAST_TEXTS
+    texts = docs.select(_key(text_col).alias("key"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(asked) if few else asked, "key")
+    found = materialize(texts.groupBy("node").agg(F.first("t").alias("t")).mapInArrow(sets, "node long, shingles binary"), "shingles")
+    met = pairs.join(found.toDF("u", "a"), "u").join(found.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    return met.mapInArrow(_similar, "u long, v long")
+
+
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 3, feat: Features = CONTRACT) -> DataFrame:
     """Per row: id, fingerprint, component_id."""
     rows = fingerprints(docs, id_col, text_col, feat)
     sketched = feat.sketch > 0
     rows = materialize(rows.withColumn("node", F.xxhash64("fp", "sketch") if sketched else F.col("fp")), "fingerprints")
-    extra = [F.first("sketch").alias("sketch")] if sketched else []
+    extra = [F.first("sketch").alias("sketch"), F.first("firsts").alias("firsts"), F.min("key").alias("key")] if sketched else []
     nodes = materialize(rows.groupBy("node", "fp").agg(F.min("id").alias("least"), *extra), "nodes")
-    found = components(links(nodes, tau, sketched))
+    near = links(nodes, tau, sketched)
+    found = components(verified(near, nodes, docs, text_col, feat) if sketched else near)
     rooted = nodes.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")  # apart from the join, so that Spark can split the join
     named = rooted.join(ids, "root").select("node", "component_id")

@@ -290,6 +290,23 @@ def test_near_copies_go_and_others_stay(spark):
     assert left >= set(range(40)) | set(range(80, 120)) and len(left & set(range(40, 80))) <= 2
 
 
+def test_near_copies_by_exact_similarity(spark):
+    """Short texts with a changed last word or some changed words go if the exact similarity is 0.8 and stay if it is less."""
+    r = random.Random(14)
+    word = lambda: f"{r.getrandbits(40):x}"
+    rows, want = [], set()
+    for k in (10, 20, 30, 45, 70, 100) * 15:
+        w = [word() for _ in range(k)]
+        x = w[: -r.choice([1, 1, 2, 3, 4, 5, 8])]
+        x += [word() for _ in range(k - len(x))]
+        a, b = ({tuple(y[i : i + 5]) for i in range(k - 4)} for y in (w, x))
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(x))]
+        want |= {rows[-2][0]} | ({rows[-1][0]} if len(a & b) < 0.8 * len(a | b) else set())
+    kept = {x.doc_id for x in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    short = {i for i, t in rows if len(t.split()) <= 70}
+    assert len(want & short) < len(short) and kept & short == want & short and kept >= want
+
+
 def test_thresholds_are_a_cover():
     cost, t = simhash_dedup.allocate([[5.0, 9.0, 20.0], [1.0, 2.0, 9.0], [4.0, 50.0, 90.0]], 4)
     assert sum(x + 1 for x in t) == 4 and cost == sum([[5, 9, 20], [1, 2, 9], [4, 50, 90]][i][x] for i, x in enumerate(t) if x >= 0) == 11.0
