@@ -332,12 +332,48 @@ def test_store_round_trip(spark, docs):
     assert len(digests) == len(set(map(bytes, digests)))
 
 
-def test_damage_is_seen(spark):
-    path = token_store.write(spark.createDataFrame([(1, "some text"), (2, "more")], "doc_id long, text string"), staging.new_path(spark, "s"))
-    bad = staging.materialize(spark.read.parquet(f"{path}/recipes").withColumn("n_tokens", F.col("n_tokens") + 1), "bad")
-    bad.write.mode("overwrite").parquet(f"{path}/recipes")
+@pytest.mark.parametrize(
+    "table, column, value",
+    [("recipes", c, f"{c} + 1") for c in ("n_tokens", "start", "crc", "doc_id", "pos")] + [("recipes", "digests", "reverse(digests)"), ("manifest", "ids_before", "ids_before + 1"), ("manifest", "docs_before", "docs_before + 1")],
+)
+def test_damage_is_seen(spark, table, column, value):
+    path = token_store.write(spark.createDataFrame([(1, " ".join(f"text {i * i}" for i in range(999))), (2, "more")], "doc_id long, text string"), staging.new_path(spark, "s"))
+    bad = staging.materialize(spark.read.parquet(f"{path}/{table}").withColumn(column, F.expr(value)), "bad")
+    bad.write.mode("overwrite").parquet(f"{path}/{table}")
     with pytest.raises(ValueError):
         token_store.verify(spark, path)
+    if column in ("n_tokens", "crc", "digests"):  # also where nobody asked for the roots
+        for read in (token_store.summaries, token_store.reconstruct):
+            with pytest.raises(Exception, match="do not hold its ids"):
+                read(spark, path).collect()
+
+
+def test_damaged_chunks_are_seen(spark):
+    path = token_store.write(spark.createDataFrame([(1, "some text"), (2, "more")], "doc_id long, text string"), staging.new_path(spark, "s"))
+    bad = staging.materialize(spark.read.parquet(f"{path}/chunks").withColumn("payload", F.reverse(F.hex("payload")).cast("binary")), "bad")
+    bad.write.mode("overwrite").parquet(f"{path}/chunks")
+    with pytest.raises(Exception, match="is damaged"):
+        token_store.summaries(spark, path).collect()
+
+
+@pytest.mark.parametrize("remembered", [0, 32 << 20])
+def test_pieces_come_to_the_ids_of_the_text(remembered):
+    import pyarrow as pa
+
+    r = random.Random(15)
+    texts = ["'s", ".'s \n's", "don't, won't!.. x", "a,b,c. 3rd 4,5 ..,;", "naïve Ωmega, Привет. 漢字, e\u0301.", "x<|endoftext|>y", "\n", "\na\n", " ", "a  b", "", None, "Ab.\nCd,\nEf", "\n.x\n,", " .", "ŉ.", "ſ,"]
+    texts += ["".join(r.choices("ab .,\n';:é1!?Ж\u0301", k=30)) for _ in range(2000)]
+    enc = tokens.Encoder(tokens.default_path(), remembered)
+    for part in (texts, texts[::-1], texts[:1], []):
+        want = [_tokenizer_ids(t) for t in part]
+        ids, counts = enc.encode(pa.array(part, pa.string()))
+        assert list(counts) == list(map(len, want)) and list(ids) == [i for w in want for i in w]
+
+
+def _tokenizer_ids(text):
+    global _TOK
+    _TOK = globals().get("_TOK") or _tokenizer()
+    return _TOK.encode(text or "", add_special_tokens=False).ids
 
 
 def test_crc_of_parts():
