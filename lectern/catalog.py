@@ -9,24 +9,14 @@ from lectern.functions import text as tx
 from lectern.functions import urls
 from lectern.functions.vectors import l2_normalize
 from lectern.operators import chunking, evaluation, intents, pages, retrieval, tables
+from lectern.plans import QUERIES, SQL, page_parts, records, runs
+from lectern.plans import query as _query
 from lectern.sources.readers import table
 from lectern.sources.shared import shared_dir
 from lectern.sources.writers import log_rows
 from lectern.streaming import incremental
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "page_parts", "records", "runs"]
 
 # pages ----------------------------------------------------------------------------------------------------------------
 
@@ -128,7 +118,7 @@ _GRAMS = "list_concat({k}, list_concat(flatten(list_transform(list_filter({k}, l
 @_query(f"""WITH t AS (SELECT doc_id, {_TOK.format(t="text")} AS k FROM documents) SELECT doc_id, len(k)::INT AS words, len({_GRAMS.format(k="k")})::INT AS terms, len(list_distinct({_GRAMS.format(k="k")}))::INT AS distinct_terms FROM t""")
 def token_counts(spark, d) -> DataFrame:
     """Words, and words with their character n-grams, per document."""
-    df = table(spark, d, "documents").select("doc_id", tx.tokens("text").alias("w"), tx.ngram_tokens("text").alias("t"))
+    df = table(spark, d, "documents").select("doc_id", tx.tokens("text").alias("w")).select("doc_id", "w", tx.with_ngrams(F.col("w")).alias("t"))
     return df.select("doc_id", F.size("w").alias("words"), F.size("t").alias("terms"), F.size(F.array_distinct("t")).alias("distinct_terms"))
 
 
@@ -330,11 +320,12 @@ def boosted_search(spark, d) -> DataFrame:
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.round("boosted", 6).alias("boosted"), "rank")
 
 
-_BM25 = f"""dt AS (SELECT doc_id, {_GRAMS.format(k="k")} AS t FROM (SELECT doc_id, {_TOK.format(t="text")} AS k FROM documents)), qt AS (SELECT item_id AS query_id, unnest({_GRAMS.format(k="k")}) AS term FROM (SELECT item_id, {_TOK.format(t="text")} AS k FROM benchmark)),
-c AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM dt), tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dt) GROUP BY doc_id, term),
-raw AS (SELECT term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, c GROUP BY term), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
+_BM25_COUNTS = f"""dt AS (SELECT doc_id, {_GRAMS.format(k="k")} AS t FROM (SELECT doc_id, {_TOK.format(t="text")} AS k FROM documents)), qt AS (SELECT item_id AS query_id, unnest({_GRAMS.format(k="k")}) AS term FROM (SELECT item_id, {_TOK.format(t="text")} AS k FROM benchmark)),
+c AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM dt), tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dt) GROUP BY doc_id, term)"""
+_OKAPI_IDF = "raw AS (SELECT term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, c GROUP BY term), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"
+_BM25_SCORES = """q AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
 bm AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * qtf) AS score FROM q JOIN idf USING (term) JOIN tf USING (term), c GROUP BY ALL)"""
+_BM25 = f"{_BM25_COUNTS}, {_OKAPI_IDF}, {_BM25_SCORES}"
 _RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY {s} DESC, doc_id)"
 
 
@@ -342,40 +333,47 @@ def _items(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _bm25(spark, d) -> DataFrame:
-    return retrieval.bm25(_items(spark, d), table(spark, d, "documents"), tx.ngram_tokens)
+def _documents(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 @_query(f"""WITH {_BM25} SELECT query_id, doc_id, round(score, 4) AS score, rank::INT AS rank FROM (SELECT query_id, doc_id, score, {_RANKED.format(s="round(score, 4)")} AS rank FROM bm) WHERE rank <= 5""")
 def bm25_top_k(spark, d) -> DataFrame:
     """Okapi BM25 over words and character n-grams."""
-    return retrieval.top_k(_bm25(spark, d).withColumn("score", F.round("score", 4)), 5)
+    return retrieval.bm25(_items(spark, d), _documents(spark, d), 5, digits=4)
 
 
-@_query(f"""WITH {_BM25.replace("raw AS (SELECT term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, c GROUP BY term), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)", "idf AS (SELECT term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf, c GROUP BY term)")} SELECT query_id, doc_id, round(score, 4) AS score, rank::INT AS rank FROM (SELECT query_id, doc_id, score, {_RANKED.format(s="round(score, 4)")} AS rank FROM bm) WHERE rank <= 5""")
+_SPARSE_IDF = "idf AS (SELECT term, power(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 2) AS idf FROM tf, c GROUP BY term)"
+_SPARSE = f"{_BM25_COUNTS}, {_SPARSE_IDF}, {_BM25_SCORES}"
+
+
+@_query(f"""WITH {_SPARSE} SELECT query_id, doc_id, round(score, 4) AS score, rank::INT AS rank FROM (SELECT query_id, doc_id, score, {_RANKED.format(s="round(score, 4)")} AS rank FROM bm) WHERE rank <= 5""")
 def sparse_top_k(spark, d) -> DataFrame:
-    """The same with the sparse vectors' weights, which are never negative."""
-    hits = retrieval.bm25(_items(spark, d), table(spark, d, "documents"), tx.ngram_tokens, idf=retrieval.sparse_idf)
-    return retrieval.top_k(hits.withColumn("score", F.round("score", 4)), 5)
+    """The product of sparse vectors, both of which carry an idf that is never negative."""
+    return retrieval.bm25(_items(spark, d), _documents(spark, d), 5, idf=retrieval.sparse_idf, digits=4)
 
 
-_HYBRID = f"""{_BM25}, mm AS (SELECT query_id, CASE WHEN count(*) < any_value(n) THEN least(min(score), 0) ELSE min(score) END AS lo, max(score) AS hi FROM bm, c GROUP BY query_id), nb AS (SELECT query_id, doc_id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE score / greatest(hi, 1) END, 9) AS b FROM bm JOIN mm USING (query_id)),
+_HYBRID = f"""{_BM25}, mm AS (SELECT query_id, CASE WHEN count(*) < any_value(n) THEN least(min(score), 0) ELSE min(score) END AS lo, max(score) AS hi FROM bm, c GROUP BY query_id), nb AS (SELECT query_id, doc_id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE score / greatest(hi, 1) END, 7) AS b FROM bm JOIN mm USING (query_id)),
 sp AS (SELECT * FROM (SELECT *, {_RANKED.format(s="b")} AS rank FROM nb) WHERE rank <= 25), ds AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark)), de AS (SELECT * FROM (SELECT *, {_RANKED.format(s="s")} AS rank FROM ds) WHERE rank <= 25)"""
 
 
 def _both(spark, d):
-    docs = table(spark, d, "documents")
-    sparse = retrieval.top_k(retrieval.min_max(_bm25(spark, d), docs.count()).withColumn("score", F.round("score", 9)), 25)
+    sparse = retrieval.bm25(_items(spark, d), _documents(spark, d), 25, normalised=True, digits=7)
     asked = _vectors(spark, d).select(F.col("doc_id").alias("query_id"), "vector").join(_items(spark, d).select("query_id"), "query_id", "left_semi")
     return retrieval.dense(asked, _vectors(spark, d), 25), sparse
 
 
-@_query(f"""WITH {_HYBRID}, f AS (SELECT query_id, doc_id, round(0.85 * coalesce(s, 0) + 0.15 * coalesce(b, 0), 6) AS score FROM de FULL JOIN sp USING (query_id, doc_id)) SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, {_RANKED.format(s="score")} AS rank FROM f) WHERE rank <= 5""")
+@_query(f"""WITH {_HYBRID}, f AS (SELECT query_id, doc_id, round(0.85 * coalesce(s, 0) + 0.15 * coalesce(b, 0), 6) AS score FROM de FULL JOIN sp USING (query_id, doc_id)), t AS (SELECT *, {_RANKED.format(s="score")} AS former FROM f),
+o AS (SELECT t.*, round(score + CASE WHEN label = 3 THEN 0.1 ELSE 0 END, 6) AS boosted FROM t LEFT JOIN embeddings ON vec_id = doc_id WHERE former <= 15)
+SELECT query_id, doc_id, score, boosted, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, former) AS rank FROM o) WHERE rank <= 5""")
 def hybrid_search(spark, d) -> DataFrame:
-    """Dense and min-max normalised BM25 fused with weight 0.85."""
+    """Dense and min-max normalised BM25, five times as many hits as asked for, fused with weight 0.85; of three times as many
+    the five best with a rule's bonus, with their plain scores."""
     dense, sparse = _both(spark, d)
     hits = retrieval.fuse(dense, sparse, 0.85, 25).withColumn("score", F.round("score", 6)).drop("rank")
-    return retrieval.top_k(hits, 5)
+    hits = retrieval.top_k(hits, 15).join(_vectors(spark, d).select("doc_id", F.concat(F.lit("board-"), "label").alias("board_name")), "doc_id", "left")
+    out = intents.rerank_with_boost(hits.withColumn("intent", F.lit("event")), 5, [("event", [("board_name", "board-3")], 0.1)], digits=6)
+    return out.select("query_id", "doc_id", "score", "boosted", "rank")
 
 
 @_query(f"""WITH {_HYBRID}, f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM de WHERE rank <= 15 UNION ALL SELECT query_id, doc_id, rank FROM sp WHERE rank <= 15) GROUP BY ALL) SELECT query_id, doc_id, score::DOUBLE AS score, rank::INT AS rank FROM (SELECT *, {_RANKED.format(s="score")} AS rank FROM f) WHERE rank <= 5""")

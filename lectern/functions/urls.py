@@ -95,3 +95,67 @@ def best_date(*texts) -> Column:
     """The first of the texts that is a date: dots are dashes, what follows a T is cut, nothing else may follow."""
     one = lambda x: F.try_to_date(F.regexp_replace(F.regexp_replace(F.btrim(_c(x)), r"\.", "-"), "T.*$", ""), "yyyy-M-d")
     return F.coalesce(*[one(x) for x in texts])
+
+
+def joined(base, href) -> Column:
+    """An address as seen from a page: whole ones stay; the rest by scheme, host, path or query of the base. Steps up and on the
+    spot are taken out of the path; a fragment goes."""
+    b, h = _c(base), F.regexp_replace(F.btrim(_c(href)), "#.*$", "")
+    origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(path(b), r"^(.*/)", 1)
+    where = F.regexp_extract(h, r"^([^?]*)", 1)
+    rest = F.regexp_extract(h, r"(\?.*)$", 1)
+    whole = F.when(where.startswith("/"), where).when(where == "", path(b)).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), where))
+    steps = F.split(whole, "/")
+    climbed = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda a, s: F.when(s == ".", a).when((s == "..") & (F.size(a) > 1), F.slice(a, F.lit(1), F.size(a) - 1)).when(s == "..", a).otherwise(F.concat(a, F.array(s))),
+    )
+    last = F.when(F.element_at(steps, -1).isin(".", ".."), F.lit("/")).otherwise("")
+    asked = F.when((where == "") & (rest == ""), F.concat(F.lit("?"), query(b))).otherwise(rest)
+    asked = F.when(asked == "?", F.lit("")).otherwise(asked)
+    built = F.concat(origin, F.array_join(climbed, "/"), last, asked)
+    return F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h)).otherwise(built)
+
+
+def resolve(base, href) -> Column:
+    """A link's canonical address: joined with its page's, without fragment and page offset, parameters sorted."""
+    return normalize(joined(base, href))
+
+
+def site_code(url) -> Column:
+    """The first label of an academic Korean host, or else the whole host."""
+    h = F.regexp_replace(host(url), r":\d+$", "")
+    return F.when(h.rlike(r"^[^.]+\..*ac\.kr$") & (F.size(F.split(h, r"\.")) >= 3), F.element_at(F.split(h, r"\."), 1)).otherwise(h)
+
+
+def slug(url) -> Column:
+    """The path with low lines, without endings of scripts; root if it is empty."""
+    p = F.regexp_replace(path(url), "^/+|/+$", "")
+    return F.when(p == "", F.lit("root")).otherwise(F.replace(F.replace(F.replace(p, F.lit("/"), F.lit("_")), F.lit(".do"), F.lit("")), F.lit(".jsp"), F.lit("")))
+
+
+def page_key(url, kind) -> Column:
+    """{site}_notice_{article number or slug} for posts, {site}_page_{slug} for pages."""
+    no = param(url, "articleNo")
+    return F.when(_c(kind) == "board_notice", F.concat(site_code(url), F.lit("_notice_"), F.when(no != "", no).otherwise(slug(url)))).otherwise(F.concat(site_code(url), F.lit("_page_"), slug(url)))
+
+
+def fields(url, name) -> Column:
+    """Domain, path, first section and key of an address; of the file's name where there is none."""
+    word = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"(?U)\W+", "_"), "^_+|_+$", "")
+    none = F.coalesce(_c(url), F.lit("")) == ""
+    where = F.when(path(url) == "", F.lit("/")).otherwise(path(url))
+    first = F.coalesce(F.get(path_parts(url), F.lit(0)), F.lit(""))
+    key = F.when(none, word(F.regexp_replace(_c(name), r"\.[^.]*$", ""))).otherwise(word(F.concat(host(url), path(url))))
+    return F.struct(F.when(none, "").otherwise(host(url)).alias("domain"), F.when(none, "").otherwise(where).alias("source_path"), F.when(none, "").otherwise(first).alias("section"), key.alias("doc_id"))
+
+
+def today_in(zone: str, now=None) -> Column:
+    """Today's date in a time zone; ``now`` (an instant) makes it repeatable."""
+    return F.from_utc_timestamp(F.to_utc_timestamp(now if now is not None else F.current_timestamp(), F.current_timezone()), zone).cast("date")
+
+
+def months_ago(day, months: int) -> Column:
+    """The day so many months of thirty days before."""
+    return F.date_sub(_c(day), 30 * months)

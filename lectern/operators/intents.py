@@ -65,7 +65,8 @@ def boost(score: Column, intent: Column, boosts=None) -> Column:
     return score
 
 
-def rerank_with_boost(hits: DataFrame, k: int, boosts=None) -> DataFrame:
+def rerank_with_boost(hits: DataFrame, k: int, boosts=None, digits: int | None = None) -> DataFrame:
     """The k best by boosted score for each query; the plain score stays, ties keep the former rank."""
-    df = hits.withColumn("boosted", boost(F.col("score"), F.col("intent"), boosts))
+    score = boost(F.col("score"), F.col("intent"), boosts)
+    df = hits.withColumn("boosted", score if digits is None else F.round(score, digits))
     return top_k(df.withColumnRenamed("rank", "former"), k, "boosted", tie="former").drop("former")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.functions import urls
+from lectern.sources.shared import staged
 
 #: Phrases of error pages, and parts of image addresses that are no pictures.
 ERRORS = ("404 Not Found", "404 error", "페이지를 찾을 수 없습니다", "요청하신 페이지가 존재하지 않습니다", "접근 권한이 없습니다", "Access Denied", "로그인이 필요합니다", "세션이 만료되었습니다")
@@ -57,7 +58,23 @@ def recent(lastmod: Column, cutoff: str) -> Column:
 
 
 def is_login(url: Column, html: Column) -> Column:
-    return F.contains(F.lower(url), F.lit("/login")) | html.rlike(r"(?i)class=[\"'][^\"']*(login-wrapper|login_wrap)")
+    """By the address, or by an element whose class or id speaks of logging in."""
+    return F.contains(F.lower(url), F.lit("/login")) | html.rlike(r"(?i)class=[\"'][^\"']*(login-wrapper|login_wrap)") | html.rlike(r"(?i)<(form|div)[^>]*\bid=[\"'][^\"']*login[^\"']*[\"']")
+
+
+#: Endings of files in addresses and link texts.
+FILE_ENDING = r"(?i)\.(hwpx|hwp|pdf|docx?|xlsx?|pptx?|zip|7z|rar|png|jpe?g)$"
+
+
+def download_intent(href: Column, abs_url: Column, text: Column, class_: Column) -> Column:
+    """Whether a link is to a file: by its address, its class, or an ending of its address or text."""
+    return F.contains(F.lower(href), F.lit("download")) | F.contains(F.lower(abs_url), F.lit("/cms/filedownload.do")) | F.contains(F.lower(class_), F.lit("file-down-btn")) | href.rlike(FILE_ENDING) | text.rlike(FILE_ENDING)
+
+
+def may_download(url: Column, policy: str, allow: list[str] = (), block: list[str] = ()) -> Column:
+    """By the address's path: ``allowlist`` (an allowed prefix and no blocked one), ``blocklist`` (no blocked one), or nothing."""
+    begins = lambda prefixes: F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.startswith(urls.path(url), p)) if prefixes else F.lit(False)
+    return {"allowlist": ~begins(block) & begins(allow), "blocklist": ~begins(block)}.get(policy, F.lit(False))
 
 
 def links(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
@@ -71,14 +88,20 @@ def is_icon(src: Column) -> Column:
     return F.exists(F.array(*[F.lit(x) for x in ICONS]), lambda x: F.contains(F.lower(src), x))
 
 
-def frontier(links_: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """(node, depth): breadth-first from ``seeds`` (node) over ``links_`` (src, dst), each node at its smallest depth."""
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    level = seen
-    for d in range(1, rounds + 1):
-        found = links_.join(level.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        level = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
-        seen = seen.unionByName(level)
+def frontier(links_: DataFrame, seeds: DataFrame, rounds: int | None = None, limit: int | None = None) -> DataFrame:
+    """(node, depth): breadth-first from ``seeds`` (node) over ``links_`` (src, dst), each node at its smallest depth, until a level is
+    empty, or after ``rounds`` levels, or when ``limit`` nodes are found. Each level is written down."""
+    seen = staged(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "level")
+    level, found = seen, seen.count() if limit else 0
+    d = 0
+    while (rounds is None or d < rounds) and (limit is None or found < limit):
+        d += 1
+        near = links_.join(level.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        level = staged(near.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "level")
+        n = level.count()
+        if not n:
+            break
+        seen, found = seen.unionByName(level), found + n
     return seen
 
 

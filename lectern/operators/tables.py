@@ -46,8 +46,14 @@ def first_rule(text: Column, rules: list[tuple[str, list[str]]], otherwise) -> C
     return out.otherwise(otherwise)
 
 
+#: A rule table is written by hand; one that is longer is none.
+RULES = 10_000
+
+
 def route(queries: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
-    """Sites of the rules of which a keyword occurs and no excluded keyword does. The rule table is written by hand."""
+    """Sites of the rules of which a keyword occurs and no excluded keyword does. The rule table is counted before it is broadcast."""
+    if rules.count() > RULES:
+        raise ValueError(f"more than {RULES} rules")
     hit = F.exists("keywords_any", lambda k: F.contains(F.col(text), k)) & ~F.exists("exclude_keywords_any", lambda k: F.contains(F.col(text), k))
     return queries.join(F.broadcast(rules), hit, "inner")
 
@@ -70,3 +76,87 @@ def put_blobs(new: DataFrame, catalog: DataFrame) -> DataFrame:
     return met.select("name", "sha", F.when(action == "rename", F.regexp_replace("name", r"(\.[^.]*)?$", "")).otherwise(F.col("name")).alias("stem"), action.alias("action"), suffix.alias("suffix"), F.regexp_extract("name", r"(\.[^.]*)$", 1).alias("ext")).select(
         "name", "sha", F.when(F.col("action") == "rename", F.concat("stem", "suffix", "ext")).otherwise(F.col("name")).alias("object"), "action"
     )
+
+
+def union_first(frames: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
+    """All rows by name, of each key that of the first frame that has it, by ``order`` within a frame."""
+    out = frames[0].withColumn("__f", F.lit(0))
+    for k, f in enumerate(frames[1:], 1):
+        out = out.unionByName(f.withColumn("__f", F.lit(k)), allowMissingColumns=True)
+    return keep_first(out, keys, ["__f", *order]).drop("__f")
+
+
+def repeated_blobs(catalog: DataFrame, key: str = "original_filename", name: str = "name") -> DataFrame:
+    """Objects to delete: all but the first by name of those with the same original name. Those without one stay."""
+    known = catalog.filter(F.col(key).isNotNull())
+    return known.join(known.groupBy(key).agg(F.min(name).alias("__first")), key).filter(F.col(name) != F.col("__first")).drop("__first")
+
+
+def documents_of_chunks(docs: DataFrame, chunk_ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents to which any of the chunks belongs: a chunk's id without its last part."""
+    return docs.join(chunk_ids.select(F.regexp_replace("chunk_id", "_[^_]*$", "").alias(key)).distinct(), key, "left_semi")
+
+
+# state between runs ------------------------------------------------------------------------------------------------------
+
+
+def above_mark(links: DataFrame, state: DataFrame, most: int = 30, keep: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(new, state): links (board, pos, url, number) with a number above the largest that the board's state (board, latest_ids) has, the
+    first ``most`` of them; and the state after, the largest ``keep`` of its numbers and those of the first ``keep`` links. A board's
+    list is one page of links."""
+    met = links.join(state, "board", "left")
+    top = F.coalesce(F.array_max("latest_ids"), F.lit(0))
+    w = Window.partitionBy("board").orderBy("pos")
+    new = met.filter(F.col("number") > top).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).select(*links.columns)
+    first = links.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= keep).groupBy("board").agg(F.collect_set("number").alias("ids"))
+    none = F.array().cast("array<bigint>")
+    after = state.join(first, "board", "full_outer").select("board", F.slice(F.sort_array(F.array_distinct(F.concat(F.coalesce("latest_ids", none), F.coalesce("ids", none))), False), 1, keep).alias("latest_ids"))
+    return new, after
+
+
+def unseen_rows(rows: DataFrame, state: DataFrame, keep: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(new, state): rows (target, pos, key) whose key the target's state (target, seen) lacks; and the state after, the newest ``keep``
+    keys, those of this run first."""
+    none = F.array().cast("array<string>")
+    met = rows.join(state, "target", "left")
+    new = met.filter(~F.coalesce(F.array_contains("seen", F.col("key")), F.lit(False))).select(*rows.columns)
+    batch = rows.groupBy("target").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda r: r["key"]).alias("b"))
+    after = state.join(batch, "target", "full_outer").select("target", F.slice(F.array_distinct(F.concat(F.coalesce("b", none), F.coalesce("seen", none))), 1, keep).alias("seen"))
+    return new, after
+
+
+def due(targets: DataFrame, last: DataFrame, today: Column, forced: list[str] = ()) -> DataFrame:
+    """Targets (name) that were not fetched today (``last``: name, fetched_at), and those that are forced."""
+    met = targets.join(last.groupBy("name").agg(F.max("fetched_at").alias("__at")), "name", "left")
+    return met.filter(F.col("__at").isNull() | (F.to_date("__at") < today) | F.col("name").isin(*forced)).drop("__at")
+
+
+def changed_first(first: DataFrame, state: DataFrame) -> DataFrame:
+    """Boards (board, first) whose first row is there and is not the one of the last run (board, last)."""
+    return first.join(state, "board", "left").filter(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("last"))).select("board", "first")
+
+
+def resumed(queue: DataFrame, inflight: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:
+    """A crawl's queue (url, pos) after a crash: what was being fetched comes first, nothing that was done, each once."""
+    front = inflight.select(key, F.lit(-1).cast("long").alias("pos"))
+    return front.unionByName(queue.select(key, F.col("pos").cast("long").alias("pos"))).groupBy(key).agg(F.min("pos").alias("pos")).join(done.select(key), key, "left_anti")
+
+
+def first_queries(lists: list[DataFrame], n: int = 100, text: str = "query") -> DataFrame:
+    """The first ``n`` different questions of several lists (query, pos), in the order of the lists."""
+    out = None
+    for k, df in enumerate(lists):
+        part = df.select(text, F.lit(k).alias("list"), "pos")
+        out = part if out is None else out.unionByName(part)
+    one = out.groupBy(text).agg(F.min(F.struct("list", "pos")).alias("at"))
+    return one.orderBy("at").limit(n).select(text, F.col("at.list").alias("list"), F.col("at.pos").alias("pos"))
+
+
+def seed_order(urls: DataFrame, n: int, url: str = "loc", lastmod: str = "lastmod") -> DataFrame:
+    """The first ``n`` addresses of a crawl: newest first, those without a date last, ties by address."""
+    return urls.orderBy(F.coalesce(lastmod, F.lit("")).desc(), F.col(url)).limit(n)
+
+
+def latest_post(links: DataFrame) -> DataFrame:
+    """(board, url): the first link of each board's list."""
+    return links.groupBy("board").agg(F.min_by("url", "pos").alias("url"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +24,33 @@ def shared_dir(spark: SparkSession) -> str:
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return base.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder, deleted when the driver's process ends."""
+    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}-{label}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: lineage ends, and a lost executor costs nothing."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _WRITTEN:
+        if spark.sparkContext._jsc is None:
+            return
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            return

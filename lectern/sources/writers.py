@@ -26,8 +26,28 @@ def merge(spark: SparkSession, new: DataFrame, path: str, keys: list[str], versi
 
 def vectors(df: DataFrame, path: str, dim: int) -> None:
     """Points with vectors of the declared dimension; any other fails the write."""
+    _of_dimension(df, dim).write.mode("overwrite").parquet(path)
+
+
+def merge_vectors(spark: SparkSession, new: DataFrame, path: str, dim: int, version: int) -> str:
+    """Points by id into the newest version of a collection, which is made if there is none; a vector of another dimension fails the
+    write. Returns the next version's place."""
+    return merge(spark, _of_dimension(new, dim), path, ["id"], version)
+
+
+def _of_dimension(df: DataFrame, dim: int) -> DataFrame:
     ok = F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector does not have {dim} numbers")).cast("array<float>"))
-    df.withColumn("vector", ok).write.mode("overwrite").parquet(path)
+    return df.withColumn("vector", ok)
+
+
+def corpus_csv(df: DataFrame, path: str) -> None:
+    """A corpus as CSV that ``readers.corpus_csv`` reads."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+
+
+def append_stamped(df: DataFrame, path: str, now=None) -> None:
+    """Append rows with the time at which they were found."""
+    df.withColumn("ts", now if now is not None else F.current_timestamp()).write.mode("append").option("header", True).csv(path)
 
 
 def interaction_log(df: DataFrame, path: str) -> None:
