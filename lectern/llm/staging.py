@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.sources.shared import shared_dir
-
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
+from lectern.sources.readers import table
+from lectern.sources.shared import delete, new_path
+from lectern.sources.shared import staged as materialize
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, deleted when the driver's process ends."""
-    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}-{label}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: lineage ends, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["delete", "filter_here", "materialize", "new_path", "table", "without"]
 
 
 def filter_here(df: DataFrame, condition: Column) -> DataFrame:
@@ -43,24 +27,3 @@ def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     it is; beyond ``BROADCAST_KEYS`` both are shuffled."""
     gone = materialize(gone.toDF("__gone").distinct(), "gone")
     return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, key == F.col("__gone"), "left_anti")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        if spark.sparkContext._jsc is None:
-            return
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            return
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
