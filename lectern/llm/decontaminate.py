@@ -6,13 +6,14 @@
    stand to reach the threshold are passed over (a bound, so nothing is lost by it); all others are aligned (match 2,
    mismatch and gap -1). The score is that of the best local alignment over that of a full copy, so edited, shortened and
    paraphrased copies have scores below 1.
-4. A part of an item is a copy too, however long the item is: a stretch below the threshold is a hit if it holds a passage
+3. A part of an item is a copy too, however long the item is: a stretch below the threshold is a hit if it holds a passage
    worth ``PASSAGE`` words in a row, found by a second alignment in which an edit costs ``EDIT``, as much as two matches
    bring. An alignment of that worth has ``PASSAGE`` - 2 unchanged grams at least, so other stretches are not aligned.
 
 Test items are the stated query set: they are read in blocks of ``BLOCK_CHARS`` characters, and each block is sent to
 every task; documents are never shuffled, and a document's alignments are made where it was read.
 
+A text of any length is scanned whole, and aligned only around its seeds; an item of any length is a block of its own at most.
 Words are runs of letters, digits and underscores in lower case. Items of fewer than three words have no gram and match
 nothing; a null or empty text holds nothing. Repeated rows are scored one by one, ties between stretches go to the first,
 and columns other than ids and texts are ignored by ``scan`` and kept by ``clean``. Empty tables give empty results.
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.staging import table
+from lectern.llm.tokens import small_batches
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -69,7 +71,9 @@ class Items:
         if len(x) < GRAM:
             return np.zeros(0, np.int64)
         a, b, c = x[:-2], x[1:-1], x[2:]
-        return np.where((a < 0) | (b < 0) | (c < 0), -1, (a * self.size + b) * self.size + c)
+        # beyond two million words codes wrap round; two grams with one code only make more to align
+        code = ((a.astype(np.uint64) * np.uint64(self.size) + b.astype(np.uint64)) * np.uint64(self.size) + c.astype(np.uint64)) & np.uint64((1 << 63) - 1)
+        return np.where((a < 0) | (b < 0) | (c < 0), -1, code.astype(np.int64))
 
 
 def align(item: np.ndarray, part: np.ndarray, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int, int]:
@@ -164,7 +168,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     for items in blocks(benchmark, item_col, item_text_col):
 
         def run(batches, items=items):
-            for b in batches:
+            for b in small_batches(batches):
                 rows = [(d, items.ids[h[0]], round(h[1], 4), h[2], h[3]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for h in hits(items, t, threshold)]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]

@@ -11,8 +11,12 @@ and the posterior is normalised over all languages that occur as labels and ``un
 Trigrams depend on each other, so a text counts as at most ``EFFECTIVE`` of them; its mean over the whole text is used. A
 row is kept if the known languages together have a posterior of ``MIN_KNOWN`` or more: one that mixes two of them stays.
 
-Null or empty texts bring no evidence of their own; null or unknown declarations and suffixes bring none either. Rows with
-a null address share the empty host. Votes are integers, so results do not depend on the order of rows. Host counts are
+A declaration must not be the label that the model is trained on: then it would be evidence for itself. So labelled rows are
+judged without it, and what is declared counts for rows that are no part of the training, such as pages.
+
+Null or empty texts bring no evidence of their own; null or unknown declarations and suffixes bring none either. Very long
+texts are read whole, a part at a time. Tied posteriors go to the first language by name. Rows with a null address share the
+empty host. Votes are integers, so results do not depend on the order of rows. Host counts are
 aggregated before they are shuffled. Where all host rows together are at most ``BROADCAST_HOSTS`` they are broadcast;
 beyond that rows are joined by host, an uneven join that Spark splits. Extra columns are ignored by ``identify`` and kept
 by ``keep_known``. Repeated rows are judged one by one. Empty tables give empty results; without labelled rows every row
@@ -31,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.staging import filter_here, materialize, table, without
+from lectern.llm.tokens import small_batches
 
 TRAIN_ROWS, BINS, ALPHA = 4000, 1 << 16, 0.05
 EFFECTIVE, DECLARED_ERROR, SUFFIX_ERROR, SMOOTHING, MIN_KNOWN = 60, 0.1, 0.2, 5.0, 0.6
@@ -129,7 +134,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in small_batches(batches):
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 sums.setdefault(label, np.zeros(BINS, np.int64))
                 sums[label] += np.bincount(trigrams(text), minlength=BINS)
@@ -151,7 +156,7 @@ def _host(url: str | None) -> str:
 
 def _scorer(model: Model, markup: bool):
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             out = []
             for declared, address, text in zip(b.column("declared").to_pylist(), b.column("address").to_pylist(), b.column("text").to_pylist(), strict=True):
                 host = _host(address)
@@ -232,10 +237,10 @@ def keep_known(df: DataFrame, model: Model, text_col: str = "text", address_col:
 
 def op2_evidence_fusion(spark, sf_dir):
     """Documents, whose host is their source, and pages, with the language of their markup and address: one row each, with
-    doc_id or page_id."""
+    doc_id or page_id. The model is trained on the documents' labels, so these are no evidence here."""
     documents = table(spark, sf_dir, "documents")
     model = fit(documents)
-    found = identify(documents, model, "doc_id", "text", "source", "lang")
+    found = identify(documents, model, "doc_id", "text", "source")
     return found.unionByName(identify(table(spark, sf_dir, "pages"), model, "page_id", "html", "url", markup=True), allowMissingColumns=True)
 
 

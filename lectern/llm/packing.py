@@ -15,7 +15,7 @@ c to d". The driver holds the histogram and the plan; a task finds a piece's pla
 its equals). These numbers come from counts of each length in each task, so a length that a third of all pieces share
 costs nothing more, and no piece is shuffled but for the join with those counts.
 
-A text longer than the capacity is cut into pieces of the full capacity, the first piece being the shorter one. A null or
+A text longer than the capacity, however long, is cut into pieces of the full capacity, the first piece being the shorter one. A null or
 empty text is its end id alone. Null ids and repeated rows are packed like any other row. Columns other than id and text
 are ignored. An empty table gives an empty result.
 """
@@ -23,6 +23,7 @@ are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import warnings
 import zlib
 
 import numpy as np
@@ -96,8 +97,9 @@ def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), out
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
-    """(multiset of sizes, how many sequences): the linear programme's basic solution, rounded down."""
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 20_000) -> list[tuple[np.ndarray, int]]:
+    """(multiset of sizes, how many sequences): the linear programme's basic solution, rounded down. It is optimal, or the caller is
+    warned: any basis is a valid plan, so what is left after ``rounds`` steps is used."""
     s, d = np.array(sizes), np.array(demand, float)
     m = len(s)
     basis = np.diag([float(capacity // x) for x in sizes])
@@ -114,6 +116,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         x = x - t * step
         x[out] = t
         basis[:, out] = column
+    else:
+        warnings.warn(f"configurations are not optimal after {rounds} steps", stacklevel=2)
     return [(basis[:, k].round().astype(np.int64), int(np.floor(x[k] + 1e-9))) for k in range(m)]
 
 

@@ -13,8 +13,9 @@ DataFrame functions only. Lines are taken apart within their row. Passages are a
 with them, so a passage that a third of all messages hold is a row for each task; the join of quoted passages with
 originals has one row a hash on one side, and Spark splits its uneven partitions. No conversation is gathered anywhere.
 
-Null texts are empty messages; rows with a null conversation or turn are kept and never linked; rows that share both are
-kept and get the same links. Extra columns are ignored. An empty table gives an empty result.
+Texts of any length are taken apart whole, in their row. Null texts are empty messages; rows with a null conversation or
+turn are kept and never linked; rows that share both are kept and get the same links. Extra columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,11 +10,12 @@ known at this resolution". The blocks around the cuts that are still possible ar
 the smallest feasible capacity is exact. What the driver holds depends on ``BLOCKS`` and ``n_shards`` alone.
 
 Sums over the whole order come from range partitions: each is summed where it lies and only one row of totals a partition
-meets on the driver. A group that holds a third of all rows is one row after partial aggregation, and its documents are
+meets on the driver, besides Spark's own sample of the order's columns, a hundred rows a partition. A group that holds a third of all rows is one row after partial aggregation, and its documents are
 dealt by (group, id), so no task gets them all.
 
-Null ids stand first and are dealt like any other; repeated rows each get a slot of their own. With fewer groups than
-shards the last shards stay empty. An empty table gives an empty result.
+Texts of any length are digested whole, where they were read. Columns other than id and text are ignored. Null ids stand
+first and are dealt like any other; repeated rows each get a slot of their own. With fewer groups than shards the last
+shards stay empty. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def minimax_cuts(groups: DataFrame, total: int, n_shards: int, largest: int, blo
 def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, size (UTF-8 bytes and 1), text_crc32, shard and slot (place in its shard, gapless from 0)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.sha2(text, 256).alias("digest"))
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.unhex(F.sha2(text, 256)).alias("digest"))
     narrow = materialize(narrow, "shard-rows")
     # a null id sorts before any other
     first = F.min(F.struct(F.col("id").isNotNull().alias("has"), "id"))

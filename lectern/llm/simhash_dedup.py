@@ -20,7 +20,8 @@ those with 0.8 less than one in 10,000. ``fingerprints`` then takes distinct wor
 words differ, and ``tau`` is 6. Few words make fingerprints jump, so texts of at most ``SHORT`` shingles are found by these
 instead: sets that are as similar have one in common of their first n - ceil(0.8 n) + 1 in the order of hashes.
 
-Texts without a word have fingerprint zero and are linked like any other; a null text is an empty one. Rows with equal ids
+Texts without a word have fingerprint zero and are linked like any other; a null text is an empty one. Texts of any length are
+hashed whole, a part of their shingles at a time. Rows with equal ids
 or null ids are rows like any other; a component's id is its smallest id that is not null. Columns other than id and text
 are ignored by ``components_of``; ``keep_one`` returns the input's columns. An empty table gives an empty result.
 """
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.graph import components
 from lectern.llm.staging import materialize, table, without
+from lectern.llm.tokens import give_back, small_batches
 
 SEED, BITS, BLOCK = 42, 64, 512
 #: Relative costs of a probe that is shuffled and of a pair that is compared.
@@ -98,7 +100,7 @@ def minhash(h: np.ndarray) -> bytes:
 
 def _worker(feat: Features):
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             fps, sketches, firsts = [], [], []
             for t in b.column(1).to_pylist():
                 words = (t or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only ASCII white space
@@ -213,7 +215,8 @@ def probes(fps: DataFrame, tau: int) -> list[tuple[int, ...]]:
             for t in range(min(tau, 2) + 1):
                 masked = list(combinations(bits, t))
                 candidates = sum(same / max(float(np.prod(1 - differ[list(x)])), 1e-9) for x in masked)
-                row.append(PROBE_COST * n * len(masked) + PAIR_COST * candidates)
+                # a bucket of c members that is cut into blocks is shuffled c / BLOCK times over: 2 / BLOCK rows for each of its pairs
+                row.append(PROBE_COST * n * len(masked) + (PAIR_COST + PROBE_COST * 2 / BLOCK) * candidates)
             costs.append(row)
         cost, chosen = allocate(costs, tau + 1)
         keys = [tuple(b for b in bits if b not in x) for bits, t in zip(parts, chosen, strict=False) if t >= 0 for x in combinations(bits, t)]
@@ -279,6 +282,7 @@ def _verifier(tau: int, sketched: bool):
             held = t.slice(last).combine_chunks()
         if held is not None:
             yield linked(*_arrays(held))
+        give_back()
 
     def _arrays(t):
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) if sketched else None
@@ -309,7 +313,7 @@ def links(nodes: DataFrame, tau: int, sketched: bool, block: int = BLOCK) -> Dat
 
 
 def _similar(batches):
-    for b in batches:
+    for b in small_batches(batches):
         a, c = ([np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (2, 3))
         both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, c, strict=True)]
         yield b.filter(pa.array([n >= SIMILARITY * (len(x) + len(y) - n) for n, x, y in zip(both, a, c, strict=True)], pa.bool_())).select([0, 1])
@@ -319,7 +323,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     """The pairs whose texts have a Jaccard similarity of ``SIMILARITY``. ``nodes``: node and the key of a text of it."""
 
     def sets(batches):
-        for b in batches:
+        for b in small_batches(batches):
             found = [_hashes(list(set(_shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), feat.sketch)))).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 

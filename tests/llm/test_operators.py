@@ -5,6 +5,8 @@ import math
 import random
 import zlib
 
+import brute
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +79,25 @@ def test_quotes(spark):
     assert quote_threads.conversations(df.limit(0)).count() == 0
 
 
+def test_quotes_against_sql(spark):
+    """Threads that quote at random, which the given tables lack, with very long and awkward messages."""
+    r = random.Random(17)
+    said, rows = [], []
+    for i in range(240):
+        lines = [f"Line {r.randrange(60)} said by {r.randrange(9)}." for _ in range(r.randrange(1, 4))]
+        if said and r.random() < 0.7:
+            quoted = [(">" * r.randrange(1, 4) + " " * r.randrange(2) + x) for x in r.choice(said)]
+            lines = ([f"On day {i} someone wrote:"] if r.random() < 0.5 else []) + quoted + [""] * r.randrange(2) + lines
+        said.append([x for x in lines if not x.startswith(">")])
+        rows.append((i // 12, i % 12, r.choice(["user", "assistant"]), "\n".join(lines) + r.choice(["", "\r", "\n"])))
+    rows += [(99, 0, "user", "word " * 100_000), (99, 1, "user", "> " + "word " * 100_000), (99, 2, "user", None), (99, 3, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    conversations = df.toPandas()  # noqa: F841
+    got = [tuple(x) for x in quote_threads.conversations(df).collect()]
+    want = duckdb.sql(quote_threads.SQL["op1_quote_threads"]).fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(x[6] > 0 for x in got) > 80 and max(x[11] for x in got) > 2
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -90,6 +111,38 @@ def test_language_held_out(spark):
     assert [r.kept for r in language_id.identify(odd, model, "doc_id", "text", "source", "lang").orderBy("doc_id").collect()] == [False, False]
 
 
+def test_posteriors_against_brute_force(spark):
+    r = random.Random(18)
+    letters = {"en": "abcdefgh", "de": "efghijkl", "fr": "mnopqrst"}
+    word = lambda x: "".join(r.choices(letters[x], k=r.randrange(2, 7)))
+    train = [(i, " ".join(word(x) for _ in range(30)), x) for i, x in enumerate(["en", "de", "fr"] * 12)] + [(90, None, "en"), (91, "x", None), (92, "", "de")]
+    hosts = [("http://a.one.de/x", "a.one.de", "one.de", "de"), ("http://b.one.de/", "b.one.de", "one.de", "de"), ("http://c.two.org", "c.two.org", "two.org", None), (None, "", "", None)]
+    rows, plain = [], []
+    for i in range(60):
+        url, host, domain, suffix = r.choice(hosts)
+        text = r.choice([" ".join(word(r.choice(["en", "de", "fr"])) for _ in range(r.randrange(1, 25))), " ".join(word("en") for _ in range(9)), None, "", "12 34", "qx zz"])
+        declared = r.choice([None, "en", "DE-at", "sv"])
+        rows.append((i, text, declared, url))
+        plain.append((text, {"DE-at": "de"}.get(declared, declared), host, domain, suffix))
+    model = language_id.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    df = spark.createDataFrame(rows, "i long, t string, d string, u string").select("*", *[F.lit(f"x{c}").alias(c) for c in CLASH if c not in ("t", "id")])
+    got = {x.i: x for x in language_id.identify(df, model, "i", "t", "u", "d").collect()}
+    for i, (language, p, kept) in enumerate(brute.posteriors([(x, t) for _, t, x in train if t is not None and x], plain)):
+        assert got[i].posterior == pytest.approx(p, abs=2e-5) and got[i].kept == kept
+        assert got[i].language == language or p < 0.5 + 1e-6
+    assert language_id.identify(df.limit(0), model, "i", "t", "u", "d").count() == 0
+
+
+def test_pages_without_rows(spark, tmp_path):
+    """The query on an empty table of pages, and on pages whose markup is awkward."""
+    spark.createDataFrame([(1, "the house and the sea", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    pages = spark.createDataFrame([(1, None, None), (2, "x", "<html lang='de'><p>das Haus"), (3, "http://h.fr/", "<html lang=><" + "p>" * 1000)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    assert language_id.op2_evidence_fusion(spark, str(tmp_path)).count() == 4
+    pages.limit(0).write.mode("overwrite").parquet(str(tmp_path / "pages.parquet"))
+    assert language_id.op2_evidence_fusion(spark, str(tmp_path)).count() == 1
+
+
 def test_fusion_by_hand(spark):
     model = language_id.Model(("de", "en", "und"), np.log(np.full((language_id.BINS, 3), 1e-4)).astype(np.float32))
     rows = spark.createDataFrame([(i, "abc def", "en", "http://h.example.com/") for i in range(3)] + [(9, "abc def", "de", "http://x.example.de/")], "i long, t string, d string, u string")
@@ -135,6 +188,32 @@ def test_alignment_against_brute_force():
         assert decontaminate.align(a, b)[0] == _smith_waterman(a, b)
 
 
+def test_scan_against_brute_force(spark):
+    """All documents against all items by whole alignments: random texts of few words, copies, parts, edits, awkward rows."""
+    r = random.Random(19)
+    text = lambda n, v=60: " ".join(r.choices([f"w{k}" for k in range(v)], k=n))
+    items = [(i, text(k)) for i, k in enumerate([3, 5, 8, 13, 20, 30, 45])] + [(7, "w1 w2"), (8, None), (9, ""), (10, text(12)), (10, text(12)), (None, text(9))]
+    docs = [(i, text(r.randrange(0, 120), r.choice([60, 400]))) for i in range(40)]
+    for i in range(60):
+        w = r.choice([t for _, t in items if t and len(t.split()) > 4]).split()
+        a = r.randrange(len(w) // 2)
+        w = [x if r.random() > 0.15 else "new" for x in w[a : a + r.randrange(4, len(w))]]
+        docs.append((100 + i, f"{text(20, 400)} {' '.join(w)} {text(20, 400)}"))
+    docs += [(200, None), (201, ""), (202, "word " * 30_000 + (items[5][1] or "")), (None, items[4][1]), (203, items[3][1].upper()), (203, items[3][1].upper())]
+    want = sorted((d, i, round(s, 4)) for d, t in docs for i, x in items if (s := brute.copies(t if d != 202 else " ".join(t.split()[-60:]), x or "")) is not None for d, i in [(-1 if d is None else d, -1 if i is None else i)])
+    schema = "{} long, text string"
+    found = decontaminate.scan(spark.createDataFrame(docs, schema.format("doc_id")), spark.createDataFrame(items, schema.format("item_id"))).collect()
+    assert sorted((-1 if x.doc_id is None else x.doc_id, -1 if x.item_id is None else x.item_id, x.score) for x in found) == want and len(want) > 25
+    assert decontaminate.scan(spark.createDataFrame(docs[:3], schema.format("doc_id")), spark.createDataFrame([], schema.format("item_id"))).count() == 0
+
+
+def test_codes_of_many_words_wrap_round():
+    items = decontaminate.Items([1], [" ".join(f"x{i}" for i in range(50))])
+    items.size = 3_000_000_000
+    x = np.arange(50, dtype=np.int64) + 2_500_000_000
+    assert (items.codes(x) >= 0).all() and len(set(items.codes(x).tolist())) == 48
+
+
 def test_edited_copies_are_found(spark):
     r = random.Random(2)
     vocab = [f"w{i}" for i in range(3000)]
@@ -224,8 +303,6 @@ def test_warc_round_trip(spark):
 
 def test_warc_query_against_sql(spark, tmp_path):
     """A table with revisits, which the given ones lack at small sizes."""
-    import duckdb
-
     rows = [(i, f"u{i}", f"{i % 7} " * (600 if i % 7 < 4 else 600 + i)) for i in range(200)] + [(300 + i, "s", "small") for i in range(9)] + [(400, None, None)]
     _pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
     got = sorted(tuple(r) for r in warc_archive.op4_content_addressed_warc(spark, str(tmp_path)).collect())
@@ -279,9 +356,12 @@ def _tokenizer():
 
 def test_packed_ids(spark, docs):
     t = _tokenizer()
-    got = packing.pack(docs.filter("doc_id <> 6"), keep_ids=True).toPandas()
+    got = packing.pack(docs, keep_ids=True).toPandas()
     texts = {r[0]: r[1] for r in ROWS}
-    for i, x in got.groupby("doc_id"):
+    twice = got[got.doc_id == 6]
+    assert len(twice) == 2 and (twice.ids_crc32 == zlib.crc32(np.array(t.encode(texts[6], add_special_tokens=False).ids + [2], "<u4").tobytes())).all()
+    assert len(got[got.doc_id.isna()]) == 1
+    for i, x in got[got.doc_id != 6].groupby("doc_id"):
         x = x.sort_values("piece")
         assert [k for a in x.ids for k in a] == t.encode(texts[i] or "", add_special_tokens=False).ids + [2]
         assert list(x.start) == [0, *np.cumsum(x.length)[:-1]] and (x.length[1:] == 1024).all() and x.length.max() <= 1024
@@ -431,20 +511,10 @@ def test_crc_of_parts():
 
 
 def test_counts_against_brute_force(spark, docs):
-    import re
-
-    def brute(t):
-        t = t or ""
-        w = re.findall(r"[^\x20\x09-\x0D]+", t)
-        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
-        n = collections.Counter(grams)
-        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len({k for i, g in enumerate(grams) if n[g] > 1 for k in range(i, i + 8)})
-
     texts = ["a b c d e f g h x a b c d e f g h i j", "p\np\n \n\np # <b>", "q " * 30, *[r[1] for r in ROWS if r[1] != LONG]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: tuple(r)[1:6] for r in quality_rules.measure(df).collect()}
-    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    assert got == {i: brute.counts(t) for i, t in enumerate(texts)}
     assert quality_rules.measure(docs.filter("doc_id = 4")).first().n_repeat_words == 60_000
 
 
