@@ -18,9 +18,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the known languages go. The model is trained on what the stage gets."""
-    model = language_id.fit(docs)
-    return language_id.keep_known(docs, model, "text", "source", "lang")
+    """Documents in none of the known languages go. The model is trained on the labels of what the stage gets, so a document's label
+    is no evidence for it."""
+    return language_id.keep_known(docs, language_id.fit(docs), "text", "source")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
