@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import models, urls
 from lectern.functions import text as tx
-from lectern.functions import urls
 from lectern.functions.vectors import l2_normalize
 from lectern.operators import chunking, evaluation, intents, pages, retrieval, tables
 from lectern.plans import QUERIES, SQL, page_parts, records, runs
@@ -150,13 +150,22 @@ def corpus_merge(spark, d) -> DataFrame:
     return one.groupBy("source_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("document_name").alias("first_name"))
 
 
-@_query()
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_FIRST = "least(" + ", ".join(f"nullif(instr({{x}}, '{c}'), 0)" for c in ".!?。") + "{more})"
+_CHUNKS = """SELECT doc_id || '__' || (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1) AS chunk_id, doc_id, source, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT AS total_chunks, part AS text, a::INT AS start, z::INT AS "end" """
+
+
+@_query(f"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, source, t, n, 0 AS a, CASE WHEN n <= 1000 THEN n ELSE {{end0}} END AS z FROM d UNION ALL SELECT doc_id, source, t, n, z - 150, {{end1}} FROM w WHERE n > 1000 AND z - 150 > 0 AND z - 150 < n),
+p AS (SELECT *, {_STRIP.format(x="substr(t, a + 1, z - a)")} AS part FROM w) {_CHUNKS.replace("z::INT", "least(z, n)::INT")} FROM p WHERE part <> ''""".replace("{end0}", "CASE WHEN 1000 < n AND 1000 - coalesce({p}, 1001) > 500 THEN 1001 - {p} ELSE 1000 END".replace("{p}", _FIRST.format(x="reverse(substr(t, 1, 1000))", more=""))).replace("{end1}", "CASE WHEN z + 850 < n AND 1000 - coalesce({p}, 1001) > 500 THEN z - 150 + 1001 - {p} ELSE z + 850 END".replace("{p}", _FIRST.format(x="reverse(substr(t, z - 149, 1000))", more=""))))
 def chunk_windows(spark, d) -> DataFrame:
     """Windows of 1000 characters snapped to sentences."""
     return chunking.chunk(table(spark, d, "documents").select("doc_id", "source", "text"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, source, t, n, 0 AS a, {{end0}} AS z FROM d WHERE n > 0 UNION ALL SELECT doc_id, source, t, n, s, {{end1}} FROM (SELECT *, CASE WHEN z - a < 100 THEN z ELSE greatest(0, z - 100) END AS s FROM w) WHERE z < n)
+SELECT * FROM ({_CHUNKS} FROM (SELECT *, substr(t, a + 1, z - a) AS part FROM w) WHERE z - a >= 100 OR (z >= n AND z - a >= 40))""".replace("{end0}", "least(n, 800) + coalesce({p}, 0)".replace("{p}", _FIRST.format(x="substr(t, least(n, 800) + 1, 200)", more=", nullif(instr(substr(t, least(n, 800) + 1, 200), chr(10)), 0)"))).replace("{end1}", "least(n, s + 800) + coalesce({p}, 0)".replace("{p}", _FIRST.format(x="substr(t, least(n, s + 800) + 1, 200)", more=", nullif(instr(substr(t, least(n, s + 800) + 1, 200), chr(10)), 0)"))))
 def chunk_stretched(spark, d) -> DataFrame:
     """Windows of 800 characters stretched to the next sentence's end."""
     return chunking.chunk(table(spark, d, "documents").select("doc_id", "source", "text"), kind="stretched")
@@ -390,6 +399,8 @@ _REL = "t AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b JOIN
 def _truth(spark, d) -> DataFrame:
     """Documents that hold an item's text. Items are the bounded side; documents are read where they are."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    if b.count() > evaluation.BROADCAST_NAMES:
+        raise ValueError("too many items to send to every task")
     hit = table(spark, d, "documents").join(F.broadcast(b), F.contains("text", F.col("q")))
     return hit.select("query_id", "doc_id")
 
@@ -445,6 +456,17 @@ def embedding_pairs(spark, d) -> DataFrame:
     return out.select("pairs", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max", "median")])
 
 
+_BOX = r"('0x' || left(md5(w), 6))::BIGINT % 8"
+
+
+@_query(f"""WITH w AS (SELECT doc_id, unnest({_TOK.format(t="text")}) AS w FROM documents), c AS (SELECT doc_id, {", ".join(f"sum(({_BOX} = {i})::INT)::DOUBLE AS c{i}" for i in range(8))} FROM w GROUP BY 1), n AS (SELECT *, sqrt({" + ".join(f"c{i} * c{i}" for i in range(8))}) AS norm FROM c)
+SELECT doc_id, {", ".join(f"round(coalesce(c{i} / norm, 0), 6) AS v{i}" for i in range(8))} FROM documents LEFT JOIN n USING (doc_id)""")
+def hashed_embeddings(spark, d) -> DataFrame:
+    """Vectors of texts without a model."""
+    v = table(spark, d, "documents").select("doc_id", models.hashed_embedding(F.col("text"), 8).alias("v"))
+    return v.select("doc_id", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(8)])
+
+
 @_query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS norm FROM embeddings""")
 def normalized_vectors(spark, d) -> DataFrame:
     """Squared norms after L2 normalisation."""

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.vectors import let
+
 #: Navigation and copyright phrases that are no part of a page's text.
 CORPUS_NOISE = (
     r"공지사항.*?바로가기", r"다음\s*페이지", r"이전\s*페이지", r"페이지\s*이동", r"목록으로", r"top\s*↑", r"맨\s*위로", r"Home\s*›", r"sitemap",
@@ -87,8 +89,7 @@ def ngram_tokens(x) -> Column:
 def with_ngrams(words: Column) -> Column:
     """An array of words with the 2-grams and 3-grams of their characters behind them."""
     grams = lambda t, n: F.flatten(F.transform(F.filter(t, lambda w: F.length(w) >= n), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))))
-    # a variable of its own: the words are made once
-    return F.element_at(F.transform(F.array(words), lambda t: F.concat(t, grams(t, 2), grams(t, 3))), 1)
+    return let(words, lambda t: F.concat(t, grams(t, 2), grams(t, 3)))
 
 
 def guess_lang(x) -> Column:
@@ -162,16 +163,15 @@ def clean_page_lines(x) -> Column:
 
 def after_label(lines: Column, label: str) -> Column:
     """The line behind the last line that is the label alone, if there is one behind it."""
-    found = F.filter(F.transform(lines, lambda s, i: F.struct(s.alias("s"), F.get(lines, i + 1).alias("v"))), lambda r: (r["s"] == label) & r["v"].isNotNull())
-    return F.try_element_at(found, F.lit(-1))["v"]
+    pairs = lambda t: F.filter(F.transform(t, lambda s, i: F.struct(s.alias("s"), F.get(t, i + 1).alias("v"))), lambda r: (r["s"] == label) & r["v"].isNotNull())
+    return F.try_element_at(let(lines, pairs), F.lit(-1))["v"]
 
 
 def post_header(x) -> Column:
     """Author, views and date as the lines behind their labels."""
-    lines = solid_lines(x)
     author, date, views = HEAD_LABELS[0], DATE_LABEL, HEAD_LABELS[1]
-    digits = F.regexp_replace(after_label(lines, views), r"\D", "")
-    return F.struct(after_label(lines, author).alias("author"), F.nullif(digits, F.lit("")).try_cast("int").alias("view_count"), after_label(lines, date).alias("created_at"))
+    number = lambda t: F.nullif(F.regexp_replace(after_label(t, views), r"\D", ""), F.lit("")).try_cast("int")
+    return let(solid_lines(x), lambda t: F.struct(after_label(t, author).alias("author"), number(t).alias("view_count"), after_label(t, date).alias("created_at")))
 
 
 def schedule_lines(x, intro: str) -> Column:
@@ -185,14 +185,17 @@ def schedule_sentences(x, url, board, title) -> Column:
     other pages, and where no row has a date, the text stays."""
     part = lambda c: F.coalesce(trim(_c(c)), F.lit(""))
     is_schedule = F.contains(part(url), F.lit("schedule")) | F.contains(part(board), F.lit(SCHEDULE)) | F.contains(part(title), F.lit(SCHEDULE))
-    lines = solid_lines(x)
-    base = F.array_position(lines, FIRST_HEADING).cast("int") + ROW_LINES  # from 1: the first line of the first row
-    n = F.floor((F.size(lines) - base + 1) / ROW_LINES).cast("int")
-    rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(lines, base + i * ROW_LINES, F.lit(ROW_LINES)))
     told = lambda r: F.concat(F.lit("• "), r[1], F.lit(": "), r[2], F.when(r[2] == r[3], F.lit(" (하루)")).otherwise(F.concat(F.lit(" ~ "), r[3])))
-    found = F.when((base > ROW_LINES) & (n > 0), F.transform(F.filter(rows, lambda r: F.contains(r[2], F.lit("-"))), told))
+
+    def sentences(lines: Column, base: Column) -> Column:
+        n = F.floor((F.size(lines) - base + 1) / ROW_LINES).cast("int")
+        rows = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(lines, base + i * ROW_LINES, F.lit(ROW_LINES)))
+        return F.when((base > ROW_LINES) & (n > 0), F.transform(F.filter(rows, lambda r: F.contains(r[2], F.lit("-"))), told))
+
+    # from 1: the first line of the first row
+    found = let(solid_lines(x), lambda t: let(F.array_position(t, FIRST_HEADING).cast("int") + ROW_LINES, lambda base: sentences(t, base)))
     head = F.array(F.replace(F.lit(SCHEDULE_HEAD[0]), F.lit("{}"), part(board)), F.lit(SCHEDULE_HEAD[1]))
-    return F.when(is_schedule & (F.coalesce(F.size(found), F.lit(0)) > 0), F.array_join(F.concat(head, found), "\n")).otherwise(_c(x))
+    return F.when(is_schedule, let(found, lambda f: F.when(F.size(f) > 0, F.array_join(F.concat(head, f), "\n")).otherwise(_c(x)))).otherwise(_c(x))
 
 
 def schedule_tags(tags, before, after) -> Column:

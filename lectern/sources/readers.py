@@ -124,7 +124,7 @@ def static_pages(urls: DataFrame, prefix: str, exclude: DataFrame | None = None,
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, text): lines that are not blank, numbered from 0 by file and place, however the files are read. A file of questions
     is one row until then."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.filter(F.transform(F.split("value", r"\r\n|\n|\r"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.filter(F.transform(F.split("value", r"\r\n|\n|\r"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "").alias("l"))
     sizes, before, at = sorted(whole.select("file", F.size("l")).collect()), {}, 0
     for f, n in sizes:
         before[f], at = at, at + n
@@ -138,7 +138,7 @@ def settings(spark: SparkSession, path: str) -> dict:
     """A small file of settings, JSON or (where a YAML library is there) YAML, read by Spark wherever it lies."""
     import json
 
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     try:
         return json.loads(text)
     except ValueError:

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.sources.shared import shared_dir
+from lectern.sources.shared import new_path
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of files; the checkpoint of a query remembers which were read."""
+def stream(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
+    """A table as a stream of files, ``files`` of them a batch at most; the checkpoint of a query remembers which were read."""
     path, schema = f"{sf_dir}/{name}.parquet", spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
-        return spark.readStream.schema(schema).parquet(path)
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, width: str = "1 day", late: str = "10 minutes") -> DataFrame:
@@ -33,7 +33,7 @@ def first_seen(events: DataFrame, key: str) -> DataFrame:
 def run_to_end(df: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a streaming query over all that is there and give its result as a table in the shared folder. In complete mode a
     batch replaces what stands there, in append mode it adds to it."""
-    at = f"{shared_dir(df.sparkSession)}/lectern-stream-{uuid.uuid4().hex}"
+    at = new_path(df.sparkSession, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")

@@ -13,9 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern import catalog
+from lectern.functions import models, urls
 from lectern.functions import text as tx
-from lectern.functions import urls
-from lectern.operators import chunking, evaluation, intents, pages, retrieval, tables
+from lectern.operators import chunking, documents, evaluation, html, intents, pages, retrieval, tables
 from lectern.sources import readers, writers
 from lectern.streaming import incremental
 
@@ -88,6 +88,22 @@ def test_post_cleaner(spark):
     assert _one(spark, tx.parse_fenced_json("t", "a string"), t='```json\n{"a": "b"}\n```').a == "b"
 
 
+def test_joins_of_archives(spark):
+    members = spark.createDataFrame([("z.zip", "d/a.txt"), ("y.zip", "b.txt")], "archive string, member string")
+    on = spark.createDataFrame([("z.zip", "u1"), ("z.zip", "u2")], "archive string, url string")
+    assert sorted(r.url for r in documents.members_on_pages(members, on).collect()) == ["u1", "u2"]
+    names = spark.createDataFrame([("a.txt", "old", 1), ("a.txt", "new", 2)], "name string, url string, seq long")
+    assert [(r.member, r.url) for r in documents.members_by_name(members, names).collect()] == [("d/a.txt", "new")]
+    chunks = spark.createDataFrame([("c", "d", "t", "f.pdf")], "chunk_id string, doc_id string, text string, file_name string")
+    p = documents.with_payload(chunks).first().payload
+    assert len(p) == 13 and p.file_name == "f.pdf" and p.site is None
+    page = html.minimal_page(F.col("u"), F.lit("T"), F.lit("<p>x</p>"), F.lit("now"))
+    assert _one(spark, page, u="http://h/").count("http://h/") == 3
+    assert _one(spark, tx.schedule_lines("t", "intro"), t="a\n 3.2 day\n\nb 12/31") == "intro\n일정 정보: 3.2 day\n일정 정보: b 12/31" and _one(spark, tx.schedule_lines("t", "intro"), t="a") == "a"
+    info = documents.page_info(spark.createDataFrame([("u", "t", "text", "now", ["a"])], "url string, title string, text string, crawled_at string, attachments array<string>")).first()
+    assert (info.text_length, info.attachments_count) == (4, 1)
+
+
 def test_document_names(spark):
     assert _one(spark, tx.base_document_name("t"), t="Guide.pdf_chunk12") == "Guide"
     assert _one(spark, tx.same_document("a", "b"), a="x_chunk1", b="x_chunk12") and not _one(spark, tx.same_document("a", "b"), a="x_chunk1", b="y_chunk1")
@@ -119,11 +135,14 @@ def test_intents(spark):
 def test_ranking(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "a a d"), (3, "a e")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "a b")], "query_id long, text string")
-    got = {r.doc_id: r.score for r in retrieval.bm25(q, docs, tx.tokens).collect()}
+    got = {r.doc_id: r.score for r in retrieval.bm25(q, docs, 3, grams=()).collect()}
     assert got[1] > got[2] > 0 or got[1] > max(got[2], got[3])  # "a" is in every document: its negative idf is replaced
+    assert {r.doc_id: r.score for r in retrieval.bm25(q, docs, 3, grams=(), normalised=True).collect()}[1] == 1.0
+    assert retrieval.bm25(q.limit(0), docs, 3).count() == retrieval.bm25(q, docs.limit(0), 3).count() == 0
     hits = spark.createDataFrame([(1, 1, 0.3, 1), (1, 2, 0.2, 2), (2, 1, 0.5, 1), (2, 3, 0.1, 2)], "query_id long, doc_id long, score double, rank int")
     assert {r.query_id for r in retrieval.drop_below(hits).collect()} == {2}
-    assert retrieval.min_max(spark.createDataFrame([(1, 1, 3.0)], "query_id long, doc_id long, score double"), 1).first().score == 1.0
+    one = spark.createDataFrame([(1, 3.0, 3.0, 1)], "query_id long, lo double, hi double, n long")
+    assert retrieval.min_max(spark.createDataFrame([(1, 1, 3.0)], "query_id long, doc_id long, score double"), one, 1).first().score == 1.0
     text = retrieval.context(hits.withColumn("text", F.when(F.col("doc_id") == 1, " ").otherwise("t"))).filter("query_id = 1").first().context
     assert text == "[2] t"
     again = retrieval.rerank(hits.withColumn("query", F.lit("t")).withColumn("text", F.col("doc_id").cast("string")), lambda q, t: t.cast("double"), 1)
@@ -133,6 +152,76 @@ def test_ranking(spark):
     assert (m.recall_1, m.recall_3, m.mrr) == (0.0, 0.5, 0.25)
 
 
+@pytest.mark.parametrize("grams", [(), (2, 3), (3,)])
+def test_terms_are_those_of_the_columns(spark, grams):
+    texts = ["a bb ccc dddd ab", "", "x", "Ünï côdé 漢字かな 한국어 a", "longer words in here longer", "\U0001f600\U0001f600 \U0001f600"]
+    doc, code, words = retrieval.term_codes(texts, grams)
+    spelled = retrieval._spelled(code, words).to_pylist()
+    for k, t in enumerate(texts):
+        want = list(t.split()) + [w[i : i + n] for w in t.split() for n in grams for i in range(len(w) - n + 1)]
+        assert sorted(x for x, d in zip(spelled, doc.tolist(), strict=True) if d == k) == sorted(want)
+    if grams == (2, 3):
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.ngram_tokens("t").alias("x")).collect()
+        plain = spark.createDataFrame([(t,) for t in texts], "t string").select(F.array_join(tx.tokens("t"), " ").alias("x")).collect()
+        doc, code, words = retrieval.term_codes([r.x for r in plain], grams)
+        spelled = retrieval._spelled(code, words).to_pylist()
+        assert [sorted(r.x) for r in got] == [sorted(x for x, d in zip(spelled, doc.tolist(), strict=True) if d == k) for k in range(len(texts))]
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    """Many small tables of weights give the hits of one."""
+    docs, items = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/benchmark.parquet").selectExpr("item_id AS query_id", "text").limit(6)
+    want = sorted(map(tuple, retrieval.bm25(items, docs, 4, digits=6).collect()))
+    monkeypatch.setattr(retrieval, "TABLE", 1000)
+    monkeypatch.setattr(retrieval, "DOC_ROWS", 7)
+    assert sorted(map(tuple, retrieval.bm25(items, docs, 4, digits=6).collect())) == want and len(want) == 24
+
+
+def test_dense_without_vectors(spark):
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.6, 0.8]), (4, [0.0, 0.0]), (5, [1.0, 0.0])], "doc_id long, vector array<float>")
+    q = spark.createDataFrame([(1, [2.0, 0.0]), (2, None)], "query_id long, vector array<float>")
+    assert [(r.doc_id, round(r.score, 6)) for r in retrieval.dense(q, docs, 4).orderBy("rank").collect()] == [(1, 1.0), (5, 1.0), (3, 0.6), (4, 0.0)]
+    with pytest.raises(Exception, match="does not have 2 numbers"):
+        retrieval.dense(q, docs.unionByName(spark.createDataFrame([(9, [1.0])], "doc_id long, vector array<float>")), 4).collect()
+    assert retrieval.dense(q.filter("query_id = 2"), docs, 4).count() == 0
+
+
+def test_models_are_loaded_once_a_worker(spark):
+    def load():
+        calls = []
+
+        def model(*columns):
+            calls.append(1)
+            return [f"{len(calls)}:{'+'.join(map(str, x))}" for x in zip(*columns, strict=True)]
+
+        return model
+
+    df = spark.range(3).select(F.col("id").cast("string").alias("a"), F.lit("u").alias("b"))
+    assert sorted(r[0] for r in df.coalesce(1).select(models.generator(load)("a", "b")).collect()) == ["1:0+u", "1:1+u", "1:2+u"]
+    assert [r[0] for r in df.select(models.scorer(lambda: lambda a, b: [float(x) for x in a])("a", "b")).collect()] == [0.0, 1.0, 2.0]
+    assert [r[0] for r in df.select(models.embedder(lambda: lambda a: [[float(x), 1.0] for x in a])("a")).collect()][2] == [2.0, 1.0]
+
+
+def test_fetching(spark):
+    """Errors that pass are asked again, others not; what the cache has is not asked for."""
+
+    def opener(url):
+        state = opener.__dict__.setdefault("asked", {})
+        state[url] = state.get(url, 0) + 1
+        if url == "http://h/slow" and state[url] < 3:
+            return 503, {}, b""
+        if url == "http://h/none":
+            raise OSError("no route")
+        kind = {"http://h/pdf": "application/pdf"}.get(url, "text/html; charset=utf-8")
+        return (404 if url == "http://h/404" else 200), {"content-type": kind, "content-disposition": 'attachment; filename="n.html"' if "named" in url else ""}, b"body"
+
+    asked = spark.createDataFrame([(f"http://h/{x}",) for x in ("a.html", "a.html", "slow", "none", "pdf", "404", "named", "kept")], "url string").coalesce(1)
+    cache = spark.createDataFrame([("http://h/kept", b"old"), ("http://h/other", b"x")], "url string, content binary")
+    got = {r.url.rsplit("/", 1)[1]: r for r in readers.fetch(asked, opener, cache).collect()}
+    assert len(got) == 7 and bytes(got["slow"].content) == b"body" and bytes(got["kept"].content) == b"old" and got["named"].name == "n.html" and got["a.html"].name == "a.html"
+    assert got["none"].error == "OSError: no route" and got["404"].status == 404 and got["404"].content is None and got["pdf"].content is None
+
+
 def test_early_stop(spark):
     rows = [(1, i, i >= 3) for i in range(10)] + [(2, i, i % 2 == 0) for i in range(10)]
     got = tables.early_stop(spark.createDataFrame(rows, "b long, p long, s boolean"), "b", "p", "s").collect()
@@ -171,6 +260,41 @@ def test_sources_and_sinks(spark, tmp_path):
     with open(f"{p}/q.txt", "w") as f:
         f.write("one\n\n two \n")
     assert sorted(r.text for r in readers.lines(spark, f"{p}/q.txt").collect()) == ["one", "two"]
+    assert [(r.query_id, r.text) for r in readers.lines(spark, f"{p}/q.txt").orderBy("query_id").collect()] == [(0, "one"), (1, "two")]
+    with open(f"{p}/bad.zip", "wb") as f:
+        f.write(b"PK no archive")
+    broken = readers.zip_members(readers.files(spark, f"{p}/*.zip", ("zip",))).collect()
+    assert sorted((r.member or "", r.error is None) for r in broken) == [("", False), ("d/a.txt", True)]
+    with open(f"{p}/index.xml", "w") as f:
+        f.write("<sitemapindex><sitemap><loc> http://h/ko/map.xml </loc></sitemap><sitemap><loc>http://h/en/map.xml</loc></sitemap><sitemap><loc>http://h/ko/index.xml</loc></sitemap></sitemapindex>")
+    where = {"http://h/index.xml": f"{p}/index.xml", "http://h/ko/index.xml": f"{p}/index.xml", "http://h/ko/map.xml": f"{p}/map.xml"}
+    assert [tuple(r) for r in readers.sitemaps(spark, "http://h/index.xml", where.__getitem__, ("ko",)).collect()] == [("https://a/b", "2024-02-01")]
+    with open(f"{p}/named.csv", "w") as f:
+        f.write('title,url\n"T, and",http://x\n')
+    assert [tuple(r) for r in readers.crawl_csv(spark, f"{p}/named.csv", ["url", "title", "text"]).collect()] == [("http://x", "T, and", None)]
+    assert readers.crawl_csv(spark, f"{p}/c.csv", ["url", "title", "text"]).first().title == "t"
+    os.makedirs(f"{p}/chunks")
+    for k, c in enumerate([{"chunk_id": "d__0", "text": "x", "metadata": {"tags": ["a"]}}, {"chunk_id": "d__1"}]):
+        with open(f"{p}/chunks/{k}.json", "w") as f:
+            json.dump(c, f)
+    assert [(r.chunk_id, r.file) for r in readers.json_chunks(spark, f"{p}/chunks").orderBy("file").collect()] == [("d__0", "0.json"), ("d__1", "1.json")]
+    for name, text in (("e.json", '[{"q": "a"}, {"q": "b"}]'), ("e.jsonl", '{"q": "a"}\n{"q": "b"}\n'), ("s.json", '{"delay": 1}')):
+        with open(f"{p}/{name}", "w") as f:
+            f.write(text)
+    assert all(sorted(r.q for r in readers.json_sets(spark, f"{p}/{n}", "q string").collect()) == ["a", "b"] for n in ("e.json", "e.jsonl"))
+    assert readers.settings(spark, f"{p}/s.json") == {"delay": 1} and readers.targets(spark, [{"name": "n", "url": "u"}]).first().kind == "board"
+    corpus = spark.createDataFrame([("1", "u", 't"q', "line\nline", 0, 1, "s", "d", 0), ("2", "u", "t", " ", 0, 1, "s", "d", 0)], readers.CORPUS)
+    writers.corpus_csv(corpus, f"{p}/corpus")
+    assert [tuple(r) for r in readers.corpus_csv(spark, f"{p}/corpus").collect()] == [tuple(corpus.first())]
+    writers.append_stamped(corpus.select("id"), f"{p}/log")
+    writers.append_stamped(corpus.select("id"), f"{p}/log", F.lit("2025"))
+    assert spark.read.option("header", True).csv(f"{p}/log").count() == 4
+    v = spark.createDataFrame([("a", [1.0, 2.0, 3.0])], "id string, vector array<float>")
+    writers.merge_vectors(spark, v, f"{p}/points", 3, 0)
+    assert spark.read.parquet(writers.merge_vectors(spark, v.unionByName(v.withColumn("id", F.lit("b"))), f"{p}/points", 3, 1)).count() == 2
+    korean = spark.createDataFrame([(bytearray("한글 문서".encode("cp949")),), (bytearray("한글".encode()),), (bytearray("\ufeffx".encode("utf-16-le")),), (bytearray(b"<meta charset=iso-8859-1>\xe9"),), (None,)], "c binary")
+    assert [r[0] for r in korean.select(documents.decoded(F.col("c"))).collect()] == ["한글 문서", "한글", "x", "<meta charset=iso-8859-1>é", None]
+    assert evaluation.markdown(spark.createDataFrame([("a", 0.123456), (None, None)], "m string, v double")).splitlines() == ["| m | v |", "|-|-|", "| a | 0.1235 |", "|  |  |"]
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     writers.merge(spark, a, f"{p}/t", ["k"], 0)
     out = writers.merge(spark, spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), f"{p}/t", ["k"], 1)
