@@ -128,6 +128,11 @@ def judged_queries(queries: DataFrame, truth: DataFrame) -> DataFrame:
     return queries.join(truth.select("query").distinct(), "query", "left_semi")
 
 
+def with_timings(results: DataFrame, timings: DataFrame, key: str = "variant") -> DataFrame:
+    """Results of variants with their timings, where there are any."""
+    return results.join(timings, key, "left")
+
+
 def not_found(queries: DataFrame, hits: DataFrame, truth: DataFrame, n: int = 10) -> DataFrame:
     """The first ``n`` questions without a relevant hit, by id."""
     good = hits.join(truth.select("query_id", "doc_id"), ["query_id", "doc_id"]).select("query_id")

@@ -294,6 +294,14 @@ def latest_posts(spark, d) -> DataFrame:
     return tables.latest_post(table(spark, d, "conversations").select(F.col("conv_id").alias("board"), F.col("text").alias("url"), F.col("turn").alias("pos")))
 
 
+@query("""SELECT r.event_type AS variant, n, mean, median FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) r LEFT JOIN (SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM events WHERE event_type <> 'click' GROUP BY 1) t USING (event_type)""")
+def variant_timings(spark, d) -> DataFrame:
+    """Variants with their timings, one of which has none."""
+    e = table(spark, d, "events").withColumnRenamed("event_type", "variant")
+    timings = evaluation.latency(e.filter("variant <> 'click'"), "value", ["variant"]).select("variant", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+    return evaluation.with_timings(e.groupBy("variant").agg(F.count("*").alias("n")), timings)
+
+
 # answers ------------------------------------------------------------------------------------------------------------------
 
 _ASKED = [(1, "셔틀버스 시간"), (2, "안녕"), (3, "수강신청 언제"), (4, "도서관"), (5, "모르는 것")]
