@@ -203,9 +203,9 @@ def _unzipped(raw: memoryview):
 # the query ------------------------------------------------------------------------------------------------------------
 
 
-def op4_content_addressed_warc(spark, sf_dir):
-    """Pages archived, and what the records that are read back say of themselves."""
-    path = write(table(spark, sf_dir, "pages"), new_path(spark, "archive"))
+def described(spark: SparkSession, path: str) -> DataFrame:
+    """What the records that are read back say of themselves: page_id, payload_bytes, payload_digest, record_type, refers_to (the
+    response's page_id)."""
     found = materialize(parsed(records(spark, path)).drop("payload", "url"), "parsed")
     responses = found.filter("record_type = 'response'").select(F.col("urn").alias("refers_to"), F.col("id").alias("of"))
     met = found.filter("record_type = 'revisit'").join(responses, "refers_to", "left")
@@ -215,6 +215,10 @@ def op4_content_addressed_warc(spark, sf_dir):
     return out.withColumnRenamed("id", "page_id")
 
 
+def op4_content_addressed_warc(spark, sf_dir):
+    return described(spark, write(table(spark, sf_dir, "pages"), new_path(spark, "archive")))
+
+
 QUERIES = {"op4_content_addressed_warc": op4_content_addressed_warc}
 SQL = {
     "op4_content_addressed_warc": f"""

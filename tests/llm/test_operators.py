@@ -311,21 +311,14 @@ def test_warc_query_against_sql(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str) and sum(r[3] == "revisit" for r in got) > 90
 
 
-@pytest.mark.parametrize("change", [(b"Content-Length: 3", b"Content-Length: 4"), (b"sha1:", b"sha1:0"), (b"WARC-Type: response", b"WARC-Type: revisit"), (b"WARC/1.1", b"garbage"), (b"WARC-Refers-To: <urn:uuid:", b"WARC-Refers-To: <urn:uuid:0")])
-def test_damaged_headers_are_seen(spark, tmp_path, monkeypatch, change):
-    rows = [(1, "u1", "z" * 3000), (2, "u2", "z" * 3000)]
-    _pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
-    write = warc_archive.write
-
-    def damaged(*args):
-        path = write(*args)
-        bad = spark.createDataFrame([(r.digest, bytes(r.header).replace(*change)) for r in spark.read.parquet(f"{path}/headers").collect()], "digest string, header binary")
-        bad.write.mode("overwrite").parquet(f"{path}/headers")
-        return path
-
-    monkeypatch.setattr(warc_archive, "write", damaged)
-    with pytest.raises(Exception, match="not a right record|no response has the id"):
-        warc_archive.op4_content_addressed_warc(spark, str(tmp_path)).collect()
+def test_damaged_headers_are_seen(spark):
+    path = warc_archive.write(_pages(spark, [(1, "u1", "z" * 3000), (2, "u2", "z" * 3000)]), staging.new_path(spark, "w"))
+    whole = [(r.digest, bytes(r.header)) for r in spark.read.parquet(f"{path}/headers").collect()]
+    assert warc_archive.described(spark, path).count() == 2
+    for change in [(b"Content-Length: 3", b"Content-Length: 4"), (b"sha1:", b"sha1:0"), (b"WARC-Type: response", b"WARC-Type: revisit"), (b"WARC/1.1", b"garbage"), (b"WARC-Refers-To: <urn:uuid:", b"WARC-Refers-To: <urn:uuid:0")]:
+        spark.createDataFrame([(d, h.replace(*change)) for d, h in whole], "digest string, header binary").write.mode("overwrite").parquet(f"{path}/headers")
+        with pytest.raises(Exception, match="not a right record|no response has the id"):
+            warc_archive.described(spark, path).collect()
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------------
@@ -457,20 +450,21 @@ def test_store_round_trip(spark, docs):
     assert len(digests) == len(set(map(bytes, digests)))
 
 
-@pytest.mark.parametrize(
-    "table, column, value",
-    [("recipes", c, f"{c} + 1") for c in ("n_tokens", "start", "crc", "doc_id", "pos")] + [("recipes", "digests", "reverse(digests)"), ("manifest", "ids_before", "ids_before + 1"), ("manifest", "docs_before", "docs_before + 1")],
-)
-def test_damage_is_seen(spark, table, column, value):
+def test_damage_is_seen(spark):
+    """Any field of a recipe or of the manifest."""
     path = token_store.write(spark.createDataFrame([(1, " ".join(f"text {i * i}" for i in range(999))), (2, "more")], "doc_id long, text string"), staging.new_path(spark, "s"))
-    bad = staging.materialize(spark.read.parquet(f"{path}/{table}").withColumn(column, F.expr(value)), "bad")
-    bad.write.mode("overwrite").parquet(f"{path}/{table}")
-    with pytest.raises(ValueError):
-        token_store.verify(spark, path)
-    if column in ("n_tokens", "crc", "digests"):  # also where nobody asked for the roots
-        for read in (token_store.summaries, token_store.reconstruct):
-            with pytest.raises(Exception, match="do not hold its ids"):
-                read(spark, path).collect()
+    whole = {t: staging.materialize(spark.read.parquet(f"{path}/{t}"), "whole") for t in ("recipes", "manifest")}
+    changes = [("recipes", c, f"{c} + 1") for c in ("n_tokens", "start", "crc", "doc_id", "pos")] + [("recipes", "digests", "reverse(digests)"), ("manifest", "ids_before", "ids_before + 1"), ("manifest", "docs_before", "docs_before + 1")]
+    for name, column, value in changes:
+        whole[name].withColumn(column, F.expr(value)).write.mode("overwrite").parquet(f"{path}/{name}")
+        with pytest.raises(ValueError):
+            token_store.verify(spark, path)
+        if column in ("n_tokens", "crc", "digests"):  # also where nobody asked for the roots
+            for read in (token_store.summaries, token_store.reconstruct):
+                with pytest.raises(Exception, match="do not hold its ids"):
+                    read(spark, path).collect()
+        whole[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    token_store.verify(spark, path)
 
 
 def test_damaged_chunks_are_seen(spark):
