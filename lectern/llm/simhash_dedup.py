@@ -12,7 +12,8 @@ sum is tau - m + 1, then in some partition i they differ in at most t_i bits (-1
 
 Buckets are counted before they are dealt. One with more than ``BLOCK`` members is cut into blocks, and each pair of blocks
 is a task's work of its own: no bucket lands in one task, and no candidate is left out. A task joins what it has verified
-into trees, so a group of thousands of copies leaves it with a link for each member and not for each pair.
+into trees, so a group of thousands of copies leaves it with a link for each member and not for each pair, and two blocks
+with one that joins them.
 
 For near-duplicates proper a link takes a Jaccard similarity of 0.8 of the sets of five-word shingles, which is computed from
 the texts of the candidates. A sketch (MinHash) travels with each fingerprint and only says which pairs are not worth it: of
@@ -46,6 +47,8 @@ PROBE_COST, PAIR_COST = 2e-6, 1e-8
 PERMUTATIONS, SIMILARITY = 128, 0.8
 #: Positions that agree: below the first a pair is no candidate; from the second on its members need no other link between them.
 LOOSE, CERTAIN = 84, 122
+#: Candidates for each row of a group in a first pass; groups with more are gone through again.
+EVERY = 8
 SHORT = 80
 #: Texts of candidates are found by a broadcast of at most so many keys.
 BROADCAST_TEXTS = 1_000_000
@@ -227,22 +230,53 @@ def probes(fps: DataFrame, tau: int) -> list[tuple[int, ...]]:
 # probing and verifying ------------------------------------------------------------------------------------------------
 
 
-def _verifier(tau: int, sketched: bool):
-    def linked(gid, node, fp, sketch, short):
-        """A forest over the rows that are near another one of their group; with sketches also all pairs that may be near."""
+class _Forest:
+    """Rows that are joined into trees; ``label`` says for each row which tree it is of."""
+
+    def __init__(self, label: np.ndarray):
+        self.parent, self.label = label.tolist(), label
+
+    def top(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """Join rows ``a`` with rows ``b``; returns which of these made one tree of two."""
+        made = []
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            r, s = self.top(x), self.top(y)
+            if r != s:
+                self.parent[max(r, s)] = min(r, s)
+                made.append(k)
+        label = np.array(self.parent)
+        while (label != label[label]).any():
+            label = label[label]
+        self.label = label
+        return made
+
+
+def _verifier(tau: int, sketched: bool, every: int = 0):
+    def linked(gid, node, comp, side, fp, sketch, short):
+        """Links that join whatever is near within a group, as trees. With sketches these are candidates: all pairs that may be near,
+        or, where a group has more than ``every`` of them a row, trees of the likeliest, and the group's rows to be looked at
+        again. Pairs of rows of one component are none, nor are pairs of one side of a group that joins two blocks: those are
+        in a group of their own."""
         n = len(gid)
         ends = np.flatnonzero(np.diff(gid)) + 1
         begins, ends = np.concatenate([[0], ends]), np.concatenate([ends, [n]])
-        stop = np.repeat(ends, ends - begins)
-        label, parent = np.arange(n), list(range(n))
-
-        def top(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        at, lag, out = np.arange(n), 0, []
+        group = np.repeat(np.arange(len(begins)), ends - begins)
+        stop = ends[group]
+        order = np.lexsort((comp, group))
+        first = np.concatenate([[True], (np.diff(comp[order]) != 0) | (np.diff(group[order]) != 0)])
+        label = np.empty(n, np.int64)
+        label[order] = np.minimum.reduceat(order, np.flatnonzero(first))[np.cumsum(first) - 1]
+        forest, out = _Forest(label), []
+        inner = lambda a, b: (side[a] >= 0) & (side[a] == side[b])
+        left: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at, lag = np.arange(n), 0
         while True:
             lag += 1
             at = at[at + lag < stop[at]]
@@ -250,24 +284,43 @@ def _verifier(tau: int, sketched: bool):
                 break
             near = np.bitwise_count(fp[at] ^ fp[at + lag]) <= tau
             a = at[near | (short[at] & short[at + lag])] if sketched else at[near]
-            a = a[label[a] != label[a + lag]]
+            a = a[forest.label[a] != forest.label[a + lag]]
             if sketched and len(a):
                 agree = (sketch[a] == sketch[a + lag]).sum(1)
-                a, agree = a[agree >= LOOSE], agree[agree >= LOOSE]
-                out += [(x, x + lag) for x in a[agree < CERTAIN].tolist()]
+                some = (agree >= LOOSE) & (agree < CERTAIN)
+                left.append((a[some], a[some] + lag, agree[some]))
                 a = a[agree >= CERTAIN]
-            if not len(a):
-                continue
-            for x in a.tolist():
-                r, s = top(x), top(x + lag)
-                if r != s:
-                    parent[max(r, s)] = min(r, s)
-                    out.append((x, x + lag))
-            label = np.array(parent)
-            while (label != label[label]).any():
-                label = label[label]
-        e = np.array(out, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])], names=["u", "v"])
+            if len(a):
+                made = forest.join(a, a + lag)
+                out += [(x, x + lag) for x in a[made][~inner(a[made], a[made] + lag)].tolist()]
+        dense = np.zeros(len(begins), bool)
+        if left:
+            a, b, agree = (np.concatenate(x) for x in zip(*left, strict=True))
+            cross = forest.label[a] != forest.label[b]
+            a, b, agree = a[cross], b[cross], agree[cross]
+            own = inner(a, b)
+            dense = np.bincount(group[a[~own]], minlength=len(begins)) > every * (ends - begins)
+            many = dense[group[a]]
+            out += list(zip(a[~own & ~many].tolist(), b[~own & ~many].tolist(), strict=True))
+            a, b, agree, own = a[many], b[many], agree[many], own[many]
+            order = np.lexsort((-agree, ~own))
+            for k in range(0, len(order), 4096):
+                e = order[k : k + 4096]
+                e = e[forest.label[a[e]] != forest.label[b[e]]]
+                if len(e):
+                    e = e[forest.join(a[e], b[e])]
+                    e = e[~own[e]]
+                    out += list(zip(a[e].tolist(), b[e].tolist(), strict=True))
+        e, again = np.array(out, np.int64).reshape(-1, 2), np.flatnonzero(dense[group])
+        none = lambda k, kind: pa.nulls(k, kind)
+        both = lambda x, y: pa.concat_arrays([x, y])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([node[e[:, 0]], node[again]])), both(pa.array(node[e[:, 1]]), none(len(again), pa.int64())),
+                both(none(len(e), pa.int64()), pa.array(gid[again])), both(none(len(e), pa.int32()), pa.array(side[again])),
+            ],
+            names=["u", "v", "gid", "side"],
+        )
 
     def run(batches):
         held = None
@@ -287,29 +340,69 @@ def _verifier(tau: int, sketched: bool):
     def _arrays(t):
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) if sketched else None
         short = t.column("short").to_numpy() if sketched else None
-        return t.column("gid").to_numpy(), t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64), sketch, short
+        return *(t.column(c).to_numpy() for c in ("gid", "node", "comp", "side")), t.column("fp").to_numpy().view(np.uint64), sketch, short
 
     return run
 
 
 def links(nodes: DataFrame, tau: int, sketched: bool, block: int = BLOCK) -> DataFrame:
-    """(u, v): verified links that connect whatever is connected; if ``sketched``, candidates for these. ``nodes``: node, fp
-    and, if ``sketched``, sketch and firsts."""
+    """(u, v, gid, side): verified links that connect whatever is connected; if ``sketched``, candidates for these, and with a gid
+    and no v the rows of groups that are to be looked at again. ``nodes``: node, fp and, if ``sketched``, sketch and firsts."""
     keys = probes(nodes, tau)
-    extra = ["sketch", (F.size("firsts") > 0).alias("short")] if sketched else []
     probed = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_mask(k)))) for i, k in enumerate(keys)])
     if sketched:
         probed = F.concat(probed, F.transform("firsts", lambda x: F.xxhash64(F.lit(-1), x)))
     bucket = F.explode(probed).alias("bucket")
     counts = nodes.select(bucket).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    met = nodes.select("node", "fp", *extra, bucket).join(counts, "bucket")
+    met = nodes.select("node", "fp", *_extra(sketched), bucket).join(counts, "bucket")
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(1)), blocks)
-    of = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.xxhash64("bucket", F.least(b, mine), F.greatest(b, mine)))
-    met = met.select("node", "fp", *(["sketch", "short"] if sketched else []), F.explode(F.when(F.col("n") > block, of).otherwise(F.array("bucket"))).alias("gid"))
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.repartition(n, "gid").sortWithinPartitions("gid", "node")
-    return dealt.mapInArrow(_verifier(tau, sketched), "u long, v long")
+    # a group for each pair of blocks, of two sides, and for each block with itself
+    pair = lambda b: F.struct(F.xxhash64("bucket", F.least(b, mine), F.greatest(b, mine)).alias("gid"), F.when(b == mine, -1).when(b > mine, 0).otherwise(1).alias("side"))
+    whole = F.array(F.struct(F.col("bucket").alias("gid"), F.lit(-1).alias("side")))
+    met = met.select("node", "fp", *(["sketch", "short"] if sketched else []), F.explode(F.when(F.col("n") > block, F.transform(F.sequence(F.lit(0), blocks - 1), pair)).otherwise(whole)).alias("g"))
+    met = met.select("g.gid", "g.side", "node", F.col("node").alias("comp"), "fp", *(["sketch", "short"] if sketched else []))
+    return _compared(met, tau, sketched, EVERY)
+
+
+def _extra(sketched: bool) -> list:
+    return ["sketch", (F.size("firsts") > 0).alias("short")] if sketched else []
+
+
+def _compared(rows: DataFrame, tau: int, sketched: bool, every: int) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "gid").sortWithinPartitions("gid", "node")
+    return dealt.mapInArrow(_verifier(tau, sketched, every), "u long, v long, gid long, side int")
+
+
+def similar_components(nodes: DataFrame, tau: int, docs: DataFrame, text_col: str, feat: Features) -> DataFrame:
+    """(node, root): components of the links between sets of shingles that are as similar as they must be.
+
+    A first pass gives candidates, a bounded number for each row of a group. Where a group has more, these are trees of its likeliest
+    pairs; when they are verified, the group's rows are compared again, but for pairs of one component, with twice the bound,
+    until no pair is left that was not verified or is within a component. So a group of copies of copies costs a few links a
+    row, and a group that is not one is compared in full."""
+    found, every = materialize(links(nodes, tau, True), "near"), EVERY
+    tested = materialize(_pairs(found), "tested")
+    sure = materialize(verified(tested, nodes, docs, text_col, feat), "links")
+    roots = components(sure)
+    while True:
+        dense = found.filter("gid is not null").select("gid", "side", F.col("u").alias("node"))
+        if dense.isEmpty():
+            return roots
+        every *= 2
+        rows = dense.join(nodes.select("node", "fp", *_extra(True)), "node").join(roots, "node", "left")
+        rows = rows.select("gid", "side", "node", F.coalesce("root", "node").alias("comp"), "fp", "sketch", "short")
+        found = materialize(_compared(rows, tau, True, every), "near")
+        new = materialize(_pairs(found).join(tested, ["u", "v"], "left_anti"), "tested")
+        if not new.isEmpty():
+            tested = tested.unionByName(new)
+            sure = sure.unionByName(materialize(verified(new, nodes, docs, text_col, feat), "links"))
+            roots = components(sure)
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.filter("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _similar(batches):
@@ -327,7 +420,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
             found = [_hashes(list(set(_shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), feat.sketch)))).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     asked = materialize(nodes.join(ends, "node").select("node", "key"), "asked")
     few = asked.count() <= BROADCAST_TEXTS
@@ -344,8 +436,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialize(rows.withColumn("node", F.xxhash64("fp", "sketch") if sketched else F.col("fp")), "fingerprints")
     extra = [F.first("sketch").alias("sketch"), F.first("firsts").alias("firsts"), F.min("key").alias("key")] if sketched else []
     nodes = materialize(rows.groupBy("node", "fp").agg(F.min("id").alias("least"), *extra), "nodes")
-    near = links(nodes, tau, sketched)
-    found = components(verified(near, nodes, docs, text_col, feat) if sketched else near)
+    found = similar_components(nodes, tau, docs, text_col, feat) if sketched else components(links(nodes, tau, False).select("u", "v"))
     rooted = nodes.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")  # apart from the join, so that Spark can split the join
     named = rooted.join(ids, "root").select("node", "component_id")

@@ -425,6 +425,31 @@ def test_near_copies_by_exact_similarity(spark):
     assert len(want & short) < len(short) and kept & short == want & short and kept >= want
 
 
+@pytest.mark.parametrize("block, every", [(512, 8), (40, 1)])
+def test_groups_of_near_copies_against_brute_force(spark, block, every, monkeypatch):
+    """Hundreds of copies that differ from each other about as much as they may, next to a group that is almost as near: candidates
+    stay in proportion to rows, and no link is lost."""
+    monkeypatch.setattr(simhash_dedup.links, "__defaults__", (block,))
+    monkeypatch.setattr(simhash_dedup, "EVERY", every)
+    r = random.Random(21)
+    vocab = [f"{r.getrandbits(40):x}" for _ in range(4000)]
+    base = r.choices(vocab, k=70)
+    texts = []
+    for source, n in ((base, 260), (base[:50] + r.choices(vocab, k=20), 80)):
+        for i in range(n):
+            w = list(source)
+            w[r.randrange(70)] = f"new{i}"
+            texts.append(" ".join(w[: r.choice([70, 69, 68])]))
+    texts += [" ".join(r.choices(vocab, k=r.randrange(5, 90))) for _ in range(60)] + [None, "", texts[0]]
+    made = []
+    verified = simhash_dedup.verified
+    monkeypatch.setattr(simhash_dedup, "verified", lambda pairs, *args: made.append(pairs.count()) or verified(pairs, *args))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash_dedup.components_of(df, tau=6, feat=simhash_dedup.NEAR_DUPLICATES).collect()}
+    assert got == dict(enumerate(brute.groups(range(len(texts)), texts)))
+    assert sum(made) < 40 * len(texts)
+
+
 def test_thresholds_are_a_cover():
     cost, t = simhash_dedup.allocate([[5.0, 9.0, 20.0], [1.0, 2.0, 9.0], [4.0, 50.0, 90.0]], 4)
     assert sum(x + 1 for x in t) == 4 and cost == sum([[5, 9, 20], [1, 2, 9], [4, 50, 90]][i][x] for i, x in enumerate(t) if x >= 0) == 11.0
