@@ -47,8 +47,9 @@ PROBE_COST, PAIR_COST = 2e-6, 1e-8
 PERMUTATIONS, SIMILARITY = 128, 0.8
 #: Positions that agree: below the first a pair is no candidate; from the second on its members need no other link between them.
 LOOSE, CERTAIN = 84, 122
-#: Candidates for each row of a group in a first pass; groups with more are gone through again.
-EVERY = 8
+#: Candidates for each row of a group in a first pass, a tree's; groups with more are gone through again. A row is in a group for each
+#: probe, so this counts some twenty times over.
+EVERY = 1
 SHORT = 80
 #: Texts of candidates are found by a broadcast of at most so many keys.
 BROADCAST_TEXTS = 1_000_000

@@ -425,7 +425,7 @@ def test_near_copies_by_exact_similarity(spark):
     assert len(want & short) < len(short) and kept & short == want & short and kept >= want
 
 
-@pytest.mark.parametrize("block, every", [(512, 8), (40, 1)])
+@pytest.mark.parametrize("block, every", [(512, 1), (40, 8)])
 def test_groups_of_near_copies_against_brute_force(spark, block, every, monkeypatch):
     """Hundreds of copies that differ from each other about as much as they may, next to a group that is almost as near: candidates
     stay in proportion to rows, and no link is lost."""
