@@ -29,7 +29,7 @@ _ODD = r"[ \n]{2}|[\x{00}\x{01}\x{09}\x{0b}-\x{0d}\x{1c}-\x{1f}\x{85}\x{a0}\x{16
 _LETTER = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
 _CLOSING = rf"([{_LETTER}])([.,;:!?]+)$"
 _WHOLE = rf"^(?: ?[{_LETTER}]+|[.,;:!?]+|\n)$"
-REMEMBERED = 32 << 20
+REMEMBERED = 24 << 20
 
 
 def default_path() -> str:
@@ -222,7 +222,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray,
     return out, counts, offsets
 
 
-def small_batches(batches, size: int = 6 << 20):
+def small_batches(batches, size: int = 4 << 20):
     """Cut record batches so that none holds much more than ``size`` bytes, but for a row that is longer alone. Memory that
     the rows before took is given back when the last one is done."""
     for b in batches:
