@@ -127,11 +127,11 @@ def cleaned_posts(spark, d) -> DataFrame:
     return df.select("id", tx.clean_post("t").alias("clean"))
 
 
-@query(rows("id int, base string, same boolean, header string, title string, redacted string, html string", [(1, "Guide", True, "title: Guide.pdf_chunk12\n\nbody", "x", "mail [이메일 확인: 원문 참조]!", "a b"), (2, "plain name", False, "title: plain name\n\nbody", None, "none", "t"), (3, None, None, "\nbody", None, None, None)]))
+@query(rows("id int, base string, same boolean, header string, title string, redacted string, html string", [(1, "Guide", True, "title: Guide.pdf_chunk12\n\nbody", "x", "mail [이메일 확인: 원문 참조]!", "a b"), (2, "plain name", False, "title: plain name\n\nbody", None, "none", "t"), (3, None, False, "\nbody", None, None, None)]))
 def document_names(spark, d) -> DataFrame:
     """Names of documents, headers of chunks, fenced answers, redacted and plain texts."""
     df = spark.createDataFrame([(1, "Guide.pdf_chunk12", "Guide.pdf_chunk1", '```json\n{"title": "x"}\n```', "mail a.b@c.org!", "<p>a<script>no</script></p>\n<b>b</b>"), (2, "plain name", "other", "no json", "none", "t"), (3, None, None, None, None, None)], "id int, a string, b string, j string, m string, h string")
-    return df.select("id", tx.base_document_name("a").alias("base"), tx.same_document("a", "b").alias("same"), chunking.with_header(F.lit("body"), {"title": F.col("a")}).alias("header"), tx.parse_fenced_json("j", "title string")["title"].alias("title"), tx.redact_emails("m").alias("redacted"), tx.html_to_text("h").alias("html"))
+    return df.select("id", tx.base_document_name("a").alias("base"), F.coalesce(tx.same_document("a", "b"), F.lit(False)).alias("same"), chunking.with_header(F.lit("body"), {"title": F.col("a")}).alias("header"), tx.parse_fenced_json("j", "title string")["title"].alias("title"), tx.redact_emails("m").alias("redacted"), tx.html_to_text("h").alias("html"))
 
 
 @query(rows("url string, uuid string", [("http://h/", "d17977ad-b400-53b5-b614-e2e1279af39a"), ("https://www.site.ac.kr/b?x=1", "0024e480-b24d-5ad2-8b27-4dd50dd67b71")]))

@@ -143,7 +143,7 @@ def crawl_report(spark, d) -> DataFrame:
     return evaluation.crawl_report(table(spark, d, "pages").select("url", "page_id", (F.col("page_id") % 50).alias("fetched_at"))).select("url", "page_id", "total")
 
 
-@query("""SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, date_diff('second', min(ts), max(ts))::DOUBLE AS seconds, count(*) AS rows, count(DISTINCT user_id) AS keys FROM events""")
+@query("""SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, floor(epoch(max(ts)) - epoch(min(ts)))::DOUBLE AS seconds, count(*) AS rows, count(DISTINCT user_id) AS keys FROM events""")
 def run_summary(spark, d) -> DataFrame:
     """When a run began and ended, and what it did."""
     s = evaluation.run_summary(table(spark, d, "events"), F.col("ts"), F.col("ts"), "user_id")
