@@ -380,7 +380,7 @@ def similar_components(nodes: DataFrame, tau: int, docs: DataFrame, text_col: st
     """(node, root): components of the links between sets of shingles that are as similar as they must be.
 
     A first pass gives candidates, a bounded number for each row of a group. Where a group has more, these are trees of its likeliest
-    pairs; when they are verified, the group's rows are compared again, but for pairs of one component, with twice the bound,
+    pairs; when they are verified, the group's rows are compared again, but for pairs of one component, with eight times the bound,
     until no pair is left that was not verified or is within a component. So a group of copies of copies costs a few links a
     row, and a group that is not one is compared in full."""
     found, every = materialize(links(nodes, tau, True), "near"), EVERY
@@ -391,7 +391,7 @@ def similar_components(nodes: DataFrame, tau: int, docs: DataFrame, text_col: st
         dense = found.filter("gid is not null").select("gid", "side", F.col("u").alias("node"))
         if dense.isEmpty():
             return roots
-        every *= 2
+        every *= 8
         rows = dense.join(nodes.select("node", "fp", *_extra(True)), "node").join(roots, "node", "left")
         rows = rows.select("gid", "side", "node", F.coalesce("root", "node").alias("comp"), "fp", "sketch", "short")
         found = materialize(_compared(rows, tau, True, every), "near")
