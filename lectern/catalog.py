@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from lectern.functions import models, urls
 from lectern.functions import text as tx
 from lectern.functions.vectors import l2_normalize
-from lectern.operators import chunking, evaluation, intents, pages, retrieval, tables
-from lectern.plans import QUERIES, SQL, files, page_parts, records, runs
+from lectern.operators import chunking, containment, evaluation, intents, pages, retrieval, tables
+from lectern.plans import QUERIES, SQL, files, page_parts, records, runs, search
 from lectern.plans import query as _query
 from lectern.sources.readers import table
 from lectern.sources.shared import shared_dir
 from lectern.sources.writers import log_rows
 from lectern.streaming import incremental
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "files", "page_parts", "records", "runs"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "files", "page_parts", "records", "runs", "search"]
 
 # pages ----------------------------------------------------------------------------------------------------------------
 
@@ -397,12 +397,8 @@ _REL = "t AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b JOIN
 
 
 def _truth(spark, d) -> DataFrame:
-    """Documents that hold an item's text. Items are the bounded side; documents are read where they are."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    if b.count() > evaluation.BROADCAST_NAMES:
-        raise ValueError("too many items to send to every task")
-    hit = table(spark, d, "documents").join(F.broadcast(b), F.contains("text", F.col("q")))
-    return hit.select("query_id", "doc_id")
+    """Documents that hold an item's text: one automaton of all items, documents read once."""
+    return containment.holding(table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("name")))
 
 
 @_query(f"""WITH {_BM25}, {_REL}, h AS (SELECT * FROM (SELECT query_id, doc_id, {_RANKED.format(s="round(score, 4)")} AS rank FROM bm) WHERE rank <= 5), f AS (SELECT t.query_id, min(rank) AS f FROM t LEFT JOIN h ON h.query_id = t.query_id AND h.doc_id = t.doc_id GROUP BY 1)

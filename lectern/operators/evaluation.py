@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators.containment import holding
 from lectern.operators.retrieval import top_k
 from lectern.operators.tables import keep_first
 
-#: Queries with their documents are joined by containment while there are at most so many names on one side, which is broadcast.
-BROADCAST_NAMES = 100_000
-
-
 def first_ranks(hits: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, first): rank of the first relevant hit of each judged query, null if there is none."""
     met = hits.join(truth.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
@@ -89,13 +86,11 @@ def matched_truth(truth: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def contained_truth(truth: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, doc_id): documents whose name holds the named one, or begins with it without its ending. Containment has no key to
-    join by; the names asked for are the bounded side, counted before they are sent to every task."""
-    asked = truth.select("query_id", F.col("document_name").alias("gt"))
-    if asked.count() > BROADCAST_NAMES:
-        raise ValueError(f"more than {BROADCAST_NAMES} names to look for: split the truth")
-    hit = F.contains("document_name", F.col("gt")) | F.startswith(F.col("document_name"), F.replace("gt", F.lit(".pdf"), F.lit("")))
-    return corpus.select("doc_id", "document_name").join(F.broadcast(asked), hit).select("query_id", "doc_id").distinct()
+    """(query_id, doc_id): documents whose name holds the named one, or begins with it without its ending."""
+    asked = truth.select("query_id", F.col("document_name").alias("name"), F.replace("document_name", F.lit(".pdf"), F.lit("")).alias("stem"))
+    whole = holding(corpus, asked, text_col="document_name")
+    begun = holding(corpus, asked, text_col="document_name", name_col="stem", at_start=True)
+    return whole.unionByName(begun).distinct()
 
 
 def found_names(hits: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:

@@ -130,7 +130,7 @@ def term_codes(texts: list[str], grams: tuple[int, ...] = (2, 3)) -> tuple[np.nd
     return np.concatenate(docs), np.concatenate(codes), words.dictionary
 
 
-def _spelled(codes: np.ndarray, long_words: pa.Array) -> pa.Array:
+def spelled(codes: np.ndarray, long_words: pa.Array) -> pa.Array:
     """The terms of codes."""
     out = np.empty(len(codes), object)
     short = codes >= 0
@@ -141,7 +141,7 @@ def _spelled(codes: np.ndarray, long_words: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def _plain(words, text: str):
+def plain(words, text: str):
     return F.array_join(words(text), " ")
 
 
@@ -157,9 +157,9 @@ def term_statistics(docs: DataFrame, words=tx.tokens, grams: tuple[int, ...] = (
                 every, number = np.unique(code, return_inverse=True)
                 pairs = np.unique(number * len(texts) + doc)
                 df = np.bincount(pairs // len(texts), minlength=len(every))
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.string()), _spelled(every, long_words)]), pa.array(np.append(len(texts), df)), pa.array(np.append(len(code), np.zeros(len(df), np.int64)))], names=["term", "df", "terms"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.string()), spelled(every, long_words)]), pa.array(np.append(len(texts), df)), pa.array(np.append(len(code), np.zeros(len(df), np.int64)))], names=["term", "df", "terms"])
 
-    counts = docs.select(_plain(words, text)).mapInArrow(run, "term string, df long, terms long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("terms").alias("terms"))
+    counts = docs.select(plain(words, text)).mapInArrow(run, "term string, df long, terms long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("terms").alias("terms"))
     counts = staged(counts, "terms")
     n, total = counts.filter("term is null").select("df", "terms").first() or (0, 0)
     return n, (total / n if n else 1.0) or 1.0, counts.filter("term is not null").select("term", "df")
@@ -246,6 +246,21 @@ def _scorer(ids, terms, table, k: int, avgdl: float, k1: float, b: float, digits
     return run
 
 
+def query_terms(queries: DataFrame, words=tx.tokens, grams: tuple[int, ...] = (2, 3), text: str = "text") -> DataFrame:
+    """(query_id, term, qtf): the terms of queries and how often they occur in them."""
+
+    def run(batches):
+        for b_ in batches:
+            q, texts = b_.column(0).to_numpy(), b_.column(1).to_pylist()
+            doc, code, long_words = term_codes(texts, grams)
+            every, number = np.unique(code, return_inverse=True)
+            pairs, counts = np.unique(doc * max(1, len(every)) + number, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q[pairs // max(1, len(every))]), spelled(every, long_words).take(pa.array(pairs % max(1, len(every)))), pa.array(counts)], names=["query_id", "term", "qtf"])
+
+    flat = queries.select(F.col("query_id").cast("long"), plain(words, text))
+    return flat.mapInArrow(run, "query_id long, term string, qtf long")
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, words=tx.tokens, grams: tuple[int, ...] = (2, 3), idf=okapi_idf, normalised: bool = False, digits: int = 9, k1: float = 1.5, b: float = 0.75, text: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query among those that share a term with it; scores are
     rounded to ``digits``, ties go to the smaller id. ``words``: text column -> array of words; ``grams``: n-grams of their
@@ -256,22 +271,12 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, words=tx.tokens, grams: tu
     weights, in blocks of bounded size."""
     spark = docs.sparkSession
     n, avgdl, df = term_statistics(docs, words, grams, text)
-    flat = queries.select("query_id", _plain(words, text).alias("t"))
-
-    def asked_terms(batches):
-        for b_ in batches:
-            q, texts = b_.column(0).to_numpy(), b_.column(1).to_pylist()
-            doc, code, long_words = term_codes(texts, grams)
-            every, number = np.unique(code, return_inverse=True)
-            pairs, counts = np.unique(doc * max(1, len(every)) + number, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q[pairs // max(1, len(every))]), _spelled(every, long_words).take(pa.array(pairs % max(1, len(every)))), pa.array(counts)], names=["query_id", "term", "qtf"])
-
-    asked = flat.select(F.col("query_id").cast("long"), "t").mapInArrow(asked_terms, "query_id long, term string, qtf long")
+    asked = query_terms(queries, words, grams, text)
     weights = staged(asked.join(idf(df, n), "term").select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight")), "weights")
     out = None
     for ids, terms, table in _query_blocks(weights):
         run = _scorer(ids, terms, table, k, avgdl, k1, b, digits, grams)
-        part = docs.select(F.col("doc_id").cast("long"), _plain(words, text)).mapInArrow(run, "query_id long, doc_id long, score double, lo double, hi double, n long")
+        part = docs.select(F.col("doc_id").cast("long"), plain(words, text)).mapInArrow(run, "query_id long, doc_id long, score double, lo double, hi double, n long")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
