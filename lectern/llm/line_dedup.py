@@ -7,8 +7,8 @@ points.
 ``LineRuns`` holds for each key the number of documents it was found in, spread over sorted runs: Parquet tables in as many
 buckets by key as Spark has shuffle partitions, each bucket sorted. A new batch is counted, merge-anti-joined with the keys
 that a run has settled already (found often enough: counting on would change nothing), and what is left becomes a run of
-level 0. ``fanout`` runs of a level are merged into one of the next, so there are few runs however many batches came, and a
-key is rewritten once a level. Runs lie in the same buckets, so neither the anti-join nor a merge shuffles them; only a
+level 0. Two runs of a level are merged into one of the next, so there are as many runs as the number of batches has digits of
+two, and a key is rewritten once a level. Runs lie in the same buckets, so neither the anti-join nor a merge shuffles them; only a
 batch's counts are shuffled, one row for each key and task.
 
 The last pass drops lines where documents are read. Up to ``BROADCAST_KEYS`` frequent keys (they are counted first) go to
@@ -85,8 +85,8 @@ def key_counts(docs: DataFrame, text_col: str = "text", least_chars: int = 1, ba
 class LineRuns:
     """Counts of documents by key in levelled sorted runs below a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, least: int = 10, fanout: int = 2):
-        self.spark, self.least, self.fanout = spark, least, fanout
+    def __init__(self, spark: SparkSession, least: int = 10):
+        self.spark, self.least = spark, least
         self.path, self.buckets = new_path(spark, "line-runs"), int(spark.conf.get("spark.sql.shuffle.partitions"))
         #: (level, name of the table), the oldest first
         self.runs: list[tuple[int, str]] = []
@@ -96,12 +96,15 @@ class LineRuns:
         counts.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").saveAsTable(name)
         self.runs.append((level, name))
 
-    def _read(self, names: list[str]) -> DataFrame:
-        """Runs together. They lie in the same buckets, which a union keeps."""
-        out = self.spark.table(names[0])
-        for name in names[1:]:
-            out = out.unionAll(self.spark.table(name))
-        return out
+    def _merged(self, one: str, other: str) -> DataFrame:
+        """Two runs as one. They lie in the same buckets, so their join needs no shuffle."""
+        a, b = self.spark.table(one), self.spark.table(other).withColumnRenamed("docs", "more")
+        none = F.lit(0).cast("long")
+        return a.join(b.hint("merge"), "h", "full_outer").select("h", (F.coalesce("docs", none) + F.coalesce("more", none)).alias("docs"))
+
+    def _merge(self, one: str, other: str, level: int) -> None:
+        self._write(self._merged(one, other), level)
+        self._drop([one, other])
 
     def _drop(self, names: list[str]) -> None:
         self.runs = [r for r in self.runs if r[1] not in names]
@@ -112,26 +115,25 @@ class LineRuns:
     def add(self, counts: DataFrame) -> None:
         """A batch (h, docs) joins the runs, without the keys that they have settled."""
         new = counts.groupBy("h").agg(F.sum("docs").alias("docs"))
-        if self.runs:
-            settled = self._read([name for _, name in self.runs]).filter(F.col("docs") >= self.least)
+        for _, name in self.runs:
+            settled = self.spark.table(name).filter(F.col("docs") >= self.least).select("h")
             new = new.join(settled.hint("merge"), "h", "left_anti")
         self._write(new, 0)
-        level = 0
-        while len(same := [name for at, name in self.runs if at == level]) >= self.fanout:
-            self._write(self.totals(same), level + 1)
-            self._drop(same)
-            level += 1
-
-    def totals(self, names: list[str] | None = None) -> DataFrame:
-        """(h, docs) over these runs or all. A key that was settled early counts ``least`` or more, but not all its documents."""
-        names = [name for _, name in self.runs] if names is None else names
-        return self._read(names).groupBy("h").agg(F.sum("docs").alias("docs"))
+        # two runs of a level are merged into one of the next
+        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
+            (level, one), (_, other) = self.runs[-2:]
+            self._merge(one, other, level + 1)
+
+    def compact(self) -> DataFrame:
+        """(h, docs): all runs merged into one. A key that was settled early counts ``least`` or more, but not all its documents."""
+        while len(self.runs) > 1:
+            (level, one), (_, other) = self.runs[-2:]
+            self._merge(one, other, level + 1)
+        return self.spark.table(self.runs[0][1]) if self.runs else self.spark.createDataFrame([], "h binary, docs long")
 
     def frequent(self) -> DataFrame:
         """(h) of the keys found in ``least`` documents or more, written down."""
-        if not self.runs:
-            return self.spark.createDataFrame([], "h binary")
-        return materialize(self.totals().filter(F.col("docs") >= self.least).select("h"), "frequent-lines")
+        return materialize(self.compact().filter(F.col("docs") >= self.least).select("h"), "frequent-lines")
 
     def close(self) -> None:
         self._drop([name for _, name in self.runs])
@@ -180,14 +182,14 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id", tex
     return narrow.join(hits, "row", "left").select("id", "text", F.coalesce("gone", F.array().cast("array<binary>")).alias("gone")).mapInArrow(_cutter(None, least_chars), schema)
 
 
-def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, least_chars: int = 1, batches: int = 4, fanout: int = 2, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, least_chars: int = 1, batches: int = 4, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(id, n_lines, n_dropped, text): every document without the lines found in ``least`` documents or more. The table goes
     through the runs in ``batches`` batches; their number decides how much is counted at a time, not what goes."""
     spark = docs.sparkSession
     path = new_path(spark, "line-counts")
     counts = key_counts(docs, text_col, least_chars, batches)
     counts.write.partitionBy("batch").parquet(path)
-    runs = LineRuns(spark, least, fanout)
+    runs = LineRuns(spark, least)
     written = spark.read.schema(counts.schema).parquet(path)
     for k in range(batches):
         runs.add(written.filter(F.col("batch") == k).select("h", "docs"))
