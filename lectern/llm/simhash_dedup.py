@@ -18,8 +18,9 @@ with one that joins them.
 For near-duplicates proper a link takes a Jaccard similarity of 0.8 of the sets of five-word shingles, which is computed from
 the texts of the candidates. A sketch (MinHash) travels with each fingerprint and only says which pairs are not worth it: of
 those with 0.8 less than one in 10,000. ``fingerprints`` then takes distinct words, whose fingerprints stay near where a few
-words differ, and ``tau`` is 6. Few words make fingerprints jump, so texts of at most ``SHORT`` shingles are found by these
-instead: sets that are as similar have one in common of their first n - ceil(0.8 n) + 1 in the order of hashes.
+words differ, and ``tau`` is 6. At a similarity of 0.8 some fingerprints are further apart than that, of few words more often than
+of many, so the sketch is probed too, in ``BANDS`` bands of ``BAND`` positions: of pairs with 0.8, and texts of any length, two in
+1,000 share none, and of those with more, fewer.
 
 Texts without a word have fingerprint zero and are linked like any other; a null text is an empty one. Texts of any length are
 hashed whole, a part of their shingles at a time. Rows with equal ids
@@ -50,7 +51,8 @@ LOOSE, CERTAIN = 84, 122
 #: Candidates for each row of a group in a first pass, a tree's; groups with more are gone through again. A row is in a group for each
 #: probe, so this counts some twenty times over.
 EVERY = 1
-SHORT = 80
+#: Positions of the sketch that make a bucket's key together, and how many such keys there are.
+BAND, BANDS = 6, 21
 #: Texts of candidates are found by a broadcast of at most so many keys.
 BROADCAST_TEXTS = 1_000_000
 
@@ -105,27 +107,25 @@ def minhash(h: np.ndarray) -> bytes:
 def _worker(feat: Features):
     def run(batches):
         for b in small_batches(batches):
-            fps, sketches, firsts = [], [], []
+            fps, sketches = [], []
             for t in b.column(1).to_pylist():
                 words = (t or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only ASCII white space
                 s = _shingles(words, feat.words)
                 fps.append(majority(_hashes(list(set(s)) if feat.distinct else s)))
                 if feat.sketch:
-                    h = _hashes(list(set(_shingles(words, feat.sketch))))
-                    sketches.append(minhash(h))
-                    firsts.append(np.sort(h)[: len(h) - int(np.ceil(SIMILARITY * len(h))) + 1].view(np.int64) if len(h) <= SHORT else [])
+                    sketches.append(minhash(_hashes(list(set(_shingles(words, feat.sketch))))))
             cols, names = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"]
             if feat.sketch:
-                cols, names = [*cols, pa.array(sketches, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), b.column(2)], [*names, "sketch", "firsts", "key"]
+                cols, names = [*cols, pa.array(sketches, pa.binary()), b.column(2)], [*names, "sketch", "key"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, feat: Features) -> DataFrame:
-    """(id, fp, sketch, firsts, key) per row; fp as a signed long, key of the text."""
+    """(id, fp, sketch, key) per row; fp as a signed long, key of the text."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`"), *([_key(text_col).alias("key")] if feat.sketch else []))
-    return rows.mapInArrow(_worker(feat), "id long, fp long" + (", sketch binary, firsts array<long>, key long" if feat.sketch else ""))
+    return rows.mapInArrow(_worker(feat), "id long, fp long" + (", sketch binary, key long" if feat.sketch else ""))
 
 
 def _key(text_col: str):
@@ -260,7 +260,7 @@ class _Forest:
 
 
 def _verifier(tau: int, sketched: bool, every: int = 0):
-    def linked(gid, node, comp, side, fp, sketch, short):
+    def linked(gid, node, comp, side, fp, sketch):
         """Links that join whatever is near within a group, as trees. With sketches these are candidates: all pairs that may be near,
         or, where a group has more than ``every`` of them a row, trees of the likeliest, and the group's rows to be looked at
         again. Pairs of rows of one component are none, nor are pairs of one side of a group that joins two blocks: those are
@@ -284,7 +284,7 @@ def _verifier(tau: int, sketched: bool, every: int = 0):
             if not len(at):
                 break
             near = np.bitwise_count(fp[at] ^ fp[at + lag]) <= tau
-            a = at[near | (short[at] & short[at + lag])] if sketched else at[near]
+            a = at[near | (gid[at] & 1 == 1)] if sketched else at[near]
             a = a[forest.label[a] != forest.label[a + lag]]
             if sketched and len(a):
                 agree = (sketch[a] == sketch[a + lag]).sum(1)
@@ -340,36 +340,35 @@ def _verifier(tau: int, sketched: bool, every: int = 0):
 
     def _arrays(t):
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) if sketched else None
-        short = t.column("short").to_numpy() if sketched else None
-        return *(t.column(c).to_numpy() for c in ("gid", "node", "comp", "side")), t.column("fp").to_numpy().view(np.uint64), sketch, short
+        return *(t.column(c).to_numpy() for c in ("gid", "node", "comp", "side")), t.column("fp").to_numpy().view(np.uint64), sketch
 
     return run
 
 
 def links(nodes: DataFrame, tau: int, sketched: bool, block: int = BLOCK) -> DataFrame:
     """(u, v, gid, side): verified links that connect whatever is connected; if ``sketched``, candidates for these, and with a gid
-    and no v the rows of groups that are to be looked at again. ``nodes``: node, fp and, if ``sketched``, sketch and firsts."""
+    and no v the rows of groups that are to be looked at again. ``nodes``: node, fp and, if ``sketched``, sketch. Then the last bit of
+    a bucket's and a group's number says whether it is one of bands, whose pairs may be any distance apart."""
     keys = probes(nodes, tau)
     probed = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_mask(k)))) for i, k in enumerate(keys)])
     if sketched:
-        probed = F.concat(probed, F.transform("firsts", lambda x: F.xxhash64(F.lit(-1), x)))
+        bands = F.array(*[F.xxhash64(F.lit(-1 - i), F.substring("sketch", BAND * i + 1, BAND)) for i in range(BANDS)])
+        probed = F.concat(F.transform(probed, lambda x: x.bitwiseAND(F.lit(-2))), F.transform(bands, lambda x: x.bitwiseOR(F.lit(1))))
     bucket = F.explode(probed).alias("bucket")
     counts = nodes.select(bucket).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    met = nodes.select("node", "fp", *_extra(sketched), bucket).join(counts, "bucket")
+    extra = ["sketch"] if sketched else []
+    met = nodes.select("node", "fp", *extra, bucket).join(counts, "bucket")
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(1)), blocks)
     # a group for each pair of blocks, of two sides, and for each block with itself
-    pair = lambda b: F.struct(F.xxhash64("bucket", F.least(b, mine), F.greatest(b, mine)).alias("gid"), F.when(b == mine, -1).when(b > mine, 0).otherwise(1).alias("side"))
+    number = lambda h: h.bitwiseAND(F.lit(-2)).bitwiseOR(F.col("bucket").bitwiseAND(F.lit(1))) if sketched else h
+    pair = lambda b: F.struct(number(F.xxhash64("bucket", F.least(b, mine), F.greatest(b, mine))).alias("gid"), F.when(b == mine, -1).when(b > mine, 0).otherwise(1).alias("side"))
     whole = F.array(F.struct(F.col("bucket").alias("gid"), F.lit(-1).alias("side")))
-    met = met.select("node", "fp", *(["sketch", "short"] if sketched else []), F.explode(F.when(F.col("n") > block, F.transform(F.sequence(F.lit(0), blocks - 1), pair)).otherwise(whole)).alias("g"))
-    met = met.select("g.gid", "g.side", "node", F.col("node").alias("comp"), "fp", *(["sketch", "short"] if sketched else []))
+    met = met.select("node", "fp", *extra, F.explode(F.when(F.col("n") > block, F.transform(F.sequence(F.lit(0), blocks - 1), pair)).otherwise(whole)).alias("g"))
+    met = met.select("g.gid", "g.side", "node", F.col("node").alias("comp"), "fp", *extra)
     return _compared(met, tau, sketched, EVERY)
 
 
-def _extra(sketched: bool) -> list:
-    return ["sketch", (F.size("firsts") > 0).alias("short")] if sketched else []
-
-
 def _compared(rows: DataFrame, tau: int, sketched: bool, every: int) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "gid").sortWithinPartitions("gid", "node")
@@ -392,8 +391,8 @@ def similar_components(nodes: DataFrame, tau: int, docs: DataFrame, text_col: st
         if dense.isEmpty():
             return roots
         every *= 8
-        rows = dense.join(nodes.select("node", "fp", *_extra(True)), "node").join(roots, "node", "left")
-        rows = rows.select("gid", "side", "node", F.coalesce("root", "node").alias("comp"), "fp", "sketch", "short")
+        rows = dense.join(nodes.select("node", "fp", "sketch"), "node").join(roots, "node", "left")
+        rows = rows.select("gid", "side", "node", F.coalesce("root", "node").alias("comp"), "fp", "sketch")
         found = materialize(_compared(rows, tau, True, every), "near")
         new = materialize(_pairs(found).join(tested, ["u", "v"], "left_anti"), "tested")
         if not new.isEmpty():
@@ -435,7 +434,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = fingerprints(docs, id_col, text_col, feat)
     sketched = feat.sketch > 0
     rows = materialize(rows.withColumn("node", F.xxhash64("fp", "sketch") if sketched else F.col("fp")), "fingerprints")
-    extra = [F.first("sketch").alias("sketch"), F.first("firsts").alias("firsts"), F.min("key").alias("key")] if sketched else []
+    extra = [F.min("sketch").alias("sketch"), F.min("key").alias("key")] if sketched else []
     nodes = materialize(rows.groupBy("node", "fp").agg(F.min("id").alias("least"), *extra), "nodes")
     found = similar_components(nodes, tau, docs, text_col, feat) if sketched else components(links(nodes, tau, False).select("u", "v"))
     rooted = nodes.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
