@@ -120,7 +120,9 @@ def unseen_rows(rows: DataFrame, state: DataFrame, keep: int = 200) -> tuple[Dat
     none = F.array().cast("array<string>")
     met = rows.join(state, "target", "left")
     new = met.filter(~F.coalesce(F.array_contains("seen", F.col("key")), F.lit(False))).select(*rows.columns)
-    batch = rows.groupBy("target").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda r: r["key"]).alias("b"))
+    # no more than the newest ``keep`` of a run can be in the state after it
+    newest = rows.groupBy("target", "key").agg(F.min("pos").alias("pos")).withColumn("__n", F.row_number().over(Window.partitionBy("target").orderBy("pos", "key"))).filter(F.col("__n") <= keep)
+    batch = newest.groupBy("target").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda r: r["key"]).alias("b"))
     after = state.join(batch, "target", "full_outer").select("target", F.slice(F.array_distinct(F.concat(F.coalesce("b", none), F.coalesce("seen", none))), 1, keep).alias("seen"))
     return new, after
 

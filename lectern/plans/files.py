@@ -76,7 +76,7 @@ def merged_versions(spark, d) -> DataFrame:
     path, at = new_path(spark, "merged"), table(spark, d, "labels")
     writers.merge(spark, table(spark, d, "documents").select("doc_id", F.col("lang").alias("state")), path, ["doc_id"], 0)
     writers.merge(spark, at.select("doc_id", F.lit("bad").alias("state")), path, ["doc_id"], 1)
-    return spark.read.parquet(writers.merge(spark, at.filter("quality = 1").select("doc_id", F.lit("good").alias("state")), path, ["doc_id"], 2))
+    return writers.merge(spark, at.filter("quality = 1").select("doc_id", F.lit("good").alias("state")), path, ["doc_id"], 2)
 
 
 @query("""SELECT vec_id::VARCHAR AS id, round(CASE WHEN vec_id % 3 = 0 THEN -embedding[1]::DOUBLE ELSE embedding[1]::DOUBLE END, 6) AS first FROM embeddings""")
@@ -86,7 +86,7 @@ def merged_vectors(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
     writers.merge_vectors(spark, e, path, 64, 0)
     turned = e.filter("cast(id as long) % 3 = 0").withColumn("vector", F.transform("vector", lambda x: -x))
-    return spark.read.parquet(writers.merge_vectors(spark, turned, path, 64, 1)).select("id", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"))
+    return writers.merge_vectors(spark, turned, path, 64, 1).select("id", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"))
 
 
 @query("""SELECT conv_id, turn, left(replace(text, chr(10), ' '), 200) AS text, count(*) AS n FROM (SELECT * FROM conversations UNION ALL SELECT * FROM conversations WHERE role = 'user') GROUP BY ALL""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.tables import upsert
+from lectern.sources.keyed import KeyedTable
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -16,12 +16,11 @@ def refresh(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
-def merge(spark: SparkSession, new: DataFrame, path: str, keys: list[str], version: int) -> str:
-    """Upsert ``new`` into the newest version of a table below ``path`` and write the next one; returns its place."""
-    out = f"{path}/v{version + 1}"
-    old = spark.read.parquet(f"{path}/v{version}") if version else None
-    (new if old is None else upsert(old, new, keys)).write.mode("overwrite").parquet(out)
-    return out
+def merge(spark: SparkSession, new: DataFrame, path: str, keys: list[str], version: int | None = None) -> DataFrame:
+    """Upsert ``new`` into the keyed table at ``path``, which is to be at ``version`` if that is given; returns the table."""
+    keyed = KeyedTable(spark, path, keys)
+    keyed.upsert(new, version)
+    return keyed.read()
 
 
 def vectors(df: DataFrame, path: str, dim: int) -> None:
@@ -29,9 +28,9 @@ def vectors(df: DataFrame, path: str, dim: int) -> None:
     _of_dimension(df, dim).write.mode("overwrite").parquet(path)
 
 
-def merge_vectors(spark: SparkSession, new: DataFrame, path: str, dim: int, version: int) -> str:
-    """Points by id into the newest version of a collection, which is made if there is none; a vector of another dimension fails the
-    write. Returns the next version's place."""
+def merge_vectors(spark: SparkSession, new: DataFrame, path: str, dim: int, version: int | None = None) -> DataFrame:
+    """Points by id into a collection, which is made if there is none; a vector of another dimension fails the write. Returns the
+    collection."""
     return merge(spark, _of_dimension(new, dim), path, ["id"], version)
 
 

@@ -32,11 +32,12 @@ def first_seen(events: DataFrame, key: str) -> DataFrame:
 
 def run_to_end(df: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a streaming query over all that is there and give its result as a table in the shared folder. In complete mode a
-    batch replaces what stands there, in append mode it adds to it."""
+    batch replaces what stands there; in append mode it has a folder by its number, so one that is run again after a failure stands
+    there once."""
     at = new_path(df.sparkSession, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
+        batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={number}")
 
     df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{at}/out")
