@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
@@ -78,5 +78,7 @@ def response(answers: DataFrame) -> DataFrame:
 
 def conversation_turns(messages: DataFrame, last: int = 10) -> DataFrame:
     """(session, history): the last messages of each session in order, as text. State of a conversation is its own rows."""
-    rows = messages.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    return rows.select("session", F.array_join(F.transform(F.slice("m", F.greatest(F.size("m") - (last - 1), F.lit(1)), F.lit(last)), lambda r: F.concat(r["role"], F.lit(": "), r["text"])), "\n").alias("history"))
+    newest = Window.partitionBy("session").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
+    few = messages.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= last)
+    rows = few.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return rows.select("session", F.array_join(F.transform("m", lambda r: F.concat(r["role"], F.lit(": "), r["text"])), "\n").alias("history"))

@@ -157,110 +157,7 @@ def conversation_state(spark, d) -> DataFrame:
     return answers.conversation_turns(table(spark, d, "conversations").withColumnRenamed("conv_id", "session"), 3)
 
 
-# ground truth and reports ---------------------------------------------------------------------------------------------------
-
-_HITS = [(1, 10, 0.9, 1, "Rules.pdf_chunk3"), (1, 11, 0.8, 2, "Other"), (2, 12, 0.7, 1, "Guide to dorms"), (2, 10, 0.6, 2, "Rules.pdf_chunk3"), (2, 13, 0.5, 3, "Rules.pdf_chunk4"), (3, 11, 0.3, 1, "Other")]
-_CORPUS = [(10, "Rules.pdf_chunk3", "The rules"), (11, "Other", "Other"), (12, "dorm.xlsx", "Guide"), (13, "Rules.pdf_chunk4", "The rules"), (14, None, "Lost")]
-_TRUTH = [(1, "Rules.pdf", 1), (2, "Guide", 2), (3, "Lost", 1), (4, "None.pdf", -1), (5, "Absent", 1)]
-
-
-def _tables(spark):
-    hits = spark.createDataFrame(_HITS, "query_id long, doc_id long, score double, rank int, title string")
-    return hits, spark.createDataFrame(_CORPUS, "doc_id long, document_name string, title string"), spark.createDataFrame(_TRUTH, "query_id long, document_name string, rank int")
-
-
-@query(rows("query_id long, doc_id long", [(1, 10), (1, 13), (2, 12), (3, 14)]))
-def matched_truth(spark, d) -> DataFrame:
-    """Documents that a truth names, by plain name or else by title."""
-    _, corpus, truth = _tables(spark)
-    return evaluation.matched_truth(truth, corpus)
-
-
-@query(rows("query_id long, doc_id long", [(1, 10), (1, 13)]))
-def contained_truth(spark, d) -> DataFrame:
-    """Documents whose name holds the named one."""
-    _, corpus, truth = _tables(spark)
-    return evaluation.contained_truth(truth, corpus)
-
-
-@query(rows("query_id long, first int", [(1, 1), (2, 1), (3, None), (4, None), (5, None)]))
-def names_found(spark, d) -> DataFrame:
-    """Ranks of hits whose names hold the named one or are held by it."""
-    hits, _, truth = _tables(spark)
-    return evaluation.found_names(hits, truth, 2)
-
-
-@query(rows("model string, recall double, mean_rank double, bias double, verdict string", [("a", 1.0, 1.5, 0.75, "strong"), ("b", 0.5, 1.0, None, None), ("c", 0.0, None, None, None)]))
-def truth_bias(spark, d) -> DataFrame:
-    """How far a truth favours the model that made it."""
-    found = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 1), ("b", 2, None), ("c", 1, None), ("c", 2, None)], "model string, query_id long, first int")
-    return evaluation.bias(found, "a")
-
-
-@query(rows("query_id long, precision double, recall double", [(1, 1.0, 0.5), (2, 0.583333, 1.0), (3, 0.0, 0.0)]))
-def context_scores(spark, d) -> DataFrame:
-    """Precision and recall of contexts by ids."""
-    hits, _, _ = _tables(spark)
-    truth = spark.createDataFrame([(1, 10), (1, 99), (2, 10), (2, 13), (3, 14)], "query_id long, doc_id long")
-    return evaluation.context_scores(hits, truth).withColumn("precision", F.round("precision", 6))
-
-
-@query(rows("query string, doc_id long, score double", [("q1", 10, 0.9), ("q2", 12, 0.7), ("q3", 11, 0.3)]))
-def generated_truth(spark, d) -> DataFrame:
-    """The best hit of each question as its truth."""
-    hits, _, _ = _tables(spark)
-    return evaluation.generated_truth(hits, spark.createDataFrame([(1, "q1"), (2, "q2"), (3, "q3")], "query_id long, query string"))
-
-
-@query(rows("query_id long, query string", [(2, "q2"), (3, "q3")]))
-def failed_queries(spark, d) -> DataFrame:
-    """Judged questions without a relevant hit."""
-    hits, _, _ = _tables(spark)
-    asked = spark.createDataFrame([(1, "q1"), (2, "q2"), (3, "q3"), (4, "q4")], "query_id long, query string")
-    judged = evaluation.judged_queries(asked, spark.createDataFrame([("q1",), ("q2",), ("q3",)], "query string"))
-    return evaluation.not_found(judged, hits, spark.createDataFrame([(1, 10), (2, 99), (3, 98)], "query_id long, doc_id long"))
-
-
-@query(rows("query_id long, n long, titles long, best string", [(1, 2, 2, "Rules.pdf_chunk3,Other"), (2, 3, 3, "Guide to dorms,Rules.pdf_chunk3,Rules.pdf_chunk4"), (3, 1, 1, "Other")]))
-def title_diversity(spark, d) -> DataFrame:
-    """Different titles among the hits, and the best hit of each."""
-    hits, _, _ = _tables(spark)
-    one = evaluation.unlike_titles(hits.unionByName(hits.withColumn("rank", F.col("rank") + 9)), 5)
-    names = one.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "title"))), lambda r: r["title"]), ",").alias("best"))
-    return evaluation.repeated_titles(hits).join(names, "query_id")
-
-
-@query(rows("query_id long, doc_id long, score double, rank int", [(1, 10, round(1 / 61 + 1 / 61, 9), 1), (1, 13, round(1 / 61, 9), 2), (2, 13, round(1 / 61 + 1 / 62, 9), 1), (2, 10, round(1 / 62, 9), 2)]))
-def fused_by_document(spark, d) -> DataFrame:
-    """Rank fusion in which a dense hit counts for all chunks of its document."""
-    corpus = spark.createDataFrame([(10, "Rules"), (13, "Rules"), (12, "dorm")], "doc_id long, document_name string")
-    dense = spark.createDataFrame([(1, 10, 1), (2, 13, 2)], "query_id long, doc_id long, rank int")
-    sparse = spark.createDataFrame([(1, 10, 1), (2, 13, 1)], "query_id long, doc_id long, rank int")
-    return evaluation.fused_by_document(dense, sparse, corpus).withColumn("score", F.round("score", 9))
-
-
-@query(rows("model string, retrieval double, speed double, memory double, quality double, total double", [("x", 24.0, 30.0, 0.0, 10.0, 64.0), ("y", 40.0, 15.0, 10.0, 5.0, 70.0)]))
-def weighted_models(spark, d) -> DataFrame:
-    """Models by a weighted total."""
-    m = spark.createDataFrame([("x", 0.6, 0.6, 0.6, 200.0, 80.0, 0.2), ("y", 1.0, 1.0, 1.0, 100.0, 40.0, 0.1)], "model string, recall_1 double, recall_5 double, mrr double, speed double, memory double, spread double")
-    out = evaluation.weighted_models(m)
-    return out.select("model", *[F.round(c, 6).alias(c) for c in ("retrieval", "speed", "memory", "quality", "total")])
-
-
-@query(rows("accuracy double, relevance double, completeness double, groundedness double, overall double, best long, worst long", [(4.0, 4.0, 3.666667, 4.0, 3.916667, 1, 3)]))
-def judged_answers(spark, d) -> DataFrame:
-    """Means of a judge's marks, best and worst answer."""
-    r = spark.createDataFrame([(1, 5, 5, 5, 5), (2, 5, 5, 5, 5), (3, 2, 2, 1, 2)], "query_id long, accuracy int, relevance int, completeness int, groundedness int")
-    return evaluation.judged(r).select(*[F.round(c, 6).alias(c) for c in ("accuracy", "relevance", "completeness", "groundedness", "overall")], "best", "worst")
-
-
-@query(rows("recall_1_gain double, recall_5_gain double, mrr_gain double", [(0.5, 0.0, 0.25)]))
-def rerank_gains(spark, d) -> DataFrame:
-    """What a second ranking gains over the first."""
-    truth = spark.createDataFrame([(1, 10), (2, 13)], "query_id long, doc_id long")
-    a = spark.createDataFrame([(1, 10, 1), (2, 13, 2)], "query_id long, doc_id long, rank int")
-    b = spark.createDataFrame([(1, 10, 1), (2, 13, 1)], "query_id long, doc_id long, rank int")
-    return evaluation.gains(a, b, truth).select("recall_1_gain", "recall_5_gain", "mrr_gain")
+# reports -------------------------------------------------------------------------------------------------------------------
 
 
 @query("""SELECT text AS document_name, count(*) AS chunks, min(doc_id) AS first FROM documents GROUP BY 1""")
