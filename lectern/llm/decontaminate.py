@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.staging import table
-from lectern.llm.tokens import small_batches
+from lectern.llm.tokens import give_back, small_batches
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, 1
 THRESHOLD = 0.5
 PASSAGE, EDIT = 13, 4
 BLOCK_CHARS = 4 << 20
+#: Documents that are judged and handed on at a time.
+ROWS = 256
 
 _WORD = re.compile(r"\w+")
 
@@ -183,12 +185,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     out = docs
     for items in blocks(benchmark, item_col, item_text_col):
 
-        def run(batches, items=items):
-            for b in batches:
-                yield b.filter(pa.array([not hits(items, t, threshold) for t in b.column(1).to_pylist()], pa.bool_())).select([0])
+        # the text once, within the row; some rows at a time
+        def run(batches, items=items, k=out.columns.index(text_col)):
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    b = whole.slice(at, ROWS)
+                    yield b.filter(pa.array([not hits(items, t, threshold) for t in b.column(0).field(k).to_pylist()], pa.bool_()))
+            give_back()
 
-        whole = out.select(F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("row"), F.col(f"`{text_col}`").alias("t"))
-        out = whole.mapInArrow(run, whole.select("row").schema).select("row.*")
+        rows = out.select(F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("row"))
+        out = rows.mapInArrow(run, rows.schema).select("row.*")
     return out
 
 
