@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lectern.operators import answers, evaluation, pages, retrieval, tables
 from lectern.operators import documents as docs
+from lectern.operators.crawl import Crawl
 from lectern.plans import query, rows
 from lectern.sources.readers import point_text, table
+from lectern.sources.shared import new_path, staged
 
 # state --------------------------------------------------------------------------------------------------------------------
 
@@ -268,3 +270,23 @@ def whole_frontier(spark, d) -> DataFrame:
     l = pages.links(p.select("url", "html"), "url").select(urls.host("url").alias("src"), F.col("href").alias("dst"))  # noqa: E741
     both = l.unionByName(l.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     return pages.frontier(both, l.agg(F.min("src").alias("node"))).agg(F.count("*").alias("reached"))
+
+
+@query(r"""WITH RECURSIVE l AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS src, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS dst FROM pages),
+e AS (SELECT src, dst FROM l WHERE dst <> '' UNION SELECT dst, src FROM l WHERE dst <> ''), r(node) AS (SELECT min(src) FROM l UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT count(*) AS reached, count(*) AS done, 1 AS most FROM r""")
+def resumed_crawl(spark, d) -> DataFrame:
+    """A crawl of the same graph with its state on disk: stopped after two steps, gone on with by another, each node fetched once."""
+    from lectern.functions import urls
+
+    p = table(spark, d, "pages")
+    l = pages.links(p.select("url", "html"), "url").select(urls.host("url").alias("src"), F.col("href").alias("dst"))  # noqa: E741
+    l = staged(l.unionByName(l.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> '' and dst <> ''").distinct(), "graph")  # noqa: E741
+    path = new_path(spark, "crawl")
+    own = lambda rows: rows.select("url", F.lit(200).alias("status"), F.lit("").alias("content"))
+    near = lambda got: got.join(l, got["url"] == l["src"]).select("url", "dst")
+    first = Crawl(spark, path, own, near, per_host=1000, buckets=2)
+    first.seed(l.agg(F.min("src").alias("url")))
+    first.run(rounds=2)
+    then = Crawl(spark, path, own, near, per_host=1000, buckets=2)
+    then.run()
+    return then.state().agg(F.count("*").alias("reached"), F.count_if(F.col("state") == "done").alias("done"), F.max("attempts").alias("most"))
