@@ -1,5 +1,5 @@
-"""Named queries of the engine, each with DuckDB SQL for the same rows, by subject. Queries over shapes that no given table has bring
-their own rows, and SQL that has the rows that should come out."""
+"""Named queries of the engine, each with DuckDB SQL for the same rows, by subject. All read given tables; shapes that
+no given table has are wrapped around given rows (``wrapped``, ``wrapped_records``)."""
 
 from __future__ import annotations
 
