@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import models, urls
 from lectern.functions import text as tx
 from lectern.functions.vectors import l2_normalize
-from lectern.operators import chunking, containment, evaluation, intents, pages, retrieval, tables
+from lectern.operators import answers, chunking, containment, evaluation, intents, pages, retrieval, tables
 from lectern.plans import QUERIES, SQL, files, judged, page_parts, records, runs, search, wrapped, wrapped_records
 from lectern.plans import query as _query
 from lectern.sources.readers import table
@@ -393,6 +393,20 @@ def rrf_search(spark, d) -> DataFrame:
     return retrieval.top_k(hits, 5)
 
 
+@_query(f"""WITH {_HYBRID.replace("rank <= 25", "rank <= 50")}, f AS (SELECT query_id, doc_id, 0.85 * coalesce(s, 0) + 0.15 * coalesce(b, 0) AS score FROM de FULL JOIN sp USING (query_id, doc_id)), c AS (SELECT * FROM (SELECT *, {_RANKED.format(s="score")} AS former FROM f) WHERE former <= 30),
+m AS (SELECT query_id, c.doc_id, ((length(left(d.text, 512)) * 31 + length(b.text) * 17 + ascii(d.text) * 7919) % 1000)::DOUBLE AS score FROM c JOIN documents d ON d.doc_id = c.doc_id JOIN benchmark b ON b.item_id = c.query_id)
+SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, {_RANKED.format(s="score")} AS rank FROM m) WHERE rank <= 5""".replace("c AS (SELECT count(*) AS n", "c0 AS (SELECT count(*) AS n").replace("FROM tf, c GROUP", "FROM tf, c0 GROUP").replace("JOIN tf USING (term), c GROUP", "JOIN tf USING (term), c0 GROUP").replace("FROM bm, c GROUP", "FROM bm, c0 GROUP"))
+def reranked_search(spark, d) -> DataFrame:
+    """Fifty hits of dense search and of BM25 fused, thirty scored again by a model of question and text, five kept."""
+    sparse = retrieval.bm25(_items(spark, d), _documents(spark, d), 50, normalised=True, digits=7)
+    asked = _vectors(spark, d).select(F.col("doc_id").alias("query_id"), "vector").join(_items(spark, d).select("query_id"), "query_id", "left_semi")
+    dense = retrieval.dense(asked, _vectors(spark, d), 50)
+    pairs = dense.select("query_id", "doc_id").unionByName(sparse.select("query_id", "doc_id")).distinct()
+    texts = pairs.join(_documents(spark, d), "doc_id").join(_items(spark, d).withColumnRenamed("text", "query"), "query_id")
+    model = lambda q, t: ((F.length(t) * 31 + F.length(q) * 17 + F.ascii(t) * 7919) % 1000).cast("double")
+    return answers.reranked_search(dense, sparse, texts, model, chars=512).select("query_id", "doc_id", "score", "rank")
+
+
 _REL = "t AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lectern.operators import answers, evaluation, pages, retrieval, tables
 from lectern.operators import documents as docs
 from lectern.operators.crawl import Crawl
-from lectern.plans import query, rows
+from lectern.plans import query
+from lectern.plans.search import _DENSE
+from lectern.plans.wrapped import filled
 from lectern.sources.readers import point_text, table
 from lectern.sources.shared import new_path, staged
 
@@ -203,9 +205,13 @@ def variant_timings(spark, d) -> DataFrame:
 
 # answers ------------------------------------------------------------------------------------------------------------------
 
-_ASKED = [(1, "셔틀버스 시간"), (2, "안녕"), (3, "수강신청 언제"), (4, "도서관"), (5, "모르는 것")]
-_FOUND = [(1, 10, 0.9, 1), (1, 11, 0.3, 2), (3, 12, 0.5, 1), (3, 13, 0.45, 2), (4, 10, 0.39, 1), (5, 11, 0.8, 1)]
-_TEXTS = [(10, "버스는 9시", "버스", "u10"), (11, " ", "빈", "u11"), (12, "2025-02-10 ~ 2025-02-14", "일정", "u12"), (13, "둘째", "일정", "u13")]
+#: Questions by the quarter of their ids, and documents' texts.
+_ASKED = ("셔틀버스 ", "안녕 ", "수강신청 ", "도서관 ")
+_TOLD = "{y}-{mm}-{dd} ~ {y}-12-28 {m}"
+_HEAD = "[' || rank || '] site=' || source || ' | board=' || lang || ' | title=T' || doc_id % 2 || ' | date=' || y || '-01-01 | url=u' || doc_id || chr(10) || t"
+_ANSWERS = f"""WITH {_DENSE}, asked AS (SELECT vec_id AS query_id, (vec_id // 20) % 4 AS c, CASE (vec_id // 20) % 4 WHEN 0 THEN '{_ASKED[0]}' WHEN 1 THEN '{_ASKED[1]}' WHEN 2 THEN '{_ASKED[2]}' ELSE '{_ASKED[3]}' END || vec_id AS query FROM embeddings WHERE vec_id % 20 = 0),
+hit AS (SELECT query_id, d.doc_id, rank, source, lang, {filled("{y}")} AS y, {filled("{mm}")} AS mm, {filled("{dd}")} AS dd, {filled(_TOLD)} AS t FROM (SELECT query_id, doc_id AS hit_id, rank FROM dense) h JOIN documents d ON d.doc_id = h.hit_id WHERE rank <= 2 AND (query_id // 20) % 4 IN (0, 2)),
+found AS (SELECT query_id, string_agg('{_HEAD}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, arg_min(t, rank) AS first, arg_min(y || '-' || mm || '-' || dd, rank) AS start, arg_min(y || '-12-28', rank) AS last, CASE WHEN count(DISTINCT doc_id % 2) = 2 THEN string_agg('T' || doc_id % 2, ',' ORDER BY rank) ELSE 'T' || min(doc_id % 2) END AS titles FROM hit GROUP BY 1)"""
 
 
 def _model(system, user):
@@ -214,50 +220,30 @@ def _model(system, user):
     return F.when(~F.contains(user, F.lit("검색된 문서 시작")), F.concat(F.lit("반가워요: "), user)).when(text == "", F.lit("문서에 없습니다")).otherwise(F.concat(text, F.lit("\\n끝 ")))
 
 
-def _answers(spark) -> DataFrame:
-    found = spark.createDataFrame(_FOUND, "query_id long, doc_id long, score double, rank int")
-    texts = spark.createDataFrame(_TEXTS, "doc_id long, text string, title string, url string").withColumns({"site": F.lit("s"), "board_name": F.lit("b"), "created_at": F.lit("2025-01-01")})
-    return answers.answer(spark.createDataFrame(_ASKED, "query_id long, query string"), lambda q: found.join(q.select("query_id"), "query_id", "left_semi"), texts, _model, F.lit("2025-02-01").cast("date"))
-
-
-@query(
-    rows(
-        "query_id long, intent string, answer string, context string, titles string, start string, last string, keyword string, is_date boolean",
-        [
-            (1, "bus", "버스는 9시\n끝", "[1] site=s | board=b | title=버스 | date=2025-01-01 | url=u10\n버스는 9시", "버스,빈", None, None, "교통/셔틀버스", False),
-            (2, "chitchat", "반가워요: 안녕", None, "", None, None, "인사/잡담", False),
-            (3, "schedule", "2025-02-10 ~ 2025-02-14\n끝", "[1] site=s | board=b | title=일정 | date=2025-01-01 | url=u12\n2025-02-10 ~ 2025-02-14\n\n---\n\n[2] site=s | board=b | title=일정 | date=2025-01-01 | url=u13\n둘째", "일정", "2025-02-10", "2025-02-14", "학사일정", True),
-            (4, "general", "죄송합니다. 학교 정보와 관련이 없거나, 해당 내용을 문서에서 찾을 수 없습니다.", None, "", None, None, "도서관", False),
-            (5, "general", "문서에 없습니다", None, "", None, None, "모르는 것", False),
-        ],
-    )
-)
+def _answers(spark, d) -> DataFrame:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    asked = v.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    kind = F.floor(F.col("query_id") / 20) % 4
+    near = staged(retrieval.dense(asked, v, 2).withColumn("score", F.when(kind == 3, F.col("score") * 0.3).otherwise(F.col("score"))), "hits")
+    text = F.concat(F.when(kind == 0, _ASKED[0]).when(kind == 1, _ASKED[1]).when(kind == 2, _ASKED[2]).otherwise(_ASKED[3]), F.col("query_id").cast("string"))
+    i = F.col("doc_id")
+    texts = table(spark, d, "documents").select("doc_id", F.expr(filled(_TOLD)).alias("text"), F.concat(F.lit("T"), (i % 2).cast("string")).alias("title"), F.concat(F.lit("u"), i.cast("string")).alias("url"), F.col("source").alias("site"), F.col("lang").alias("board_name"), F.expr(filled("{y}-01-01")).alias("created_at"))
+    return answers.answer(asked.select("query_id", text.alias("query")), lambda q: near.join(q.select("query_id"), "query_id", "left_semi"), texts, _model, F.lit("2025-02-01").cast("date"))
+
+
+@query(f"""{_ANSWERS} SELECT query_id, CASE c WHEN 0 THEN 'bus' WHEN 1 THEN 'chitchat' WHEN 2 THEN 'schedule' ELSE 'general' END AS intent, CASE WHEN c = 1 THEN '반가워요: ' || query WHEN context IS NULL THEN '{answers.NOTHING}' ELSE first || chr(10) || '끝' END AS answer, context,
+coalesce(titles, '') AS titles, start, last, CASE c WHEN 0 THEN '교통/셔틀버스' WHEN 1 THEN '인사/잡담' WHEN 2 THEN '학사일정' ELSE query END AS keyword, start IS NOT NULL AS is_date FROM asked LEFT JOIN found USING (query_id)""")
 def answered_questions(spark, d) -> DataFrame:
     """The whole answer step: small talk, threshold, context, refusals, sources once a title, dates."""
-    a = _answers(spark)
+    a = _answers(spark, d)
     r = answers.response(a).select("query_id", "keyword", F.array_join(F.transform("sources", lambda s: s["title"]), ",").alias("titles"), "is_date")
     return a.select("query_id", "intent", "answer", "context", F.col("schedule.start").alias("start"), F.col("schedule.end").alias("last")).join(r, "query_id")
 
 
-@query(rows("query_id long, title string, url string, rank int", [(1, "버스", "u10", 0), (1, "빈", "u11", 1), (3, "일정", "u12", 0)]))
+@query(f"""{_ANSWERS} SELECT query_id, title, url, (pos - 1)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY rank) AS n FROM (SELECT query_id, rank, 'T' || doc_id % 2 AS title, 'u' || doc_id AS url, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM hit)) WHERE n = 1""")
 def shown_sources(spark, d) -> DataFrame:
     """Sources for display, each title once."""
-    return answers.shown_sources(_answers(spark))
-
-
-@query(
-    """WITH d AS (SELECT vec_id AS doc_id, label FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) AS c FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, doc_id) AS r FROM s), f AS (SELECT query_id, doc_id FROM t WHERE r <= 30), m AS (SELECT query_id, doc_id, ((doc_id * 7919) % 1000)::DOUBLE AS score FROM f)
-SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m) WHERE rank <= 5"""
-)
-def reranked_search(spark, d) -> DataFrame:
-    """Fifty dense hits fused, thirty scored again by a model of texts, five kept."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    asked = v.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector")
-    dense = retrieval.dense(asked, v, 50)
-    none = spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    texts = dense.select("query_id", "doc_id", F.lit("q").alias("query"), F.col("doc_id").cast("string").alias("text"))
-    return answers.reranked_search(dense, none, texts, lambda q, t: ((t.cast("long") * 7919) % 1000).cast("double"), alpha=1.0).select("query_id", "doc_id", "score", "rank")
+    return answers.shown_sources(_answers(spark, d))
 
 
 @query(r"""WITH RECURSIVE l AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS src, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS dst FROM pages),

@@ -1,6 +1,7 @@
 """Operators on small inputs of every kind, against results worked out by hand."""
 
 import duckdb
+import hand_answers
 import hand_files
 import hand_pages
 import hand_records
@@ -18,4 +19,4 @@ def test_by_hand(spark, name):
 
 
 def test_all_are_here():
-    assert len(hand_pages.CASES) >= 27 and hand_records.RAW and hand_files._BODY
+    assert len(hand_pages.CASES) >= 27 and hand_records.RAW and hand_files._BODY and hand_answers._ASKED
