@@ -357,7 +357,10 @@ def links(nodes: DataFrame, tau: int, sketched: bool, block: int = BLOCK) -> Dat
     bucket = F.explode(probed).alias("bucket")
     counts = nodes.select(bucket).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     extra = ["sketch"] if sketched else []
-    met = nodes.select("node", "fp", *extra, bucket).join(counts, "bucket")
+    if sketched:  # a sketch is wide, and most buckets have one row: which are met is found without it
+        met = materialize(nodes.select("node", bucket).join(counts, "bucket"), "met").join(nodes.select("node", "fp", "sketch"), "node")
+    else:
+        met = nodes.select("node", "fp", bucket).join(counts, "bucket")
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(1)), blocks)
     # a group for each pair of blocks, of two sides, and for each block with itself
