@@ -48,6 +48,9 @@ PROBE_COST, PAIR_COST = 2e-6, 1e-8
 PERMUTATIONS, SIMILARITY = 128, 0.8
 #: Positions that agree: below the first a pair is no candidate; from the second on its members need no other link between them.
 LOOSE, CERTAIN = 84, 122
+#: From so many on a pair is likelier near than not. Among those a tree takes the smallest node's first: groups that have most of their
+#: rows in common then have most of their candidates in common, and a pair is verified once.
+LIKELY = 108
 #: Candidates for each row of a group in a first pass, a tree's; groups with more are gone through again. A row is in a group for each
 #: probe, so this counts some twenty times over.
 EVERY = 1
@@ -304,7 +307,7 @@ def _verifier(tau: int, sketched: bool, every: int = 0):
             many = dense[group[a]]
             out += list(zip(a[~own & ~many].tolist(), b[~own & ~many].tolist(), strict=True))
             a, b, agree, own = a[many], b[many], agree[many], own[many]
-            order = np.lexsort((-agree, ~own))
+            order = np.lexsort((-agree, a, agree < LIKELY, ~own))
             for k in range(0, len(order), 4096):
                 e = order[k : k + 4096]
                 e = e[forest.label[a[e]] != forest.label[b[e]]]
