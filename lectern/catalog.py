@@ -9,14 +9,14 @@ from lectern.functions import models, urls
 from lectern.functions import text as tx
 from lectern.functions.vectors import l2_normalize
 from lectern.operators import answers, chunking, containment, evaluation, intents, pages, retrieval, tables
-from lectern.plans import QUERIES, SQL, files, judged, office_files, page_parts, records, runs, search, wrapped, wrapped_records
+from lectern.plans import QUERIES, SQL, files, judged, office_files, page_parts, records, repairs, runs, search, wrapped, wrapped_records
 from lectern.plans import query as _query
 from lectern.sources.readers import table
 from lectern.sources.shared import shared_dir
 from lectern.sources.writers import log_rows
 from lectern.streaming import incremental
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "files", "judged", "office_files", "page_parts", "records", "runs", "search", "wrapped", "wrapped_records"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "files", "judged", "office_files", "page_parts", "records", "repairs", "runs", "search", "wrapped", "wrapped_records"]
 
 # pages ----------------------------------------------------------------------------------------------------------------
 
