@@ -11,8 +11,10 @@ from lectern.operators.crawl import Crawl
 from lectern.plans import query
 from lectern.plans.search import _DENSE
 from lectern.plans.wrapped import filled
+from lectern.sources.keyed import KeyedTable
 from lectern.sources.readers import point_text, table
 from lectern.sources.shared import new_path, staged
+from lectern.streaming import stateful
 
 # state --------------------------------------------------------------------------------------------------------------------
 
@@ -276,3 +278,17 @@ def resumed_crawl(spark, d) -> DataFrame:
     then = Crawl(spark, path, own, near, per_host=1000, buckets=2)
     then.run()
     return then.state().agg(F.count("*").alias("reached"), F.count_if(F.col("state") == "done").alias("done"), F.max("attempts").alias("most"))
+
+
+@query("""SELECT conv_id AS session, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3 GROUP BY 1""")
+def conversation_stream(spark, d) -> DataFrame:
+    """The last three messages of each conversation, kept as state by a stream whose messages come in three batches; each batch is
+    upserted by conversation."""
+    path = new_path(spark, "messages")
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), "turn", "role", "text")
+    c.repartition(3, "turn").write.parquet(f"{path}/in")
+    rows = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    kept = KeyedTable(spark, f"{path}/kept", ["session"], buckets=4)
+    query_ = stateful.conversations(rows, 3).writeStream.outputMode("update").foreachBatch(lambda batch, number: kept.upsert(batch))
+    query_.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return kept.read().select("session", "history")

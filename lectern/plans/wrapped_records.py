@@ -12,8 +12,9 @@ from lectern.operators import chunking, intents, pages, tables
 from lectern.operators import documents as docs
 from lectern.plans import query
 from lectern.plans.wrapped import filled, wanted
-from lectern.sources import readers
+from lectern.sources import readers, writers
 from lectern.sources.readers import table
+from lectern.sources.shared import new_path
 
 
 def _rows(spark, d, **columns: str) -> DataFrame:
@@ -257,3 +258,15 @@ def page_gates(spark, d) -> DataFrame:
     text = "=CASE WHEN doc_id % 10 = 3 THEN concat(text, ' Access Denied ') WHEN doc_id % 10 = 4 THEN concat(repeat('a ', 30), repeat(' ', 80)) WHEN doc_id % 10 = 5 THEN left(text, 60) ELSE text END"
     df = _rows(spark, d, text=text, title="=CASE WHEN doc_id % 10 = 6 THEN ' T' ELSE concat(source, '..') END", url=_cases(a="http://h/Login.do", b="http://h/{id}"), html="<p>{m}", src=_cases(a="/img/logo.png", b="/a{id}x.png", c="/b{id}x"), at="{y}-{mm}-{dd}")
     return df.select("doc_id", pages.quality_reason(F.col("text"), F.col("title")).alias("reason"), pages.is_login(F.col("url"), F.col("html")).alias("login"), pages.is_icon(F.col("src")).alias("icon"), pages.recent(F.col("at"), "2021-01-01").alias("recent"))
+
+
+@query(
+    f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(text) < 100 THEN 'too_short' WHEN length(text) > 500000 THEN 'too_long' WHEN len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')) < 20 THEN 'few_words' WHEN {_ERRORS} THEN 'error_page'
+WHEN length(trim(source)) < 2 THEN 'no_title' WHEN length(replace(replace(text, ' ', ''), chr(10), '')) < 50 THEN 'white_space' ELSE 'OK' END AS reason FROM documents) GROUP BY 1 UNION ALL SELECT 'written', count(*) FROM documents"""
+)
+def run_counters(spark, d) -> DataFrame:
+    """How many documents a run left out for each reason, counted by the pass that wrote them."""
+    out = table(spark, d, "documents").withColumn("reason", pages.quality_reason(F.col("text"), F.col("source")))
+    reasons = ("too_short", "too_long", "few_words", "error_page", "no_title", "white_space", "OK")
+    got = writers.counted(out, new_path(spark, "counted"), {"written": F.count("*"), **{r: F.count_if(F.col("reason") == r) for r in reasons}})
+    return spark.createDataFrame([(k, n) for k, n in got.items() if n], "reason string, n long")

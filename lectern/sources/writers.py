@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.sources.keyed import KeyedTable
@@ -55,3 +55,10 @@ def interaction_log(df: DataFrame, path: str) -> None:
 
 def log_rows(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, F.left(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), F.lit(200)))
+
+
+def counted(df: DataFrame, path: str, counts: dict[str, Column], mode: str = "overwrite") -> dict:
+    """Write ``df`` and return what the same pass counted: an aggregate for each name. A task that is run again is counted once."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(name) for name, c in counts.items()]).write.mode(mode).parquet(path)
+    return seen.get
