@@ -57,6 +57,30 @@ class Node:
     def raw(self) -> str:
         return "".join(self.strings())
 
+    def lengths(self) -> dict[int, int]:
+        """The length of ``text()`` of each element inside, and of this one, by ``id``; one walk for all."""
+        every = [self, *self.walk()]
+        out = {id(n): sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n in every}
+        for n in reversed(every[1:]):
+            if n.tag not in SILENT:
+                out[id(n.parent)] += out[id(n)]
+        return out
+
+    def copy(self) -> Node:
+        """The same tree once more, to be changed."""
+        top = Node(self.tag, dict(self.attrs), None)
+        stack = [(self, top)]
+        while stack:
+            n, new = stack.pop()
+            for c in n.children:
+                if isinstance(c, str):
+                    new.children.append(c)
+                else:
+                    child = Node(c.tag, dict(c.attrs), new)
+                    new.children.append(child)
+                    stack.append((c, child))
+        return top
+
     def drop(self) -> None:
         if self.parent is not None:
             self.parent.children = [c for c in self.parent.children if c is not self]

@@ -73,13 +73,20 @@ def find_main(root: Node) -> Node:
     """The element that holds the page's text: by the content system's id (the longest; a ``main`` counts 1000 less), ``main``,
     ``article``, its role, the longest division with a name of content, or else the body."""
     marked = root.all(where=lambda n: n.attrs.get("id") == MAIN_ID)
+    sizes = root.lengths()
     if marked:
-        return max(marked, key=lambda n: len(n.text()) - 1000 * (n.tag == "main"))
+        return max(marked, key=lambda n: sizes[id(n)] - 1000 * (n.tag == "main"))
     for test in (lambda: root.first("main"), lambda: root.first("article"), lambda: root.first(where=lambda n: n.attrs.get("role") == "main")):
         if (n := test()) is not None:
             return n
-    found = [n for name in CONTENT_NAMES for key in ("class", "id") for n in root.all("div", "section", where=named(name, (key,)))]
-    return max(found, key=lambda n: len(n.text())) if found else root.first("body") or root
+    # of equally long ones that of the first name
+    tests = [named(name, (key,)) for name in CONTENT_NAMES for key in ("class", "id")]
+    found = []
+    for n in root.all("div", "section", where=lambda n: "class" in n.attrs or "id" in n.attrs):
+        first = next((k for k, test in enumerate(tests) if test(n)), None)
+        if first is not None:
+            found.append((-sizes[id(n)], first, len(found), n))
+    return min(found)[3] if found else root.first("body") or root
 
 
 def clean_lines(text: str) -> str:
@@ -87,9 +94,9 @@ def clean_lines(text: str) -> str:
     return "\n".join(s for x in text.split("\n") if (s := re.sub(" +", " ", x).strip())).strip()
 
 
-def clean_text(page: str) -> str:
-    """The page's text without elements that are no content by kind, by name, or because they are hidden; a line a string."""
-    root = dom.parse(page)
+def clean_text(root: Node) -> str:
+    """The page's text without elements that are no content by kind, by name, or because they are hidden; a line a string. The tree
+    is changed."""
     _strip(root, lambda n: n.tag in NO_CONTENT or _HIDDEN.search(n.attrs.get("style", "")) is not None or _has(n, "hidden"))
     main = find_main(root)
     _strip(main, named(_NO_CONTENT))
@@ -97,7 +104,7 @@ def clean_text(page: str) -> str:
 
 
 def content(page: str, url: str, root: Node) -> dict:
-    text = clean_text(page)
+    text = clean_text(root.copy())
     title = root.first("title") or root.first("h1")
     main = find_main(root)
     return {
@@ -109,7 +116,7 @@ def content(page: str, url: str, root: Node) -> dict:
 
 
 def quality(page: str, url: str, root: Node) -> dict:
-    root = dom.parse(page)
+    root = root.copy()
     _strip(root, lambda n: n.tag in QUALITY_DROPS)
     text, title = root.text(" "), root.first("title")
     return {
@@ -120,7 +127,7 @@ def quality(page: str, url: str, root: Node) -> dict:
 
 def snapshot(page: str, url: str, root: Node) -> dict:
     """Title, the main part's HTML without what frames it, and the length of its text."""
-    root = dom.parse(page)
+    root = root.copy()
     title = root.first("title")
     main = root.first("article") or root.first(where=has_class("content-wrap")) or root.first("body") or root
     framing = lambda n: n.tag in ("nav", "header", "footer", "script", "style") or n.attrs.get("id") in ("header", "footer", "lnb") or has_class("sub-top", "skip", "sr-only")(n) or {"snb", "lnb-wrapper"} <= set(n.classes)
@@ -139,7 +146,7 @@ def summary(page: str, url: str, root: Node) -> dict:
 
 def redacted(page: str, url: str, root: Node) -> str:
     """The page with addresses of mail out of its text and links."""
-    root = dom.parse(page)
+    root = root.copy()
     for a in root.all("a", where=lambda n: n.attrs.get("href", "").startswith("mailto:")):
         a.children = [EMAIL_MARK]
         a.attrs |= {"href": url or "#", "data-redacted": "email"}
@@ -154,7 +161,7 @@ def old(page: str, url: str, root: Node) -> dict:
     base = root.first("base")
     title = root.first("title")
     fetched = [m[1].split("T")[0] for d in root.all("div", where=has_class("meta")) if (m := re.search(r"Fetched at:\s*([\d\-T:]+)", d.text(" ")))]
-    bare = dom.parse(page)
+    bare = root.copy()
     _strip(bare, lambda n: n.tag in OLD_DROPS or n.attrs.get("role") in OLD_ROLES)
     main = bare.first("main") or bare.first("article") or bare.first("section") or bare.first("body") or bare
     return {
@@ -224,7 +231,7 @@ def article_links(page: str, url: str, root: Node) -> list[str]:
 
 def tables_as_text(page: str, url: str, root: Node) -> str:
     """The page with each table written out between marks, a line a row, cells parted by bars."""
-    root = dom.parse(page)
+    root = root.copy()
     found = root.all("table")
     if not found:
         return page or ""
