@@ -118,8 +118,7 @@ _GRAMS = "list_concat({k}, list_concat(flatten(list_transform(list_filter({k}, l
 @_query(f"""WITH t AS (SELECT doc_id, {_TOK.format(t="text")} AS k FROM documents) SELECT doc_id, len(k)::INT AS words, len({_GRAMS.format(k="k")})::INT AS terms, len(list_distinct({_GRAMS.format(k="k")}))::INT AS distinct_terms FROM t""")
 def token_counts(spark, d) -> DataFrame:
     """Words, and words with their character n-grams, per document."""
-    df = table(spark, d, "documents").select("doc_id", tx.tokens("text").alias("w")).select("doc_id", "w", tx.with_ngrams(F.col("w")).alias("t"))
-    return df.select("doc_id", F.size("w").alias("words"), F.size("t").alias("terms"), F.size(F.array_distinct("t")).alias("distinct_terms"))
+    return retrieval.term_counts(table(spark, d, "documents"))
 
 
 @_query("""SELECT source, lang, count(*) AS n, sum(length(text))::BIGINT AS chars, avg(length(text)) AS mean_chars, max(length(text)) AS longest, count(DISTINCT text) AS texts FROM documents GROUP BY ALL""")

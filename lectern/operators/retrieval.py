@@ -165,6 +165,22 @@ def term_statistics(docs: DataFrame, words=tx.tokens, grams: tuple[int, ...] = (
     return n, (total / n if n else 1.0) or 1.0, counts.filter("term is not null").select("term", "df")
 
 
+def term_counts(docs: DataFrame, words=tx.tokens, grams: tuple[int, ...] = (2, 3), text: str = "text") -> DataFrame:
+    """(doc_id, words, terms, distinct_terms) of each document, counted where it was read."""
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, DOC_ROWS):
+                b = whole.slice(i, DOC_ROWS)
+                doc, code, _ = term_codes(b.column(2).to_pylist(), grams)
+                _, number = np.unique(code, return_inverse=True)
+                distinct = np.bincount(np.unique(number * b.num_rows + doc) % b.num_rows, minlength=b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.bincount(doc, minlength=b.num_rows).astype(np.int32)), pa.array(distinct.astype(np.int32))], names=["doc_id", "words", "terms", "distinct_terms"])
+
+    rows = docs.select("doc_id", words(text).alias("w")).select("doc_id", F.size("w").alias("words"), F.array_join("w", " ").alias("t"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words int, terms int, distinct_terms int")
+
+
 def okapi_idf(df: DataFrame, n_docs: int, epsilon: float = 0.25) -> DataFrame:
     """(term, idf) from (term, df): ln(N - df + .5) - ln(df + .5); a negative one becomes epsilon times the mean over all terms."""
     raw = df.select("term", (F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
