@@ -46,11 +46,13 @@ SEED, BITS, BLOCK = 42, 64, 512
 #: Relative costs of a probe that is shuffled and of a pair that is compared.
 PROBE_COST, PAIR_COST = 2e-6, 1e-8
 PERMUTATIONS, SIMILARITY = 128, 0.8
-#: Positions that agree: below the first a pair is no candidate; from the second on its members need no other link between them.
-LOOSE, CERTAIN = 84, 122
-#: From so many on a pair is likelier near than not. Among those a tree takes the smallest node's first: groups that have most of their
-#: rows in common then have most of their candidates in common, and a pair is verified once.
-LIKELY = 108
+#: Positions of the sketch by which groups are gone through again: its bound is nearer to the similarity, so fewer pairs below it are
+#: verified.
+WIDE = 512
+#: Shares of positions that agree: from the first on a pair is likelier near than not, and a tree takes the smallest node's first: groups
+#: that have most of their rows in common then have most of their candidates in common, and a pair is verified once. From the second on
+#: its members need no other link between them.
+LIKELY, CERTAIN = 0.84, 0.95
 #: Candidates for each row of a group in a first pass, a tree's; groups with more are gone through again. A row is in a group for each
 #: probe, so this counts some twenty times over.
 EVERY = 1
@@ -94,15 +96,26 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-_RNG = np.random.default_rng(7)
-_A, _B = _RNG.integers(1, 1 << 63, PERMUTATIONS, np.uint64) | np.uint64(1), _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(7 + n // 512)
+    return rng.integers(1, 1 << 63, n, np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
 
 
-def minhash(h: np.ndarray) -> bytes:
-    """A byte of the smallest value under each of ``PERMUTATIONS`` hash functions."""
-    least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(h), 4096):
-        x = h[k : k + 4096, None] * _A + _B
+_FUNCTIONS = {n: _functions(n) for n in (PERMUTATIONS, WIDE)}
+
+
+def loose(width: int) -> int:
+    """Positions that agree in a pair of the similarity at least, but for one pair in 10,000."""
+    return round(SIMILARITY * width - 4.1 * (SIMILARITY * (1 - SIMILARITY) * width) ** 0.5)
+
+
+def minhash(h: np.ndarray, width: int = PERMUTATIONS) -> bytes:
+    """A byte of the smallest value under each of ``width`` hash functions."""
+    a, b = _FUNCTIONS[width]
+    least = np.full(width, np.iinfo(np.uint64).max, np.uint64)
+    step = 4096 * PERMUTATIONS // width
+    for k in range(0, len(h), step):
+        x = h[k : k + step, None] * a + b
         least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(0))
     return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
@@ -262,7 +275,9 @@ class _Forest:
         return made
 
 
-def _verifier(tau: int, sketched: bool, every: int = 0):
+def _verifier(tau: int, sketched: bool, every: int = 0, width: int = PERMUTATIONS):
+    least, likely, certain = loose(width), round(LIKELY * width), round(CERTAIN * width)
+
     def linked(gid, node, comp, side, fp, sketch):
         """Links that join whatever is near within a group, as trees. With sketches these are candidates: all pairs that may be near,
         or, where a group has more than ``every`` of them a row, trees of the likeliest, and the group's rows to be looked at
@@ -291,9 +306,9 @@ def _verifier(tau: int, sketched: bool, every: int = 0):
             a = a[forest.label[a] != forest.label[a + lag]]
             if sketched and len(a):
                 agree = (sketch[a] == sketch[a + lag]).sum(1)
-                some = (agree >= LOOSE) & (agree < CERTAIN)
+                some = (agree >= least) & (agree < certain)
                 left.append((a[some], a[some] + lag, agree[some]))
-                a = a[agree >= CERTAIN]
+                a = a[agree >= certain]
             if len(a):
                 made = forest.join(a, a + lag)
                 out += [(x, x + lag) for x in a[made][~inner(a[made], a[made] + lag)].tolist()]
@@ -307,7 +322,7 @@ def _verifier(tau: int, sketched: bool, every: int = 0):
             many = dense[group[a]]
             out += list(zip(a[~own & ~many].tolist(), b[~own & ~many].tolist(), strict=True))
             a, b, agree, own = a[many], b[many], agree[many], own[many]
-            order = np.lexsort((-agree, a, agree < LIKELY, ~own))
+            order = np.lexsort((-agree, a, agree < likely, ~own))
             for k in range(0, len(order), 4096):
                 e = order[k : k + 4096]
                 e = e[forest.label[a[e]] != forest.label[b[e]]]
@@ -342,7 +357,7 @@ def _verifier(tau: int, sketched: bool, every: int = 0):
         give_back()
 
     def _arrays(t):
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) if sketched else None
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, width) if sketched else None
         return *(t.column(c).to_numpy() for c in ("gid", "node", "comp", "side")), t.column("fp").to_numpy().view(np.uint64), sketch
 
     return run
@@ -375,10 +390,10 @@ def links(nodes: DataFrame, tau: int, sketched: bool, block: int = BLOCK) -> Dat
     return _compared(met, tau, sketched, EVERY)
 
 
-def _compared(rows: DataFrame, tau: int, sketched: bool, every: int) -> DataFrame:
+def _compared(rows: DataFrame, tau: int, sketched: bool, every: int, width: int = PERMUTATIONS) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "gid").sortWithinPartitions("gid", "node")
-    return dealt.mapInArrow(_verifier(tau, sketched, every), "u long, v long, gid long, side int")
+    return dealt.mapInArrow(_verifier(tau, sketched, every, width), "u long, v long, gid long, side int")
 
 
 def similar_components(nodes: DataFrame, tau: int, docs: DataFrame, text_col: str, feat: Features) -> DataFrame:
@@ -388,7 +403,7 @@ def similar_components(nodes: DataFrame, tau: int, docs: DataFrame, text_col: st
     pairs; when they are verified, the group's rows are compared again, but for pairs of one component, with eight times the bound,
     until no pair is left that was not verified or is within a component. So a group of copies of copies costs a few links a
     row, and a group that is not one is compared in full."""
-    found, every = materialize(links(nodes, tau, True), "near"), EVERY
+    found, every, wide = materialize(links(nodes, tau, True), "near"), EVERY, None
     tested = materialize(_pairs(found), "tested")
     sure = materialize(verified(tested, nodes, docs, text_col, feat), "links")
     roots = components(sure)
@@ -397,9 +412,11 @@ def similar_components(nodes: DataFrame, tau: int, docs: DataFrame, text_col: st
         if dense.isEmpty():
             return roots
         every *= 8
-        rows = dense.join(nodes.select("node", "fp", "sketch"), "node").join(roots, "node", "left")
+        if wide is None:  # later groups have no other rows than these
+            wide = materialize(sketches(dense.select("node").distinct(), nodes, docs, text_col, feat), "wide-sketches")
+        rows = dense.join(wide, "node").join(roots, "node", "left")
         rows = rows.select("gid", "side", "node", F.coalesce("root", "node").alias("comp"), "fp", "sketch")
-        found = materialize(_compared(rows, tau, True, every), "near")
+        found = materialize(_compared(rows, tau, True, every, WIDE), "near")
         new = materialize(_pairs(found).join(tested, ["u", "v"], "left_anti"), "tested")
         if not new.isEmpty():
             tested = tested.unionByName(new)
@@ -418,19 +435,34 @@ def _similar(batches):
         yield b.filter(pa.array([n >= SIMILARITY * (len(x) + len(y) - n) for n, x, y in zip(both, a, c, strict=True)], pa.bool_())).select([0, 1])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, feat: Features) -> DataFrame:
-    """The pairs whose texts have a Jaccard similarity of ``SIMILARITY``. ``nodes``: node and the key of a text of it."""
+def _texts(ends: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(node, t): a text of each of ``ends`` (node)."""
+    asked = materialize(nodes.join(ends, "node").select("node", "key"), "asked")
+    few = asked.count() <= BROADCAST_TEXTS
+    texts = docs.select(_key(text_col).alias("key"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(asked) if few else asked, "key")
+    return texts.groupBy("node").agg(F.first("t").alias("t"))
+
 
-    def sets(batches):
+def _of_texts(texts: DataFrame, feat: Features, name: str, of) -> DataFrame:
+    """(node, ``name``): ``of`` the hashes of each text's different shingles."""
+
+    def run(batches):
         for b in small_batches(batches):
-            found = [_hashes(list(set(_shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), feat.sketch)))).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+            found = [of(_hashes(list(set(_shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), feat.sketch))))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", name])
+
+    return texts.mapInArrow(run, f"node long, {name} binary")
+
+
+def sketches(ends: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, feat: Features) -> DataFrame:
+    """(node, sketch, fp) of ``ends`` (node), with sketches of ``WIDE`` positions."""
+    return _of_texts(_texts(ends, nodes, docs, text_col), feat, "sketch", lambda h: minhash(h, WIDE)).join(nodes.select("node", "fp"), "node")
+
 
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, feat: Features) -> DataFrame:
+    """The pairs whose texts have a Jaccard similarity of ``SIMILARITY``. ``nodes``: node and the key of a text of it."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    asked = materialize(nodes.join(ends, "node").select("node", "key"), "asked")
-    few = asked.count() <= BROADCAST_TEXTS
-    texts = docs.select(_key(text_col).alias("key"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(asked) if few else asked, "key")
-    found = materialize(texts.groupBy("node").agg(F.first("t").alias("t")).mapInArrow(sets, "node long, shingles binary"), "shingles")
+    found = materialize(_of_texts(_texts(ends, nodes, docs, text_col), feat, "shingles", lambda h: h.tobytes()), "shingles")
     met = pairs.join(found.toDF("u", "a"), "u").join(found.toDF("v", "b"), "v").select("u", "v", "a", "b")
     return met.mapInArrow(_similar, "u long, v long")
 
