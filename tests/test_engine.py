@@ -156,7 +156,7 @@ def test_ranking(spark):
 def test_terms_are_those_of_the_columns(spark, grams):
     texts = ["a bb ccc dddd ab", "", "x", "Ünï côdé 漢字かな 한국어 a", "longer words in here longer", "\U0001f600\U0001f600 \U0001f600"]
     doc, code, words = retrieval.term_codes(texts, grams)
-    spelled = retrieval._spelled(code, words).to_pylist()
+    spelled = retrieval.spelled(code, words).to_pylist()
     for k, t in enumerate(texts):
         want = list(t.split()) + [w[i : i + n] for w in t.split() for n in grams for i in range(len(w) - n + 1)]
         assert sorted(x for x, d in zip(spelled, doc.tolist(), strict=True) if d == k) == sorted(want)
@@ -164,7 +164,7 @@ def test_terms_are_those_of_the_columns(spark, grams):
         got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.ngram_tokens("t").alias("x")).collect()
         plain = spark.createDataFrame([(t,) for t in texts], "t string").select(F.array_join(tx.tokens("t"), " ").alias("x")).collect()
         doc, code, words = retrieval.term_codes([r.x for r in plain], grams)
-        spelled = retrieval._spelled(code, words).to_pylist()
+        spelled = retrieval.spelled(code, words).to_pylist()
         assert [sorted(r.x) for r in got] == [sorted(x for x, d in zip(spelled, doc.tolist(), strict=True) if d == k) for k in range(len(texts))]
 
 
