@@ -1,7 +1,8 @@
 """Texts that were decoded by a wrong code page, once or several times, put right.
 
 A text's cost is its negative log-likelihood under bigrams of character classes, each character costing the size of its class
-besides. The bigrams are counted over a corpus in Spark (``fit``); they are a table of a few hundred numbers. ``repaired`` looks
+besides. Between encodings of bytes Latin letters count one by one, as code pages differ in which letter of a class a byte is. The
+bigrams are counted over a corpus in Spark (``fit``); they are a table of at most ``SIGNS`` x ``SIGNS`` numbers. ``repaired`` looks
 for the cheapest text that some chain of undone decodings leads to, the cheapest first, and takes it only if it is cheaper by
 ``MARGIN``: sound text costs more after any decoding that it stands, so it stays as it is. A decoding counts as undone only if it
 gives every byte back. Null stays null, pure ASCII is sound.
@@ -13,12 +14,16 @@ import heapq
 import unicodedata
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.slices import cut, sliced
+
 CLASSES = 16
+#: Characters that count one by one, and with the classes of all others; how often a bigram of classes counts as seen in each letter.
+LETTERS = 0x250
+SIGNS, PRIOR = LETTERS + CLASSES, 20.0
 #: Chains of at most so many decodings, of which so many texts are looked at; nats by which a text must be cheaper.
 DEPTH, LOOKED_AT, MARGIN = 3, 40, 2.0
 #: What was taken for what: a text encoded by the first and decoded by the second is one step back.
@@ -50,11 +55,20 @@ _OPEN = {b: chr(b) for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 _SLOPPY = {chr(b) if b in _OPEN else bytes([b]).decode("cp1252"): b for b in range(256)}
 
 
+_CLASS_OF_SIGN = np.concatenate([_TABLE[:LETTERS], np.arange(CLASSES)]).astype(np.int64)
+
+
 def classes(text: str) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     return np.where(c < 1 << 16, _TABLE[np.minimum(c, (1 << 16) - 1)], 14).astype(np.int64)
 
 
+def signs(text: str) -> np.ndarray:
+    """Latin letters and ASCII by their codes, all else by class."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(c < LETTERS, c, LETTERS + classes(text)).astype(np.int64)
+
+
 def _pairs(text: str) -> np.ndarray:
     c = np.concatenate([[2], classes(text)])
     return c[:-1] * CLASSES + c[1:]
@@ -75,11 +89,21 @@ def _undone(text: str, wrong: str, right: str) -> str | None:
 
 
 class Model:
-    """Log-probabilities of class bigrams."""
+    """Log-probabilities of class bigrams, and of letters behind letters; ``counts``: of bigrams of signs."""
 
     def __init__(self, counts: np.ndarray):
-        n = counts.reshape(CLASSES, CLASSES) + 0.01
+        seen = counts.reshape(SIGNS, SIGNS)
+        member = np.eye(CLASSES)[_CLASS_OF_SIGN]
+        n = member.T @ seen @ member + 0.01
         self.cost = (-np.log(n / n.sum(1, keepdims=True)) + _SIZE[None]).ravel()
+        # a letter as often as its class allows, and as it was seen behind the one before; of signs that are classes, any character
+        own = np.concatenate([np.zeros(LETTERS), _SIZE])
+        likely = np.exp(-self.cost.reshape(CLASSES, CLASSES)[_CLASS_OF_SIGN][:, _CLASS_OF_SIGN] + own[None])
+        self.letters = (-np.log((seen + PRIOR * likely) / (seen.sum(1, keepdims=True) + PRIOR)) + own[None]).ravel()
+
+    def by_letters(self, text: str) -> float:
+        c = np.concatenate([[32], signs(text)])
+        return float(self.letters[c[:-1] * SIGNS + c[1:]].sum())
 
     def of(self, text: str) -> float:
         return float(self.cost[_pairs(text)].sum())
@@ -104,23 +128,30 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
-    """Class bigrams over all texts, a table a task."""
+    """Bigrams of signs over all texts, a table a task."""
 
     def run(batches):
-        n = np.zeros(CLASSES * CLASSES, np.int64)
+        n = np.zeros(SIGNS * SIGNS, np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                n += np.bincount(_pairs(t or ""), minlength=len(n))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["pair", "n"])
-
-    out = np.zeros(CLASSES * CLASSES)
+            for (part,) in cut([b.column(0)]):
+                every = signs("".join(" " + (t or "") for t in part.to_pylist()))
+                # a text begins behind a blank that is not its own
+                ahead = np.cumsum([0, *(1 + len(t or "") for t in part.to_pylist()[:-1])])
+                inside = np.ones(len(every), bool)
+                inside[ahead] = False
+                at = np.flatnonzero(inside)
+                n += np.bincount(every[at - 1] * SIGNS + every[at], minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["pair", "n"])
+
+    out = np.zeros(SIGNS * SIGNS)
     for r in docs.select(F.col(text).cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         out[r.pair] = r.n
     return Model(out)
 
 
 def repaired(x: Column, model: Model) -> Column:
-    return F.pandas_udf(lambda s: pd.Series([model.repaired(t) for t in s]), "string")(x)
+    return sliced(lambda s: [model.repaired(t) for t in s], "string")(x)
 
 
 # bytes of unknown encoding ----------------------------------------------------------------------------------------------------
@@ -133,7 +164,7 @@ REJECTED = 6.0
 
 def read(raw: bytes | None, model: Model) -> tuple[str | None, str | None, float]:
     """(encoding, text, posterior) of bytes: each encoding in which they are a text makes one, and the likeliest under the model is
-    taken; the posterior is against the others that make another text. No encoding where none makes a likely text."""
+    taken, letter by letter; the posterior is against the others that make another text. No encoding where none makes a likely text."""
     if raw is None:
         return None, None, 0.0
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
@@ -145,15 +176,16 @@ def read(raw: bytes | None, model: Model) -> tuple[str | None, str | None, float
             text = raw.decode(name)
         except UnicodeDecodeError:
             continue
-        found.setdefault(text, (model.of(text), name))
+        found.setdefault(text, (model.by_letters(text), name))
     if not found:
         return None, None, 0.0
     text, (cost, name) = min(found.items(), key=lambda x: x[1][0])
-    if raw and cost / len(raw) > REJECTED:
+    if raw and model.of(text) / len(raw) > REJECTED:
         return None, None, 0.0
     return name, text, float(1 / np.exp(np.minimum(0.0, cost - np.array([c for c, _ in found.values()]))).sum())
 
 
 def decoded(content: Column, model: Model) -> Column:
     """(encoding, text, posterior) of a column of bytes."""
-    return F.pandas_udf(lambda s: pd.DataFrame([read(None if x is None else bytes(x), model) for x in s], columns=["encoding", "text", "posterior"]), "encoding string, text string, posterior double")(content)
+    fields = ("encoding", "text", "posterior")
+    return sliced(lambda s: [dict(zip(fields, read(x, model), strict=True)) for x in s], "struct<encoding:string,text:string,posterior:double>")(content)
