@@ -195,7 +195,8 @@ def with_payload(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.struct(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in wanted]).alias("payload"))
 
 
-def merged_pages(pages: DataFrame, seen: DataFrame) -> DataFrame:
-    """Pages of another crawl that are not known by their address yet, with a key of it, fields in one form."""
-    new = pages.join(seen.select("url"), "url", "left_anti")
-    return keep_first(new.withColumn("key", F.left(F.md5("url"), F.lit(16))).withColumn("title", F.coalesce("title", F.lit(""))).withColumn("text", F.coalesce("text", F.lit(""))), ["url"], ["crawled_at"])
+def merged_pages(pages: DataFrame, seen: DataFrame, by: tuple[str, ...] = ("url",)) -> DataFrame:
+    """Pages of another crawl that are not known yet, with a key of their address, fields in one form. ``by``: what a page is known by,
+    its address if nothing else; of rows that agree in it the first crawled stays."""
+    new = pages.join(seen.select(*by), list(by), "left_anti")
+    return keep_first(new.withColumn("key", F.left(F.md5("url"), F.lit(16))).withColumn("title", F.coalesce("title", F.lit(""))).withColumn("text", F.coalesce("text", F.lit(""))), list(by), ["crawled_at"])
