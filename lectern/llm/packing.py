@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.staging import materialize, table
+from lectern.llm.staging import materialize, small_arrow, table
 from lectern.llm.tokens import default_path, encoder, small_batches, with_end
 
 CAPACITY, GROUPS = 1024, 128
 #: Lengths up to capacity // SMALL are small.
 SMALL = 3
+#: Bytes of texts that are encoded at once.
+TEXT_BYTES = 1 << 20
 
 
 # the plan: from a histogram of lengths to runs of places --------------------------------------------------------------
@@ -230,7 +232,7 @@ def _take(stocks: list[_Stock], which: list[int], n: int) -> list[tuple[int, int
 def _cutter(path: str, end_id: int, capacity: int, keep_ids: bool):
     def run(batches):
         enc, seen, pid = encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for b in small_batches(batches):
+        for b in small_batches(batches, TEXT_BYTES):
             ids, counts = enc.encode(b.column(1))
             ids, counts, offs = with_end(ids, counts, end_id)
             n = -(-counts // capacity)
@@ -280,7 +282,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`"))
     ids = ", ids array<long>" if keep_ids else ""
-    cut = materialize(rows.mapInArrow(_cutter(tokenizer or default_path(), end_id, capacity, keep_ids), f"doc_id long, piece int, start long, length long, ids_crc32 long, pid int, number long{ids}"), "pieces")
+    pieces = rows.mapInArrow(_cutter(tokenizer or default_path(), end_id, capacity, keep_ids), f"doc_id long, piece int, start long, length long, ids_crc32 long, pid int, number long{ids}")
+    with small_arrow(spark):
+        cut = materialize(pieces, "pieces")
     per_task = cut.groupBy("length", "pid").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if not histogram:

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.sources.readers import table
 from lectern.sources.shared import delete, new_path
 from lectern.sources.shared import staged as materialize
 
-__all__ = ["delete", "filter_here", "materialize", "new_path", "table", "without"]
+__all__ = ["delete", "filter_here", "materialize", "new_path", "small_arrow", "table", "without"]
+
+#: Rows of an Arrow batch of whole texts. Spark's 10,000 are tens of MB, held by the JVM and several times by a worker.
+TEXT_ROWS = 512
+
+
+@contextmanager
+def small_arrow(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """What is run inside hands Python batches of so many rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def filter_here(df: DataFrame, condition: Column) -> DataFrame:

@@ -30,6 +30,8 @@ _LETTER = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
 _CLOSING = rf"([{_LETTER}])([.,;:!?]+)$"
 _WHOLE = rf"^(?: ?[{_LETTER}]+|[.,;:!?]+|\n)$"
 REMEMBERED = 24 << 20
+#: New pieces that the library gets in one call; for each of their ids it makes an object of some hundred bytes.
+AT_ONCE = 8000
 
 
 def default_path() -> str:
@@ -97,7 +99,7 @@ class Encoder:
         self.by_units = told["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not told.get("normalizer")
         self.special = [x["content"] for x in told.get("added_tokens", [])]
         if self.by_units:
-            self.model = Tokenizer.from_str(json.dumps(told | {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
+            self.model = Tokenizer(self.tok.model)  # the same vocabulary, not a second one
         self.characters = _characters()
         vocab = told["model"].get("vocab") if self.by_units else {}
         size = max(vocab.values(), default=0) + 1
@@ -118,8 +120,8 @@ class Encoder:
         return self.known.nbytes + sum(x.room.nbytes for x in (self.flat, self.lens, self.starts))
 
     def _add(self, pieces: pa.Array, tok, written) -> None:
-        for k in range(0, len(pieces), 50_000):
-            part = pieces.slice(k, 50_000)
+        for k in range(0, len(pieces), AT_ONCE):
+            part = pieces.slice(k, AT_ONCE)
             text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.scalar("\x00", pa.large_string()))[0].as_py()
             ids = np.array(tok.encode_batch_fast([written(text).split("\x00")], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
             # the ids of a piece stand for exactly its bytes, so the bytes tell where a piece's ids end

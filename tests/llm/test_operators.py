@@ -539,6 +539,28 @@ def test_pieces_come_to_the_ids_of_the_text(remembered):
         assert list(counts) == list(map(len, want)) and list(ids) == [i for w in want for i in w]
 
 
+def test_packing_encodes_a_few_texts_at_a_time(spark, monkeypatch):
+    cutter, key = packing._cutter, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def watched(*given):
+        run, most = cutter(*given), staging.TEXT_ROWS
+
+        def checked(batches):
+            def few():
+                for b in batches:
+                    assert b.num_rows <= most
+                    yield b
+
+            yield from run(few())
+
+        return checked
+
+    monkeypatch.setattr(packing, "_cutter", watched)
+    before = spark.conf.get(key)
+    packed = packing.pack(spark.range(3000).coalesce(1).selectExpr("id as doc_id", "concat('text ', id) as text"))
+    assert packed.select("doc_id").distinct().count() == packed.count() == 3000 and spark.conf.get(key) == before
+
+
 def _tokenizer_ids(text):
     global _TOK
     _TOK = globals().get("_TOK") or _tokenizer()
