@@ -171,3 +171,17 @@ def test_documents_of_terms_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "DOC_ROWS", 7)
     n, mean, df = retrieval.term_statistics(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert n == 240 and {r.term: r.df for r in df.collect()}["ab"] == 120 and abs(mean * n - sum(len(retrieval.term_codes([t])[1]) for t in texts)) < 1e-6
+
+
+def test_bounds_are_taken_from_postings_where_they_lie(spark, tmp_path, monkeypatch):
+    plans, write = {}, InvertedIndex._write
+
+    def watched(self, df, name, *by):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        write(self, df, name, *by)
+
+    monkeypatch.setattr(InvertedIndex, "_write", watched)
+    index = InvertedIndex(spark, f"file://{tmp_path}/index", grams=())
+    index.add(spark.createDataFrame([(k, f"common word{k % 5} x{k}") for k in range(100)], "doc_id long, text string"))
+    assert "RepartitionByExpression" in plans["postings"] and "RepartitionByExpression" not in plans["bounds"]
+    assert index._read("bounds").agg({"n": "sum"}).first()[0] == 300
