@@ -174,8 +174,11 @@ def list_parsers(spark, d) -> DataFrame:
     """Posts, dishes and plain rows of lists, days of calendars."""
     p, days = _wrapped(spark, d, _LIST, "lists", "rows", url="http://h.ac.kr/list.do"), _wrapped(spark, d, _DAYS, "lists")
     none = F.lit(None).cast("string")
-    one = lambda df, kind, arr, *cols: df.select("doc_id", F.lit(kind).alias("kind"), F.explode(arr).alias("x")).select("doc_id", "kind", *[(F.col(f"x.{c}") if c else none).alias(n) for c, n in zip(cols, "abc", strict=True)])
-    return one(p, "post", "lists.posts", "title", "url", "date").unionByName(one(p, "dish", "lists.dishes", "key", "content", "")).unionByName(one(p, "row", "rows", "title", "date", "")).unionByName(one(days, "day", "lists.dates", "date", "title", ""))
+    # all kinds of a page in one array: a union would parse it once for each
+    one = lambda kind, arr, *cols: F.transform(arr, lambda x: F.struct(F.lit(kind).alias("kind"), *[(x[c] if c else none).alias(n) for c, n in zip(cols, "abc", strict=True)]))
+    flat = lambda df, *arrays: df.select("doc_id", F.explode(F.concat(*arrays)).alias("x")).select("doc_id", "x.*")
+    listed = flat(p, one("post", F.col("lists.posts"), "title", "url", "date"), one("dish", F.col("lists.dishes"), "key", "content", ""), one("row", F.col("rows"), "title", "date", ""))
+    return listed.unionByName(flat(days, one("day", F.col("lists.dates"), "date", "title", "")))
 
 
 _OLD = (

@@ -339,3 +339,8 @@ def test_slices_are_bounded(spark, monkeypatch):
     seen = slices.sliced(lambda a: [len(a)] * len(a), "int")
     rows = spark.range(3000).coalesce(1).select(seen(F.col("id")).alias("n")).collect()
     assert len(rows) == 3000 and max(r.n for r in rows) <= slices.ROWS
+
+
+def test_lists_are_parsed_once_for_all_kinds(spark):
+    plan = catalog.QUERIES["list_parsers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # a board's page and a calendar
