@@ -26,6 +26,13 @@ def word_counts(docs: DataFrame, words=tx.tokens, text: str = "text") -> DataFra
     return staged(docs.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
 
 
+def spread(words: DataFrame) -> DataFrame:
+    """Words over as many tasks as shuffles have, and as there are cores at least: they are few bytes, which would be read by a few tasks,
+    and each takes long."""
+    spark = words.sparkSession
+    return words.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def first_lexicon(words: DataFrame, size: int, longest: int, least: int) -> dict[str, float]:
     """Log-probabilities of the pieces that cover most characters; single characters are always there."""
     n = F.char_length("word")
@@ -103,7 +110,7 @@ def train(words: DataFrame, size: int = 8000, longest: int = 6, least: int = 3,
                         total[piece] = total.get(piece, 0.0) + n * c
             yield pa.RecordBatch.from_arrays([pa.array([None, *total], pa.string()), pa.array([likely, *total.values()], pa.float64())], names=["piece", "n"])
 
-        sums = words.mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        sums = spread(words).mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         told.append(next((r.n for r in sums if r.piece is None), 0.0))
         if k < rounds:
             lexicon = normal({r.piece: r.n for r in sums if r.piece is not None and (r.n >= floor or len(r.piece) == 1)})

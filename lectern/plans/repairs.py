@@ -40,7 +40,7 @@ def learned_pieces(spark, d) -> DataFrame:
     words = segments.word_counts(table(spark, d, "documents"))
     lexicon, told = segments.train(words, rounds=3)
     rises = all(b >= a - 1e-6 * abs(a) for a, b in zip(told, told[1:], strict=False))
-    parted = staged(words.withColumn("pieces", segments.morphemes(F.col("word"), lexicon)), "parted")
+    parted = staged(segments.spread(words).withColumn("pieces", segments.morphemes(F.col("word"), lexicon)), "parted")
     return parted.agg(F.count("*").alias("words"), F.sum("n").alias("occurrences"), F.lit(rises).alias("rises"), F.every(F.array_join("pieces", "") == F.col("word")).alias("whole"))
 
 

@@ -81,3 +81,9 @@ def test_letters_tell_code_pages_apart(spark):
     for t in ("der böse Löwe hört schöne Töne " * 4, "la tête du maître connaît la fête " * 4):
         for name in ("cp437", "mac_roman", "cp1252", "utf-16-le"):
             assert mojibake.read(t.encode(name), told)[1] == t
+
+
+def test_words_are_dealt_over_all_cores(spark):
+    words = spark.createDataFrame([(f"w{k}", k + 1) for k in range(50)], "word string, n long").coalesce(1)
+    dealt = segments.spread(words)
+    assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and sorted(dealt.collect()) == sorted(words.collect())
