@@ -39,23 +39,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import components
-from lectern.llm.staging import materialize, table, without
+from lectern.llm.staging import materialize, small_arrow, table, without
 from lectern.llm.tokens import give_back, small_batches
 
 SEED, BITS, BLOCK = 42, 64, 512
 #: Relative costs of a probe that is shuffled and of a pair that is compared.
 PROBE_COST, PAIR_COST = 2e-6, 1e-8
 PERMUTATIONS, SIMILARITY = 128, 0.8
-#: Positions of the sketch by which groups are gone through again: its bound is nearer to the similarity, so fewer pairs below it are
-#: verified.
-WIDE = 512
 #: Shares of positions that agree: from the first on a pair is likelier near than not, and a tree takes the smallest node's first: groups
 #: that have most of their rows in common then have most of their candidates in common, and a pair is verified once. From the second on
 #: its members need no other link between them.
 LIKELY, CERTAIN = 0.84, 0.95
-#: Candidates for each row of a group in a first pass, a tree's; groups with more are gone through again. A row is in a group for each
-#: probe, so this counts some twenty times over.
+#: Candidates for each row of a group that are verified one by one, a tree's; the rows of groups with more are compared where the group is.
+#: A row is in a group for each probe, so this counts some twenty times over.
 EVERY = 1
+#: Bytes of shingles' hashes of a group's rows that one task compares, and columns of a matrix of them.
+HELD, COLUMNS = 8 << 20, 2048
 #: Positions of the sketch that make a bucket's key together, and how many such keys there are.
 BAND, BANDS = 6, 21
 #: Texts of candidates are found by a broadcast of at most so many keys.
@@ -97,25 +96,20 @@ def majority(h: np.ndarray) -> int:
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(7 + n // 512)
+    rng = np.random.default_rng(7)
     return rng.integers(1, 1 << 63, n, np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
 
 
-_FUNCTIONS = {n: _functions(n) for n in (PERMUTATIONS, WIDE)}
+_A, _B = _functions(PERMUTATIONS)
+#: Positions that agree in a pair of the similarity at least, but for one pair in 10,000.
+LOOSE = round(SIMILARITY * PERMUTATIONS - 4.1 * (SIMILARITY * (1 - SIMILARITY) * PERMUTATIONS) ** 0.5)
 
 
-def loose(width: int) -> int:
-    """Positions that agree in a pair of the similarity at least, but for one pair in 10,000."""
-    return round(SIMILARITY * width - 4.1 * (SIMILARITY * (1 - SIMILARITY) * width) ** 0.5)
-
-
-def minhash(h: np.ndarray, width: int = PERMUTATIONS) -> bytes:
-    """A byte of the smallest value under each of ``width`` hash functions."""
-    a, b = _FUNCTIONS[width]
-    least = np.full(width, np.iinfo(np.uint64).max, np.uint64)
-    step = 4096 * PERMUTATIONS // width
-    for k in range(0, len(h), step):
-        x = h[k : k + step, None] * a + b
+def minhash(h: np.ndarray) -> bytes:
+    """A byte of the smallest value under each of the hash functions."""
+    least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(h), 4096):
+        x = h[k : k + 4096, None] * _A + _B
         least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(0))
     return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
@@ -275,24 +269,40 @@ class _Forest:
         return made
 
 
-def _verifier(tau: int, sketched: bool, every: int = 0, width: int = PERMUTATIONS):
-    least, likely, certain = loose(width), round(LIKELY * width), round(CERTAIN * width)
+def _whole(batches):
+    """Tables of whole groups (gid), as rows come sorted by them."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([*(held.to_batches() if held is not None else []), b]).combine_chunks()
+        gid = t.column("gid").to_numpy()
+        last = int(np.searchsorted(gid, gid[-1]))  # the last group may go on in the next batch
+        if last:
+            yield t.slice(0, last)
+        held = t.slice(last).combine_chunks()
+    if held is not None:
+        yield held
+    give_back()
+
+
+def _sketches(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
+
 
-    def linked(gid, node, comp, side, fp, sketch):
+def _verifier(tau: int, sketched: bool, every: int):
+    likely, certain = round(LIKELY * PERMUTATIONS), round(CERTAIN * PERMUTATIONS)
+
+    def linked(gid, node, side, fp, sketch):
         """Links that join whatever is near within a group, as trees. With sketches these are candidates: all pairs that may be near,
         or, where a group has more than ``every`` of them a row, trees of the likeliest, and the group's rows to be looked at
-        again. Pairs of rows of one component are none, nor are pairs of one side of a group that joins two blocks: those are
-        in a group of their own."""
+        again. Pairs of one side of a group that joins two blocks are none: those are in a group of their own."""
         n = len(gid)
         ends = np.flatnonzero(np.diff(gid)) + 1
         begins, ends = np.concatenate([[0], ends]), np.concatenate([ends, [n]])
         group = np.repeat(np.arange(len(begins)), ends - begins)
         stop = ends[group]
-        order = np.lexsort((comp, group))
-        first = np.concatenate([[True], (np.diff(comp[order]) != 0) | (np.diff(group[order]) != 0)])
-        label = np.empty(n, np.int64)
-        label[order] = np.minimum.reduceat(order, np.flatnonzero(first))[np.cumsum(first) - 1]
-        forest, out = _Forest(label), []
+        forest, out = _Forest(np.arange(n)), []
         inner = lambda a, b: (side[a] >= 0) & (side[a] == side[b])
         left: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         at, lag = np.arange(n), 0
@@ -306,7 +316,7 @@ def _verifier(tau: int, sketched: bool, every: int = 0, width: int = PERMUTATION
             a = a[forest.label[a] != forest.label[a + lag]]
             if sketched and len(a):
                 agree = (sketch[a] == sketch[a + lag]).sum(1)
-                some = (agree >= least) & (agree < certain)
+                some = (agree >= LOOSE) & (agree < certain)
                 left.append((a[some], a[some] + lag, agree[some]))
                 a = a[agree >= certain]
             if len(a):
@@ -333,39 +343,22 @@ def _verifier(tau: int, sketched: bool, every: int = 0, width: int = PERMUTATION
         e, again = np.array(out, np.int64).reshape(-1, 2), np.flatnonzero(dense[group])
         none = lambda k, kind: pa.nulls(k, kind)
         both = lambda x, y: pa.concat_arrays([x, y])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([node[e[:, 0]], node[again]])), both(pa.array(node[e[:, 1]]), none(len(again), pa.int64())),
-                both(none(len(e), pa.int64()), pa.array(gid[again])), both(none(len(e), pa.int32()), pa.array(side[again])),
-            ],
-            names=["u", "v", "gid", "side"],
-        )
+        cols, names = [pa.array(np.concatenate([node[e[:, 0]], node[again]])), both(pa.array(node[e[:, 1]]), none(len(again), pa.int64()))], ["u", "v"]
+        if sketched:
+            rows = {"gid": pa.array(gid[again]), "fp": pa.array(fp[again].view(np.int64)), "sketch": pa.array([x.tobytes() for x in sketch[again]], pa.binary())}
+            cols, names = [*cols, *(both(none(len(e), x.type), x) for x in rows.values())], [*names, *rows]
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches):
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([*(held.to_batches() if held is not None else []), b]).combine_chunks()
-            gid = t.column("gid").to_numpy()
-            last = int(np.searchsorted(gid, gid[-1]))  # the last group may go on in the next batch
-            if last:
-                yield linked(*_arrays(t.slice(0, last)))
-            held = t.slice(last).combine_chunks()
-        if held is not None:
-            yield linked(*_arrays(held))
-        give_back()
-
-    def _arrays(t):
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, width) if sketched else None
-        return *(t.column(c).to_numpy() for c in ("gid", "node", "comp", "side")), t.column("fp").to_numpy().view(np.uint64), sketch
+        for t in _whole(batches):
+            yield linked(*(t.column(c).to_numpy() for c in ("gid", "node", "side")), t.column("fp").to_numpy().view(np.uint64), _sketches(t) if sketched else None)
 
     return run
 
 
 def links(nodes: DataFrame, tau: int, sketched: bool, block: int = BLOCK) -> DataFrame:
-    """(u, v, gid, side): verified links that connect whatever is connected; if ``sketched``, candidates for these, and with a gid
-    and no v the rows of groups that are to be looked at again. ``nodes``: node, fp and, if ``sketched``, sketch. Then the last bit of
+    """(u, v): verified links that connect whatever is connected; if ``sketched``, candidates for these, and with gid, fp and
+    sketch and no v the rows of groups that are to be looked at again. ``nodes``: node, fp and, if ``sketched``, sketch. Then the last bit of
     a bucket's and a group's number says whether it is one of bands, whose pairs may be any distance apart."""
     keys = probes(nodes, tau)
     probed = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_mask(k)))) for i, k in enumerate(keys)])
@@ -386,42 +379,110 @@ def links(nodes: DataFrame, tau: int, sketched: bool, block: int = BLOCK) -> Dat
     pair = lambda b: F.struct(number(F.xxhash64("bucket", F.least(b, mine), F.greatest(b, mine))).alias("gid"), F.when(b == mine, -1).when(b > mine, 0).otherwise(1).alias("side"))
     whole = F.array(F.struct(F.col("bucket").alias("gid"), F.lit(-1).alias("side")))
     met = met.select("node", "fp", *extra, F.explode(F.when(F.col("n") > block, F.transform(F.sequence(F.lit(0), blocks - 1), pair)).otherwise(whole)).alias("g"))
-    met = met.select("g.gid", "g.side", "node", F.col("node").alias("comp"), "fp", *extra)
-    return _compared(met, tau, sketched, EVERY)
+    return _dealt(met.select("g.gid", "g.side", "node", "fp", *extra)).mapInArrow(_verifier(tau, sketched, EVERY), "u long, v long" + (", gid long, fp long, sketch binary" if sketched else ""))
 
 
-def _compared(rows: DataFrame, tau: int, sketched: bool, every: int, width: int = PERMUTATIONS) -> DataFrame:
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Each group (gid) in one task, one after the other."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "gid").sortWithinPartitions("gid", "node")
-    return dealt.mapInArrow(_verifier(tau, sketched, every, width), "u long, v long, gid long, side int")
+    return rows.repartition(n, "gid").sortWithinPartitions("gid", "node")
 
 
 def similar_components(nodes: DataFrame, tau: int, docs: DataFrame, text_col: str, feat: Features) -> DataFrame:
     """(node, root): components of the links between sets of shingles that are as similar as they must be.
 
-    A first pass gives candidates, a bounded number for each row of a group. Where a group has more, these are trees of its likeliest
-    pairs; when they are verified, the group's rows are compared again, but for pairs of one component, with eight times the bound,
-    until no pair is left that was not verified or is within a component. So a group of copies of copies costs a few links a
-    row, and a group that is not one is compared in full."""
-    found, every, wide = materialize(links(nodes, tau, True), "near"), EVERY, None
-    tested = materialize(_pairs(found), "tested")
-    sure = materialize(verified(tested, nodes, docs, text_col, feat), "links")
-    roots = components(sure)
-    while True:
-        dense = found.filter("gid is not null").select("gid", "side", F.col("u").alias("node"))
-        if dense.isEmpty():
+    A first pass gives candidates, a bounded number for each row of a group, whose sets are brought together. Where a group has more,
+    these are trees of its likeliest pairs, and rows with candidates that are still apart are compared in full by the task that has the
+    group, which hands on a link for each two components that it joined. So no pair that is not near becomes a row, however
+    many a group has of them."""
+    found = materialize(links(nodes, tau, True), "near")
+    with small_arrow(nodes.sparkSession):
+        roots = components(materialize(verified(materialize(_pairs(found), "tested"), nodes, docs, text_col, feat), "links"))
+        again = found.filter("gid is not null").withColumnRenamed("u", "node").join(roots, "node", "left")
+        again = again.select("gid", "node", F.coalesce("root", "node").alias("comp"), "fp", "sketch")
+        again = materialize(_dealt(again).mapInArrow(_apart(tau), "gid long, node long, comp long"), "again")
+        if again.isEmpty():
             return roots
-        every *= 8
-        if wide is None:  # later groups have no other rows than these
-            wide = materialize(sketches(dense.select("node").distinct(), nodes, docs, text_col, feat), "wide-sketches")
-        rows = dense.join(wide, "node").join(roots, "node", "left")
-        rows = rows.select("gid", "side", "node", F.coalesce("root", "node").alias("comp"), "fp", "sketch")
-        found = materialize(_compared(rows, tau, True, every, WIDE), "near")
-        new = materialize(_pairs(found).join(tested, ["u", "v"], "left_anti"), "tested")
-        if not new.isEmpty():
-            tested = tested.unionByName(new)
-            sure = sure.unionByName(materialize(verified(new, nodes, docs, text_col, feat), "links"))
-            roots = components(sure)
+        sets = materialize(shingles(again.select("node").distinct(), nodes, docs, text_col, feat), "shingles")
+        new = materialize(_compared(again, sets), "links")
+        return roots if new.isEmpty() else components(roots.toDF("u", "v").unionByName(new))
+
+
+def _compared(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): links that join what is near within a group. ``rows``: gid, node and the component that it is known to be of; ``sets``:
+    (node, shingles). A group of more than ``HELD`` bytes is cut into parts, and each pair of parts is a group."""
+    size = rows.join(sets.select("node", F.length("shingles").alias("size")), "node").groupBy("gid").agg(F.sum("size").alias("size"))
+    parts = size.select("gid", F.greatest(F.lit(1), F.ceil(F.col("size") / HELD)).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("gid", F.least(p, mine), F.greatest(p, mine)))
+    rows = rows.join(parts, "gid").select(F.explode(F.when(F.col("parts") > 1, pairs).otherwise(F.array("gid"))).alias("gid"), "node", "comp")
+    return _dealt(rows.join(sets, "node").select("gid", "node", "comp", "shingles")).mapInArrow(_joined, "u long, v long")
+
+
+def _alike(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each two of ``sets`` of hashes whether they are as similar as they must be."""
+    size = np.array([len(x) for x in sets])
+    h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(h)
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    shared = ~new  # what one set has alone is in no intersection
+    shared[:-1] |= ~new[1:]
+    row, column = row[shared], np.cumsum(new[shared]) - 1
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        at = slice(*np.searchsorted(column, (k, k + COLUMNS)))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[at], column[at] - k] = 1
+        both += m @ m.T
+    return both >= SIMILARITY * (size[:, None] + size - both.astype(np.float64))
+
+
+def _apart(tau: int):
+    """Rows (gid, node, comp) that have a candidate of another component in their group."""
+
+    def run(batches):
+        for t in _whole(batches):
+            gid, comp, fp = (t.column(c).to_numpy() for c in ("gid", "comp", "fp"))
+            fp, sketch = fp.view(np.uint64), _sketches(t)
+            stop = np.searchsorted(gid, gid, side="right")
+            some = np.zeros(len(gid), bool)
+            at, lag = np.arange(len(gid)), 0
+            while True:
+                lag += 1
+                at = at[at + lag < stop[at]]
+                if not len(at):
+                    break
+                a = at[comp[at] != comp[at + lag]]
+                a = a[(gid[a] & 1 == 1) | (np.bitwise_count(fp[a] ^ fp[a + lag]) <= tau)]
+                a = a[(sketch[a] == sketch[a + lag]).sum(1) >= LOOSE]
+                some[a] = some[a + lag] = True
+            yield from t.select(["gid", "node", "comp"]).filter(pa.array(some)).to_batches()
+
+    return run
+
+
+def _joined(batches):
+    for t in _whole(batches):
+        gid, node, comp = (t.column(c).to_numpy() for c in ("gid", "node", "comp"))
+        begins = np.flatnonzero(np.diff(gid, prepend=~gid[:1]))
+        u, v = [], []
+        for i, j in zip(begins, [*begins[1:], len(gid)], strict=True):
+            label = np.unique(comp[i:j], return_index=True, return_inverse=True)
+            forest = _Forest(label[1][label[2]])
+            if len(label[0]) == 1:  # a pair of parts of a group
+                continue
+            a, b = np.nonzero(np.triu(_alike([np.frombuffer(x, np.uint64) for x in t.column("shingles").slice(i, j - i).to_pylist()]), 1))
+            for k in range(0, len(a), 4096):
+                x, y = a[k : k + 4096], b[k : k + 4096]
+                cross = forest.label[x] != forest.label[y]
+                x, y = x[cross], y[cross]
+                if len(x):
+                    made = forest.join(x, y)
+                    u.append(node[i:j][x[made]])
+                    v.append(node[i:j][y[made]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (u, v)], names=["u", "v"])
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -443,26 +504,21 @@ def _texts(ends: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) ->
     return texts.groupBy("node").agg(F.first("t").alias("t"))
 
 
-def _of_texts(texts: DataFrame, feat: Features, name: str, of) -> DataFrame:
-    """(node, ``name``): ``of`` the hashes of each text's different shingles."""
+def shingles(ends: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, feat: Features) -> DataFrame:
+    """(node, shingles): the hashes of the different shingles of each of ``ends`` (node)."""
 
     def run(batches):
         for b in small_batches(batches):
-            found = [of(_hashes(list(set(_shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), feat.sketch))))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", name])
-
-    return texts.mapInArrow(run, f"node long, {name} binary")
-
+            found = [_hashes(list(set(_shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), feat.sketch)))).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-def sketches(ends: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, feat: Features) -> DataFrame:
-    """(node, sketch, fp) of ``ends`` (node), with sketches of ``WIDE`` positions."""
-    return _of_texts(_texts(ends, nodes, docs, text_col), feat, "sketch", lambda h: minhash(h, WIDE)).join(nodes.select("node", "fp"), "node")
+    return _texts(ends, nodes, docs, text_col).mapInArrow(run, "node long, shingles binary")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, feat: Features) -> DataFrame:
     """The pairs whose texts have a Jaccard similarity of ``SIMILARITY``. ``nodes``: node and the key of a text of it."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    found = materialize(_of_texts(_texts(ends, nodes, docs, text_col), feat, "shingles", lambda h: h.tobytes()), "shingles")
+    found = materialize(shingles(ends, nodes, docs, text_col, feat), "shingles")
     met = pairs.join(found.toDF("u", "a"), "u").join(found.toDF("v", "b"), "v").select("u", "v", "a", "b")
     return met.mapInArrow(_similar, "u long, v long")
 

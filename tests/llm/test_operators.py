@@ -475,6 +475,37 @@ def test_groups_of_near_copies_against_brute_force(spark, block, every, monkeypa
     assert sum(made) < 40 * len(texts)
 
 
+@pytest.mark.parametrize("held", [8 << 20, 100_000])
+def test_pairs_of_a_group_of_near_copies_grow_with_its_rows(spark, held, monkeypatch):
+    """Copies of one text with 2 or 3 changed words each are mostly a little less alike than 0.8: of their pairs, whose number grows
+    with the square of the group, only a few for each row become rows, and no link is lost."""
+    monkeypatch.setattr(simhash_dedup, "HELD", held, raising=False)
+    r = random.Random(22)
+    base = [f"{r.getrandbits(40):x}" for _ in range(150)]
+    texts = []
+    for i in range(500):
+        w = list(base)
+        for at in r.sample(range(150), r.choice([2, 2, 2, 3])):
+            w[at] = f"new{i}x{at}"
+        texts.append(" ".join(w))
+    made = []
+    verified = simhash_dedup.verified
+    monkeypatch.setattr(simhash_dedup, "verified", lambda pairs, *args: made.append(pairs.count()) or verified(pairs, *args))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash_dedup.components_of(df, tau=6, feat=simhash_dedup.NEAR_DUPLICATES).collect()}
+    assert got == dict(enumerate(brute.groups(range(len(texts)), texts)))
+    assert len(set(got.values())) > 10 and sum(made) < 10 * len(texts)
+
+
+def test_exact_similarity_of_sets():
+    """Shared hashes are counted over more columns than a matrix has; empty sets are like each other only."""
+    r = np.random.default_rng(5)
+    pool = r.integers(0, 1 << 63, 9000, np.uint64)
+    sets = [np.unique(r.choice(pool, n)) for n in (0, 1, 7, 400, 6000, 20000, 30000, 40000)] + [pool[:5], pool[:4], pool[:3], pool[:0]]
+    want = [[len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for y in sets] for x in sets]
+    assert simhash_dedup._alike(sets).tolist() == want and simhash_dedup._alike([pool[:0]] * 2).all()
+
+
 def test_thresholds_are_a_cover():
     cost, t = simhash_dedup.allocate([[5.0, 9.0, 20.0], [1.0, 2.0, 9.0], [4.0, 50.0, 90.0]], 4)
     assert sum(x + 1 for x in t) == 4 and cost == sum([[5, 9, 20], [1, 2, 9], [4, 50, 90]][i][x] for i, x in enumerate(t) if x >= 0) == 11.0
