@@ -25,7 +25,7 @@ def broken(text: str | None, way: int) -> str | None:
 def repaired_texts(spark, d) -> DataFrame:
     """Documents misread in four ways, one in five left whole, all as they were before."""
     docs = table(spark, d, "documents")
-    model = mojibake.fit(docs)
+    model = mojibake.fit(docs, longer=False)
     bad = F.pandas_udf(lambda t, w: pd.Series([broken(x, y) for x, y in zip(t, w, strict=True)]), "string")
     rows = docs.select("doc_id", (F.col("doc_id") % 5).alias("way"), bad("text", F.col("doc_id") % 5).alias("text"))
     return rows.select("doc_id", "way", F.md5(mojibake.repaired(F.col("text"), model)).alias("text"))
